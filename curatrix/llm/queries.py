@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from curatrix.llm.decontaminate import ORACLE as DECONTAMINATION
 from curatrix.session import table
 
 
@@ -15,6 +16,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.decontaminate import decontaminate
+
+    made = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return made.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curatrix.llm.bpe import encode_texts
 
@@ -22,9 +30,24 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op5_decontaminate": op5_decontaminate,
     "op8_bpe": op8_bpe,
+    "op9_simhash": op9_simhash,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_decontaminate": DECONTAMINATION}
