@@ -16,6 +16,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.toxicity import score_toxicity
+
+    made = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return made.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curatrix.llm.decontaminate import decontaminate
 
@@ -44,6 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
