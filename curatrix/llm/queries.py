@@ -16,6 +16,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.pii import find_pii
+
+    made = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curatrix.llm.toxicity import score_toxicity
 
@@ -51,6 +58,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_pii": op2_pii,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op8_bpe": op8_bpe,
