@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from curatrix.llm.decontaminate import ORACLE as DECONTAMINATION
+from curatrix.llm.embedding_dedup import ORACLE as EMBEDDING_DEDUP
 from curatrix.session import table
 
 
@@ -23,6 +24,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.embedding_dedup import embedding_links
+
+    return embedding_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curatrix.llm.toxicity import score_toxicity
 
@@ -59,6 +66,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_pii": op2_pii,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op8_bpe": op8_bpe,
@@ -66,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {"op5_decontaminate": DECONTAMINATION}
+ORACLES: dict[str, str] = {"op3_embedding_dedup": EMBEDDING_DEDUP, "op5_decontaminate": DECONTAMINATION}
