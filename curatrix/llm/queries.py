@@ -44,6 +44,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curatrix.llm.bpe import encode_texts
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
+    "op7_html_text": op7_html_text,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
