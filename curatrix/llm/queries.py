@@ -44,6 +44,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.quality import score_quality
+
+    made = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return made.select("doc_id", "held_out", "score", "keep")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from curatrix.llm.html_text import extract_text
 
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
+    "op6_quality": op6_quality,
     "op7_html_text": op7_html_text,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
