@@ -46,7 +46,7 @@ def frequent_units(df: DataFrame, text: str, split: Callable[[str], Iterable[str
     """The most frequent units of the whole column, at most keep of them, none over longest characters.
 
     Every task counts all units of all its texts with bounded memory: whenever its table outgrows
-    16 * per_task entries, the rare half goes (lossy counting). It passes on its per_task most frequent ones,
+    32 * per_task entries, the rarest go (lossy counting). It passes on its per_task most frequent ones,
     which are summed by unit with map-side combine; only keep units reach the driver. The answer is
     used to prime look-up tables, so an undercounted unit costs time, never a result.
     """
@@ -57,8 +57,11 @@ def frequent_units(df: DataFrame, text: str, split: Callable[[str], Iterable[str
             for x in batch.column(0).to_pylist():
                 if x:
                     seen.update(split(x))
-                    if len(seen) > 16 * per_task:
-                        seen = Counter(dict(seen.most_common(8 * per_task)))
+                    if len(seen) > 32 * per_task:
+                        rare = 1
+                        while len(seen) > 16 * per_task:
+                            seen = Counter({u: n for u, n in seen.items() if n > rare})
+                            rare += 1
         top = [(u, n) for u, n in seen.most_common(per_task) if n > 1 and len(u) <= longest]
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["unit", "n"])
 
@@ -68,15 +71,18 @@ def frequent_units(df: DataFrame, text: str, split: Callable[[str], Iterable[str
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts afresh when it holds most entries."""
+    """A dict that computes what it lacks. It holds at most `most` entries of the current generation and as many of the one before."""
 
-    def __init__(self, compute: Callable, most: int = 300_000):
+    def __init__(self, compute: Callable, most: int = 200_000):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.before = compute, most, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
         if len(key) <= 64:
             self[key] = value
