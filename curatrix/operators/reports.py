@@ -70,7 +70,7 @@ def fold_distribution(df: DataFrame, fold: str, label: str, group: str) -> tuple
     return per, df.groupBy(group).agg(F.array_sort(F.collect_set(fold)).alias("folds"))
 
 
-def uncertainty_boost(df: DataFrame, probability: str, signal: Column, low: float, high: float) -> Column:
+def uncertainty_boost(probability: str, signal: Column, low: float, high: float) -> Column:
     """Prediction raised to 1 where the probability lies in [low, high) and the signal is there."""
     return F.when((F.col(probability) >= low) & (F.col(probability) < high) & signal, 1).otherwise(F.col("prediction"))
 
