@@ -49,6 +49,8 @@ def knn_margin(queries: DataFrame, bank: DataFrame, query_id: str = "id", ref_id
         own = bank.where(part == k) if slices > 1 else bank
         fold = F.col(ref_fold) if ref_fold else F.lit(-1)
         got = own.select(F.col(ref_id).cast("long").alias("rid"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("int").alias("y"), fold.cast("int").alias("f")).orderBy("rid").toArrow()
+        if not got.num_rows:
+            continue
         shared = queries.sparkSession.sparkContext.broadcast((got["rid"].to_numpy(), got["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim), got["y"].to_numpy(), got["f"].to_numpy()))
         found = _margins(queries, query_id, vector, query_fold, shared)
         answers = found if answers is None else answers.unionByName(found)
