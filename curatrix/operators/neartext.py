@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 def word_terms(text: Column, n: tuple[int, int] = (1, 1)) -> Column:
     """Words, lower-cased, and their n-grams."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w+\b"), 0)
-    grams = [words if k == 1 else F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i, k=k: F.array_join(F.slice(words, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>")) for k in range(n[0], n[1] + 1)]
-    return F.concat(*grams)
+
+    def grams(w: Column, k: int) -> Column:
+        if k == 1:
+            return w
+        made = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
+        return F.when(F.size(w) >= k, made).otherwise(F.array().cast("array<string>"))
+
+    # The words are bound once; written out in each gram's expression, they would be extracted again for every gram.
+    return F.transform(F.array(words), lambda w: F.concat(*[grams(w, k) for k in range(n[0], n[1] + 1)]))[0]
 
 
 def char_terms(text: Column, n: tuple[int, int] = (3, 5)) -> Column:
