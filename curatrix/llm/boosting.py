@@ -97,6 +97,7 @@ class Calibrated:
         if len(y) == 0 or min(y.sum(), len(y) - y.sum()) < 2:
             self.constant = float(y.mean()) if len(y) else 0.0
             return self
+        settings = {"least": int(max(2, min(8, min(y.sum(), len(y) - y.sum()) // 10)))} | self.settings
         fold = np.empty(len(y), dtype=np.int64)
         for label in (0, 1):  # every fold gets its share of both labels
             rows = np.flatnonzero(y == label)
@@ -105,8 +106,8 @@ class Calibrated:
         for k in range(self.folds):
             rest = fold != k
             if 0 < y[rest].sum() < rest.sum():
-                held[~rest] = Boosted(**self.settings).fit(x[rest], y[rest]).margin(x[~rest])
-        self.model = Boosted(**self.settings).fit(x, y)
+                held[~rest] = Boosted(**settings).fit(x[rest], y[rest]).margin(x[~rest])
+        self.model = Boosted(**settings).fit(x, y)
         self.map = Isotonic().fit(held, y)
         return self
 
