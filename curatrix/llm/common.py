@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -65,11 +66,37 @@ def frequent_units(df: DataFrame, text: str, split: Callable[[str], Iterable[str
         top = [(u, n) for u, n in seen.most_common(per_task) if n > 1 and len(u) <= longest]
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["unit", "n"])
 
+    short_batches(df.sparkSession)
     counted = df.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "unit string, n long")
     rows = counted.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(keep).select("unit").collect()
     return [r["unit"] for r in rows]
 
 
+_state: dict = {}
+
+
+def worker_state(value: object, build: Callable[[object], object]):
+    """What a Python worker derives from a broadcast value: built once, and dropped when another value's turn comes.
+
+    Workers outlive operators, so caches of one operator would otherwise stay beside the next one's.
+    """
+    if _state.get("of") is not value:
+        _state.clear()
+        gc.collect()
+        _state.update(of=value, made=build(value))
+    return _state["made"]
+
+
+def short_batches(session, rows: int = 1024) -> None:
+    """Arrow batches of at most `rows` rows in this session, unless its configuration names a number.
+
+    Texts may be long; a worker holds a batch of them several times over.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not session.sparkContext.getConf().contains(name) and int(session.conf.get(name)) > rows:
+        session.conf.set(name, str(rows))
+
+
 class Memo(dict):
     """A dict that computes what it lacks. It holds at most `most` entries of the current generation and as many of the one before."""
 
