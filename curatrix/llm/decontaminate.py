@@ -17,13 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import BROADCAST_BYTES, settled, sha256_hex, texts_udf
+from curatrix.llm.common import BROADCAST_BYTES, settled, sha256_hex, short_batches, texts_udf, worker_state
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
-_sets: dict[int, tuple] = {}
-
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
@@ -82,11 +80,7 @@ class GramSet:
 
 
 def _gram_set(shared) -> GramSet:
-    items, n = shared.value
-    if id(items) not in _sets:
-        _sets.clear()
-        _sets[id(items)] = (items, GramSet(items, n))
-    return _sets[id(items)][1]
+    return worker_state(shared.value, lambda v: GramSet(*v))
 
 
 def items_digest(items) -> str:
@@ -134,6 +128,7 @@ def benchmark_items(benchmark: DataFrame, item: str, text: str, most_bytes: int)
 
 def contamination(items: list[tuple], n: int, session, remove: bool = False) -> Callable[[Column], Column]:
     """Column function: text -> struct(n_words, n_hit, n_items, items_sha256 [, cleaned])."""
+    short_batches(session)
     shared = session.sparkContext.broadcast((items, n))
 
     def per_text(x: str) -> tuple:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import sha256_hex, texts_udf
+from curatrix.llm.common import sha256_hex, short_batches, texts_udf
 
 #: Kinds in their order; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "id", "secret", "name")
@@ -233,6 +233,8 @@ def fit_spans(docs: DataFrame, text: str = "text") -> np.ndarray:
     A task sends one row for each pattern it saw (kinds x 81 votes x 4 lengths at most, whatever the input).
     """
 
+    short_batches(docs.sparkSession)
+
     def count(batches):
         seen: Counter = Counter()
         for batch in batches:

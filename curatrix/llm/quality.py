@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.boosting import Boosted, Isotonic, held_out, labelled_sample
+from curatrix.llm.common import short_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 CONTENT, META = 11, 14
@@ -121,6 +122,7 @@ class CoTrained:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", lang: str = "lang", source: str = "source", sample_rows: int = 10_000, pool_rows: int = 10_000) -> CoTrained:
     """Fitted on at most sample_rows labelled rows, none of them held out, and pool_rows unlabelled ones (both chosen by hash)."""
+    short_batches(docs.sparkSession)
     meta = [c for c in (lang, source) if c in docs.columns]
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(c) for c in meta])
     seen = labels.select(F.col(doc_id).alias("__id")).distinct()

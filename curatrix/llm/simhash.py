@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import BROADCAST_BYTES, settled, texts_udf
+from curatrix.llm.common import BROADCAST_BYTES, settled, short_batches, texts_udf
 from curatrix.operators.components import connected_components
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -113,6 +113,7 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component_id unless its group has no other. Repeated rows give repeated results; an empty table
     gives none.
     """
+    short_batches(docs.sparkSession)
     rows = settled(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text))["fp"].alias("fp")))
     classes = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = connected_components(linked_fingerprints(classes.select("fp"), radius))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.llm.boosting import Calibrated, held_out, labelled_sample
-from curatrix.llm.common import Memo, settled
+from curatrix.llm.common import Memo, settled, short_batches, worker_state
 
 #: Insults that the lexicon starts from (fixed values).
 SEED = (
@@ -35,8 +35,6 @@ _PARTS = re.compile(r"[\W_]+")
 PREFIXES = (4, 5, 6)
 FEATURES = 19
 
-_caches: dict[int, tuple] = {}
-
 
 def spellings(token: str) -> tuple[list[str], list[str]]:
     """(plain words of the token, what it may stand for if signs, digits or repeats hide a word)."""
@@ -52,7 +50,7 @@ def spellings(token: str) -> tuple[list[str], list[str]]:
 class Lexicon:
     def __init__(self, words: dict[str, float], prefixes: dict[str, float]):
         self.words, self.prefixes = words, prefixes
-        self.codes = Memo(self._code, 200_000)
+        self.codes = Memo(self._code, 150_000)
 
     def weight(self, word: str) -> float:
         return max([self.words.get(word, 0.0), *(self.prefixes.get(word[:k], 0.0) for k in PREFIXES if len(word) > k)])
@@ -145,13 +143,15 @@ def learned_lexicon(sample: DataFrame, least: int = 8, ratio: float = 12.0, most
     return Lexicon(words, prefixes)
 
 
-def _near_key(text: str | None) -> int:
-    """Smallest hash among the words' hashes: most near copies of a text share it."""
-    return min((xxhash.xxh64_intdigest(w) >> 1 for w in set((text or "").split())), default=0)
+def _near_key(text: str | None, width: int = 5) -> int:
+    """Smallest hash among the hashes of the five-word shingles: most near copies of a text share it, other texts don't."""
+    words = (text or "").lower().split()
+    return min((xxhash.xxh64_intdigest(" ".join(words[i : i + width])) >> 1 for i in range(max(1, len(words) - width + 1))), default=0)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 16_000) -> tuple[Lexicon, Calibrated]:
     """Lexicon and calibrated model from at most sample_rows labelled rows that aren't held out."""
+    short_batches(docs.sparkSession)
     key = F.arrow_udf(_near_keys, "long")
     sample = labelled_sample(docs, labels, doc_id, text, label, sample_rows).withColumn("key", key("text"))
     sample = settled(sample.dropDuplicates(["key", "y"]))
@@ -183,11 +183,8 @@ def toxicity_score(fitted: tuple[Lexicon, Calibrated], session):
     shared = session.sparkContext.broadcast((lexicon.words, lexicon.prefixes, model))
 
     def score(texts: pa.Array) -> pa.Array:
-        words, prefixes, fit = shared.value
-        if id(words) not in _caches:
-            _caches.clear()
-            _caches[id(words)] = (words, Lexicon(words, prefixes))
-        own = _caches[id(words)][1]
+        fit = shared.value[2]
+        own = worker_state(shared.value, lambda v: Lexicon(v[0], v[1]))
         x = np.array([own.features(t or "") for t in texts.to_pylist()]).reshape(-1, FEATURES)
         return pa.array(np.clip(fit(x), 0.0, 1.0), pa.float64())
 
