@@ -1,11 +1,13 @@
 """HTML extraction (operator 7): equivalence-class template deduction.
 
-A token is an opening tag with the path of containers around it, or a block of text. Over the pages of a
+A token is an opening tag or a block of text, each with the path of containers around it, so that a token
+nests in one place of the template: the same words in another container are another token. Over the pages of a
 host every token has an occurrence vector (how often it stands on each page). Tokens with the same vector form
-an equivalence class; a class is valid if it has enough pages and its tokens keep one order. The class
-that stands once on most of the host's pages is the root of the template; classes whose tokens lie in one of
-its slots nest there. Slots in menus, headers, adverts and the like are the template's own, and so are text
-blocks of a valid class outside the article. What remains are the article's slots.
+an equivalence class; a class is valid if it has enough pages and two tokens. Its tokens' mean places give its
+order, and on each page the tokens that break the order are no part of the template there. Text blocks of a
+valid class are the template's own, inside article elements too; the container that holds most of the host's other text is the
+article's slot. Article and main elements are hints: they rank the containers, and they choose on pages
+without the host's container. Names of classes and ids are votes, which the host has to confirm.
 
 Occurrence vectors are never gathered: a vector is represented by the sum, over its pages, of a hash of
 page and count, which adds up in any order, inside tasks first. So a host with a third of all pages
@@ -14,6 +16,7 @@ costs each task one row a token.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -45,36 +48,48 @@ _SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def _marked(name: str, attributes: str) -> tuple[bool, str]:
-    """(whether an element's names say it is no article, its signature)."""
+_DIGITS = re.compile(r"\d+")
+
+
+def _marked(name: str, attributes: str) -> tuple[bool, str, str]:
+    """(whether an element is hidden or has a role beside the article, which names vote against it: "", "id" or "class", its signature).
+
+    A heading's id is the slug of its words and an inline element's an anchor: they don't vote.
+    """
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False, name
-    marked, signature = False, name
+        return False, "", name
+    marked, vote, signature = False, "", name
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key in ("class", "id"):
-            signature += (".#"[key == "id"]) + ".".join(value.split())
-            marked = marked or any(_NAMES.fullmatch(part.lower()) for part in _SPLIT.split(value) if part)
+            signature += (".#"[key == "id"]) + _DIGITS.sub("0", ".".join(value.split()))
+            if vote != "class" and not (key == "id" and (name in _HEADINGS or name in _INLINE)) and any(_NAMES.fullmatch(part.lower()) for part in _SPLIT.split(value) if part):
+                vote = key
         elif key == "role":
             marked = marked or value.lower() in _ROLES
         elif key == "style":
             marked = marked or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None
         else:
             marked = marked or value.lower() != "false"
-    return marked, signature
+    return marked, vote, signature
 
 
 class Page:
     """One pass over a page: its opening tags with their paths, and its blocks of text in order.
 
-    tags: (token, place); blocks: (text, container token, in an article, in main, excluded).
+    tags: (token, place); blocks: (text, container token, in an article, in main, excluded);
+    votes: characters inside each signature whose names vote against it; hidden: characters of the articles
+    that only names exclude, by the voting signatures around them. refuted holds the signatures whose votes
+    don't count; without it (no template) ids inside an article don't count either.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, refuted: frozenset | set | None = None):
         self.tags: list[tuple[str, int]] = []
         self.blocks: list[tuple[str, str, bool, bool, bool]] = []
-        # An open container: name, path, article depth, main depth, excluded, whether only headings count.
-        stack: list[tuple[str, str, bool, bool, bool, bool]] = [("", "", False, False, False, False)]
+        self.votes: dict[str, int] = {}
+        self.hidden: dict[tuple[str, ...], int] = {}
+        # An open container: name, path, article depth, main depth, excluded, whether only headings count, excluded by more than names, votes, votes around an article.
+        stack: list[tuple] = [("", "", False, False, False, False, False, (), ())]
         parts: list[str] = []
         heading = False
         at, n = 0, len(source)
@@ -89,6 +104,11 @@ class Page:
                 if text:
                     top = stack[-1]
                     self.blocks.append((text, top[1], top[2], top[3], top[4] or (top[5] and not heading)))
+                    if top[7] and not top[6]:
+                        for vote in top[7]:
+                            self.votes[vote] += len(text)
+                        if top[8] == top[7]:
+                            self.hidden[top[8]] = self.hidden.get(top[8], 0) + len(text)
 
         while at < n:
             m = _TAG.search(source, at, last)
@@ -121,8 +141,12 @@ class Page:
                         break
                 continue
             attributes = m[3] if m[3] is not None else m[6] or ""
-            marked, signature = _marked(name, attributes)
+            marked, vote, signature = _marked(name, attributes)
             top = stack[-1]
+            if vote and (name == "body" or (vote == "id" and refuted is None and (top[2] or top[3])) or (refuted and token_hash(signature) in refuted)):
+                vote = ""
+            if vote:
+                self.votes.setdefault(signature, 0)
             path = f"{top[1]}>{signature}" if len(top[1]) < 2000 else top[1]  # nested beyond reason: the path stays
             self.tags.append((path, len(self.tags)))
             if name in _RAW:
@@ -134,10 +158,10 @@ class Page:
                 continue
             if name in _VOID or attributes.endswith("/"):
                 continue
-            if marked or name in _CONTAINERS:
+            if marked or vote or name in _CONTAINERS:
                 if name not in _INLINE:
                     flush()
-                if top[4] and name in ("article", "main") and not marked and self._unclosed(source, at, stack, unclosed):
+                if top[4] and name in ("article", "main") and not marked and not vote and self._unclosed(source, at, stack, unclosed):
                     while stack[-1][4]:  # the element that hides this article is never closed: it ends here
                         stack.pop()
                     top = stack[-1]
@@ -146,9 +170,12 @@ class Page:
                     top = stack[-1]
                 path = f"{top[1]}>{signature}" if len(top[1]) < 2000 else top[1]
                 inside = top[2] or top[3]
-                header = name == "header" and not marked
-                excluded = top[4] or (marked and name not in ("body", "main")) or name in _NEVER or (header and not inside)
-                stack.append((name, path, top[2] or (name == "article" and not excluded), top[3] or (name == "main" and not excluded), excluded, top[5] or header))
+                header = name == "header" and not marked and not vote
+                hard = top[6] or (marked and name not in ("body", "main")) or name in _NEVER or (header and not inside)
+                votes = top[7] + (signature,) if vote and name != "main" and len(top[7]) < 50 else top[7]
+                excluded = hard or bool(votes)
+                around = votes if name in ("article", "main") and not hard and not inside else top[8]
+                stack.append((name, path, top[2] or (name == "article" and not excluded), top[3] or (name == "main" and not excluded), excluded, top[5] or header, hard, votes, around))
         flush()
 
     @staticmethod
@@ -161,17 +188,64 @@ class Page:
             known[id(hiding)] = closed <= opened
         return known[id(hiding)]
 
-    def text(self, main: str | None, constants: set[int]) -> str:
-        """The article: blocks of article elements; else of main; else of the host's main container; else all that no rule excludes."""
+    def text(self, main: str | None, constants) -> str:
+        """The article: blocks of the host's main container that are not the template's; on pages without it, of article elements, main, or all.
+
+        constants: the template's classes, each its text tokens in order. Should they be half of an article element or
+        more, or all there is, the page is a copy of others, and its text is whole.
+        """
         kept = [b for b in self.blocks if not b[4]]
-        for choose in (lambda b: b[2], lambda b: b[3]):
-            if chosen := [b[0] for b in kept if choose(b)]:
-                return "\n".join(chosen)
-        rest = [b for b in kept if token_hash(b[0]) not in constants]
-        if main:
-            if chosen := [b[0] for b in rest if b[1] == main or b[1].startswith(main + ">")]:
-                return "\n".join(chosen)
-        return "\n".join(b[0] for b in rest)
+        own = self._template(kept, constants)
+        inside = [k for k, b in enumerate(kept) if main and (b[1] == main or b[1].startswith(main + ">"))]
+        if not any(kept[k][2] for k in inside) and any(b[2] for b in kept):
+            inside = []  # the page's article lies elsewhere
+        for places in (inside, [k for k, b in enumerate(kept) if b[2]], [k for k, b in enumerate(kept) if b[3]]):
+            if places:
+                rest = [k for k in places if k not in own]
+                article = [k for k in places if kept[k][2] or kept[k][3]]
+                dropped = sum(len(kept[k][0]) for k in article if k in own)
+                copy = not rest or 2 * dropped >= sum(len(kept[k][0]) for k in article) > 0
+                return "\n".join(kept[k][0] for k in (places if copy else rest))
+        return "\n".join(b[0] for k, b in enumerate(kept) if k not in own)
+
+    @staticmethod
+    def _template(kept: list, constants) -> set[int]:
+        """Places of the blocks that belong to the template: of each class those that keep its order on this page."""
+        if not constants:
+            return set()
+        at: dict[int, list[int]] = {}
+        for k, b in enumerate(kept):
+            at.setdefault(text_token(b[1], b[0]), []).append(k)
+        out: set[int] = set()
+        for members in constants:
+            here = [at[t] for t in members if t in at]
+            ends: list[int] = []  # the longest run of members whose first places rise
+            before: list[int] = [0] * len(here)
+            tails: list[int] = []
+            for k, places in enumerate(here):
+                j = bisect.bisect_left(ends, places[0])
+                ends[j:j + 1], tails[j:j + 1] = [places[0]], [k]
+                before[k] = tails[j - 1] if j else -1
+            k = tails[-1] if tails else -1
+            while k >= 0:
+                out.update(here[k])
+                k = before[k]
+        return out
+
+
+def read_page(source: str, refuted: frozenset | set | None = None) -> Page:
+    """The page; if its text lies in an article that only names exclude, those names don't count."""
+    page = Page(source, refuted)
+    if page.hidden:
+        votes, size = max(page.hidden.items(), key=lambda x: x[1])
+        if size > sum(len(b[0]) for b in page.blocks if not b[4]):
+            again = Page(source, (refuted or set()) | {token_hash(v) for v in votes})
+            return again
+    return page
+
+
+def text_token(path: str, text: str) -> int:
+    return token_hash(f"{path}\n{text}")
 
 
 def token_hash(token: str) -> int:
@@ -184,11 +258,12 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-_FACTS = "host string, token long, path string, sig decimal(20,0), pages long, least long, most long, place double, chars long"
+#: kind: 0 the page, 1 a tag, 2 a text block, 3 a text block in an article or main element, 4 a signature whose names vote against it.
+_FACTS = "host string, token long, path string, sig decimal(20,0), pages long, kind long, most long, place double, chars long"
 
 
 def _facts(batches):
-    """Per host and token of a task: sum of vector hashes, pages, counts' range, sum of places, characters directly inside."""
+    """Per host and token of a task: sum of vector hashes, pages, kind, highest count, sum of places, characters directly inside."""
     known: dict[tuple[str, int], list] = {}
 
     def rows():
@@ -198,33 +273,40 @@ def _facts(batches):
 
         columns.append(pa.array([Decimal(known[k][1]) for k in keys], pa.decimal128(20, 0)))
         columns += [pa.array([known[k][i] for k in keys], pa.float64() if i == 5 else pa.int64()) for i in range(2, 7)]
-        out = pa.RecordBatch.from_arrays(columns, ["host", "token", "path", "sig", "pages", "least", "most", "place", "chars"])
+        out = pa.RecordBatch.from_arrays(columns, ["host", "token", "path", "sig", "pages", "kind", "most", "place", "chars"])
         known.clear()
         return out
 
     for batch in batches:
         for host, page, source in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            parsed = Page(source or "")
+            parsed = read_page(source or "", frozenset())
             counts: dict[int, list] = {}
             for path, place in parsed.tags:
-                counts.setdefault(token_hash(path), [path, 0, place, 0])[1] += 1
+                counts.setdefault(token_hash(path), [path, 0, place, 0, 1])[1] += 1
             total = max(1, len(parsed.tags))
+            whole = 0
             for k, (text, path, article, main, excluded) in enumerate(parsed.blocks):
-                if not excluded and (own := counts.get(token_hash(path))) is not None:
+                whole += len(text)
+                if excluded:
+                    continue
+                if (own := counts.get(token_hash(path))) is not None:
                     own[3] += len(text)
-                if not article and not main and not excluded:  # blocks of the article are never the template's
-                    counts.setdefault(token_hash(text), [None, 0, k, 0])[1] += 1
+                own = counts.setdefault(text_token(path, text), [path, 0, k, 0, 3 if article or main else 2])
+                own[1] += 1
+                own[3] += len(text)
+            for signature, chars in parsed.votes.items():
+                counts[token_hash("vote " + signature)] = [signature, 1, 0, chars, 4]
             # The page itself is a token too: it stands once on every page and so leads the root class.
-            counts[0] = ["", 1, -1, 0]
-            for token, (path, n, place, chars) in counts.items():
+            counts[0] = ["", 1, -1, whole, 0]
+            for token, (path, n, place, chars, kind) in counts.items():
                 sign = xxhash.xxh64_intdigest(f"{page}/{n}", 12) >> 4
                 row = known.get((host, token))
                 if row is None:
-                    known[host, token] = [path, sign, 1, n, n, place / total, chars]
+                    known[host, token] = [path, sign, 1, kind, n, place / total, chars]
                 else:
                     row[1] = (row[1] + sign) % 10**18
                     row[2] += 1
-                    row[3], row[4] = min(row[3], n), max(row[4], n)
+                    row[4] = max(row[4], n)
                     row[5] += place / total
                     row[6] += chars
             if len(known) > 150_000:
@@ -233,29 +315,42 @@ def _facts(batches):
 
 
 def deduce_templates(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", support: int = 5, share: float = 0.5) -> DataFrame:
-    """(host, main, constants): each host's main container path and the text blocks that belong to its template.
+    """(host, main, constants, refuted): each host's main container, the classes of its template's text blocks, and the names that don't exclude.
 
     A class is valid with at least `support` pages and two tokens; its tokens' mean places give its order. Blocks
-    of a valid class, or with the page's own vector, on at least `share` of the host's pages are constants. The main container is the
-    one outside excluded elements that directly holds most text. Hosts with too few pages get neither.
+    of a valid class, or with the page's own vector, on at least `share` of the host's pages are constants, inside
+    article elements only if they stand once a page. The main container directly holds most other text; article and
+    main elements that are on `share` of the pages go first, whole. A name's vote is confirmed if its elements are on `support`
+    pages and hold less than half of the host's text, else refuted. Hosts with too few pages get none of these.
     """
     short_batches(pages.sparkSession)
     page = F.coalesce(F.col(page_id).cast("string"), F.lit(""))
     facts = pages.select(host_of(F.col(url)).alias("host"), page, F.col(source).cast("string")).mapInArrow(_facts, _FACTS)
     merged = facts.groupBy("host", "token").agg(
-        F.max("path").alias("path"), F.sum("sig").alias("sig"), F.sum("pages").alias("pages"), F.min("least").alias("least"),
+        F.max("path").alias("path"), F.sum("sig").alias("sig"), F.sum("pages").alias("pages"), F.min("kind").alias("kind"),
         F.max("most").alias("most"), (F.sum("place") / F.sum("pages")).alias("place"), F.sum("chars").alias("chars"),
     )
-    merged = settled(merged.where("pages > 1 or chars > 0 or token = 0"))
-    sizes = merged.where("token = 0").select("host", F.col("pages").alias("total"))
-    per_class = merged.groupBy("host", "sig", "pages").agg(F.count("*").alias("members"))
-    valid = merged.join(per_class, ["host", "sig", "pages"]).join(sizes, "host").where((F.col("pages") >= support) & (F.col("members") > 1))
-    constants = valid.where(F.col("path").isNull() & (F.col("pages") >= share * F.col("total"))).groupBy("host").agg(F.collect_list("token").alias("constants"))
-    heaviest = Window.partitionBy("host").orderBy(F.desc("chars"), "path")
-    main = merged.where("path is not null and chars > 0").withColumn("k", F.row_number().over(heaviest)).where("k = 1").select("host", F.col("path").alias("main"))
-    main = main.join(sizes.where(F.col("total") >= support).select("host"), "host", "left_semi")
-    return settled(sizes.select("host").join(main, "host", "left").join(constants, "host", "left"))
-
+    merged = settled(merged.where("pages > 1 or kind in (0, 4) or (kind = 1 and chars > 0)"))
+    sizes = merged.where("token = 0").select("host", F.col("pages").alias("total"), F.col("chars").alias("whole"))
+    large = sizes.where(F.col("total") >= support)
+    tokens = merged.where("kind < 4")
+    per_class = tokens.groupBy("host", "sig", "pages").agg(F.count("*").alias("members"))
+    valid = tokens.where("kind in (2, 3)").join(per_class, ["host", "sig", "pages"]).join(large, "host").where((F.col("pages") >= support) & (F.col("members") > 1))
+    fixed = valid.where((F.col("pages") >= share * F.col("total")) & ((F.col("kind") == 2) | (F.col("most") == 1)))
+    classes = fixed.groupBy("host", "sig", "pages").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("members"))
+    constants = classes.groupBy("host").agg(F.collect_list("members").alias("constants"))
+    element = F.regexp_extract("path", r"^(.*?>article(?![a-zA-Z0-9-])[^>]*)", 1)
+    element = F.when(element != "", element).otherwise(F.regexp_extract("path", r"^(.*?>main(?![a-zA-Z0-9-])[^>]*)", 1))
+    template = fixed.groupBy("host", "path").agg(F.sum("chars").alias("__fixed"))
+    held = tokens.where("kind = 1 and chars > 0").join(template, ["host", "path"], "left").withColumn("chars", F.col("chars") - F.coalesce("__fixed", F.lit(0)))
+    held = held.withColumn("hint", element != "").withColumn("main", F.when(element != "", element).otherwise(F.col("path")))
+    held = held.groupBy("host", "main").agg(F.sum("chars").alias("chars"), F.max("pages").alias("pages"), F.max("hint").alias("hint")).join(large, "host").where(F.col("pages") >= support)
+    heaviest = Window.partitionBy("host").orderBy(F.desc(F.col("hint") & (F.col("pages") >= share * F.col("total"))), F.desc("chars"), "main")
+    main = held.withColumn("k", F.row_number().over(heaviest)).where("k = 1").select("host", "main")
+    votes = merged.where("kind = 4").join(large, "host").where((F.col("pages") < support) | (2 * F.col("chars") >= F.col("whole")))
+    refuted = votes.groupBy("host").agg(F.collect_list("path").alias("refuted"))
+    made = sizes.select("host", F.when(F.col("total") >= support, F.array().cast("array<string>")).alias("none")).join(main, "host", "left").join(constants, "host", "left").join(refuted, "host", "left")
+    return settled(made.select("host", "main", "constants", F.coalesce("refuted", "none").alias("refuted")))
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", support: int = 5) -> DataFrame:
@@ -266,15 +361,27 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", s
     whole: nothing of the article's slots is dropped or cut.
     """
     templates = deduce_templates(pages, page_id, url, source, support)
-    size = templates.agg(F.sum(F.lit(64) + F.coalesce(F.length("main"), F.lit(0)) + 8 * F.coalesce(F.size("constants"), F.lit(0))).alias("b")).first()["b"] or 0
-    own = templates.select(F.col("host").alias("__host"), F.col("main").alias("__main"), F.col("constants").alias("__constants"))
+    size = templates.agg(F.sum(F.lit(64) + F.coalesce(F.length("main"), F.lit(0)) + 8 * F.coalesce(F.size(F.flatten("constants")), F.lit(0)) + F.coalesce(F.length(F.array_join("refuted", ",")), F.lit(0))).alias("b")).first()["b"] or 0
+    own = templates.select(F.col("host").alias("__host"), F.col("main").alias("__main"), F.col("constants").alias("__constants"), F.col("refuted").alias("__refuted"))
     joined = pages.withColumn("__at", host_of(F.col(url))).join(F.broadcast(own) if size * 4 <= BROADCAST_BYTES else own, F.col("__at") == F.col("__host"), "left")
 
-    def texts(sources: pa.Array, mains: pa.Array, constants: pa.Array) -> pa.Array:
-        out = [Page(s or "").text(m, set(c or ())) for s, m, c in zip(sources.to_pylist(), mains.to_pylist(), constants.to_pylist(), strict=True)]
-        return pa.array(out, pa.string())
+    known: dict[tuple, frozenset] = {}
+
+    def hashes(names) -> frozenset | None:
+        if names is None:
+            return None
+        key = tuple(names)
+        if key not in known:
+            if len(known) > 1000:
+                known.clear()
+            known[key] = frozenset(token_hash(x) for x in key)
+        return known[key]
+
+    def texts(sources: pa.Array, mains: pa.Array, constants: pa.Array, refuted: pa.Array) -> pa.Array:
+        rows = zip(sources.to_pylist(), mains.to_pylist(), constants.to_pylist(), refuted.to_pylist(), strict=True)
+        return pa.array([read_page(s or "", hashes(r)).text(m, c) for s, m, c, r in rows], pa.string())
 
-    texts.__annotations__ = {"sources": pa.Array, "mains": pa.Array, "constants": pa.Array, "return": pa.Array}
+    texts.__annotations__ = {"sources": pa.Array, "mains": pa.Array, "constants": pa.Array, "refuted": pa.Array, "return": pa.Array}
     read = F.arrow_udf(texts, "string").asNondeterministic()
-    made = joined.withColumn("__text", read(F.col(source).cast("string"), "__main", "__constants"))
-    return made.withColumns({"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}).drop("__text", "__at", "__host", "__main", "__constants")
+    made = joined.withColumn("__text", read(F.col(source).cast("string"), "__main", "__constants", "__refuted"))
+    return made.withColumns({"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}).drop("__text", "__at", "__host", "__main", "__constants", "__refuted")

@@ -107,3 +107,15 @@ def test_quality_tells_junk(spark):
     unseen = [r for r in rows if r[0] >= 300]
     assert sum(got[r[0]]["keep"] == r[4] for r in unseen) / len(unseen) > 0.97 and len(got) == 502
     assert {r["score"] for r in quality.score_quality(docs.limit(3), labels.limit(0)).collect()} == {0.5}
+
+
+def test_template_rules_inside_articles_too(spark):
+    page = '<html><body><nav>n</nav><article class="teaser"><p>Read {k}</p></article><article id="post-{k}"><p>Follow us for more</p><p>story {k} {q} is told at some length here</p><p>Sign the list</p></article></body></html>'
+    moved = '<html><body><article id="post-77"><p>Sign the list</p><p>a story that has its own order of words, at length</p><p>Follow us for more</p></article></body></html>'
+    rows = [(k, f"http://y.example/{k}", page.format(k=k, q=k * k)) for k in range(12)] + [(77, "http://y.example/77", moved)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"story {k} {k * k} is told at some length here" for k in range(12))
+    assert len(got[77].split("\n")) == 2  # one of the two stands out of the template's order
+    copies = [(k, f"http://z.example/{k}", page.format(k=1, q=1)) for k in range(8)]
+    got = html_text.extract_text(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()
+    assert all("story 1 1 is told" in r["text"] for r in got)  # copies of a page are no template
