@@ -119,3 +119,16 @@ def test_template_rules_inside_articles_too(spark):
     copies = [(k, f"http://z.example/{k}", page.format(k=1, q=1)) for k in range(8)]
     got = html_text.extract_text(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()
     assert all("story 1 1 is told" in r["text"] for r in got)  # copies of a page are no template
+
+
+def test_names_are_votes(spark):
+    read = lambda source: html_text.read_page(source).text(None, ())
+    assert read('<body><article class="post has-sidebar"><p>text</p><div class="ad">Buy</div></article></body>') == "text"
+    assert read('<article class="comments-open"><p>text</p></article>') == "text"
+    assert read('<div class="layout with-sidebar"><div class="sidebar">x</div><article><p>text</p></article></div>') == "text"
+    assert read('<article><h2 id="legal-basis">Basis</h2><section id="discussion"><p>text</p></section></article>') == "Basis\ntext"
+    assert read('<div><p>A post that is long enough</p></div><section class="comments"><article class="comment">nice</article></section>') == "A post that is long enough"
+    page = '<body><article><h2 id="how-to-register">Way {k}</h2><p>words of story {k}</p><div id="comments"><p>nice {k}</p></div>{own}</article></body>'
+    rows = [(k, f"http://v.example/{k}", page.format(k=k, own='<section id="discussion"><p>own part</p></section>' if k == 3 else "")) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Way {k}\nwords of story {k}" + ("\nown part" if k == 3 else "") for k in range(12))
