@@ -176,3 +176,21 @@ def test_picture_geometry(spark):
     assert r["s"]["width"] % 28 == 0 and r["s"]["width"] * r["s"]["height"] <= 500_000
     assert (r["t"]["columns"], r["t"]["rows"], r["t"]["tiles"]) == (3, 1, 4)
     assert I.decode(spark.createDataFrame([(bytearray(b"no picture"),)], "content binary")).first()["picture"]["broken"]
+
+
+def test_lexical_union_counts_words_and_characters_outside_the_fold(spark):
+    rows = spark.createDataFrame([(0, "Café cafe bar", 0), (1, "bar tea", 1), (2, "tea for two", 1), (3, None, 0)], "id int, text string, fold int")
+    statistics = E.lexical_statistics(rows, "id", F.col("text"), "fold")
+    made = E.lexical_union(rows, "id", F.col("text"), statistics, 2, 0, {"word": 100, "char": 100})
+    got = {r["id"]: r["features"] for r in made.collect()}
+    assert len(got) == 4 and all(v.size == 200 for v in got.values())
+    word = {i: [(k, w) for k, w in zip(v.indices, v.values) if k < 100] for i, v in got.items()}
+    char = {i: [(k, w) for k, w in zip(v.indices, v.values) if k >= 100] for i, v in got.items()}
+    assert len(word[0]) == 1 and len(word[1]) == 3 and not word[3]  # of fold 0 only "bar" is in the vocabulary
+    assert all(abs(sum(w * w for _, w in v) - 1) < 1e-9 for part in (word, char) for i, v in part.items() if i < 3)
+    idf = {"bar": np.log(3 / 2) + 1, "bar tea": np.log(3 / 2) + 1, "tea": np.log(3 / 3) + 1}
+    size = sum(x * x for x in idf.values()) ** 0.5
+    assert sorted(w for _, w in word[1]) == pytest.approx(sorted(x / size for x in idf.values()))
+    whole = E.lexical_statistics(rows, "id", F.col("text"), "fold").where("kind = 'word' and term = 'cafe'").first()
+    assert (whole["df"], whole["total"]) == (1, 2)
+    assert E.lexical_terms("Ab c", "char") == {" a": 1, "ab": 1, "b ": 1, " ab": 1, "ab ": 1, " ab ": 1, " c": 1, "c ": 1, " c ": 1}
