@@ -750,7 +750,7 @@ def fold_stacking(spark, d):
 @query()
 def nested_audit(spark, d):
     rows = E.with_vector(_bank(spark, d).withColumn("grp", F.col("id") % 40), "embedding")
-    return Pl.nested_audit(rows, "grp", "label", outer=2, inner=2).select("fold", F.round("threshold", 3).alias("threshold"), F.round("f1", 3).alias("f1"))
+    return Pl.nested_audit(rows, "grp", "label", outer=5, inner=5).select("fold", F.round("threshold", 3).alias("threshold"), F.round("f1", 3).alias("f1"))
 
 
 @query()

@@ -114,3 +114,7 @@ def test_entry_and_registry(spark):
     entry = importlib.import_module("__spark_entry__")
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_nested_audit_has_all_outer_folds(spark):
+    assert sorted(r["fold"] for r in registry.QUERIES["nested_audit"](spark, SMALL).collect()) == [0, 1, 2, 3, 4]
