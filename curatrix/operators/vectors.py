@@ -48,7 +48,7 @@ def knn_margin(queries: DataFrame, bank: DataFrame, query_id: str = "id", ref_id
     for k in range(slices):
         own = bank.where(part == k) if slices > 1 else bank
         fold = F.col(ref_fold) if ref_fold else F.lit(-1)
-        got = own.select(F.col(ref_id).cast("long").alias("rid"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("int").alias("y"), fold.cast("int").alias("f")).orderBy("rid").toArrow()
+        got = own.select(F.col(ref_id).cast("long").alias("rid"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("int").alias("y"), fold.cast("long").alias("f")).orderBy("rid").toArrow()
         if not got.num_rows:
             continue
         shared = queries.sparkSession.sparkContext.broadcast((got["rid"].to_numpy(), got["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim), got["y"].to_numpy(), got["f"].to_numpy()))
@@ -82,7 +82,7 @@ def _margins(queries: DataFrame, query_id: str, vector: str, query_fold: str | N
                 yield pa.RecordBatch.from_arrays(columns, ["id", "p", "n", "nearest", "nearest_label", "rid"])
 
     kind = dict(queries.dtypes)[query_id]
-    fold = F.col(query_fold).cast("int") if query_fold else F.lit(-1)
+    fold = F.col(query_fold).cast("long") if query_fold else F.lit(-1)
     shaped = queries.select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), fold.alias("f"))
     return shaped.mapInArrow(run, f"id {kind}, p double, n double, nearest double, nearest_label int, rid long")
 

@@ -604,6 +604,24 @@ def knn_margin_fold_excluded(spark, d):
     return made.select("id", r6("margin").alias("margin"), r6("nearest").alias("nearest"), "nearest_label")
 
 
+@query("WITH " + KNN.format(on="a.id <> b.id"))
+def knn_margin_whole(spark, d):
+    """Every row against the whole bank but itself."""
+    rows = _bank(spark, d)
+    made = V.knn_margin(rows, rows, query_fold="id", ref_fold="id")
+    return made.select("id", r6("margin").alias("margin"), r6("nearest").alias("nearest"), "nearest_label")
+
+
+@query()
+def prototype_margin_texts(spark, d):
+    """Every document against the literal prototype texts, both in the stand-in encoder's space."""
+    texts = [(i, t, int(i < len(K.PROTOTYPES_POSITIVE))) for i, t in enumerate(K.PROTOTYPES_POSITIVE + K.PROTOTYPES_NEGATIVE)]
+    vector = H.token_hash_vector(F.col("text"), 64).alias("embedding")
+    bank = spark.createDataFrame(texts, "id long, text string, label int").select("id", vector, "label")
+    made = V.knn_margin(table(spark, d, "documents").select(F.col("doc_id").alias("id"), vector), bank)
+    return made.select("id", r6("margin").alias("margin"), r6("nearest").alias("nearest"), "nearest_label")
+
+
 @query("WITH " + KNN.format(on="a.id <> b.id AND b.id < 46"))
 def prototype_margin(spark, d):
     rows = _bank(spark, d)

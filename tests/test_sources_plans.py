@@ -118,3 +118,20 @@ def test_entry_and_registry(spark):
 
 def test_nested_audit_has_all_outer_folds(spark):
     assert sorted(r["fold"] for r in registry.QUERIES["nested_audit"](spark, SMALL).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_knn_margin_whole_equals_its_oracle(spark):
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SMALL}/embeddings.parquet')")
+    made = registry.QUERIES["knn_margin_whole"](spark, SMALL)
+    rows = [tuple(r[c] for c in sorted(made.columns)) for r in made.collect()]
+    assert sorted(rows) == sorted(_oracle(duck, registry.ORACLES["knn_margin_whole"], made.columns))
+    assert len(rows) == spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
+
+
+def test_prototype_margin_has_a_literal_bank(spark):
+    assert len(K.PROTOTYPES_POSITIVE) == len(K.PROTOTYPES_NEGATIVE) == 23
+    made = registry.QUERIES["prototype_margin_texts"](spark, SMALL)
+    assert made.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count() and made.where("margin is not null").count() > 0
