@@ -477,7 +477,7 @@ def near_text_pairs(spark, d):
 def near_text_overlap(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
-    return Pl.near_text_overlap(docs, items, 0.97, N.word_terms)
+    return Pl.near_text_overlap(docs, items)
 
 
 # --- joins, sets, samples ---------------------------------------------------------------------------------------------------

@@ -135,3 +135,13 @@ def test_prototype_margin_has_a_literal_bank(spark):
     assert len(K.PROTOTYPES_POSITIVE) == len(K.PROTOTYPES_NEGATIVE) == 23
     made = registry.QUERIES["prototype_margin_texts"](spark, SMALL)
     assert made.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count() and made.where("margin is not null").count() > 0
+
+
+def test_near_text_overlap_meets_misspelt_words(spark, tmp_path):
+    import random
+
+    draw = random.Random(4)
+    words = ["".join(draw.choice("abcdefghijklmnoprstu") for _ in range(9)) for _ in range(45)]
+    for name, key, last in (("documents", "doc_id", words[-1]), ("benchmark", "item_id", words[-1][:-1] + "z")):
+        spark.createDataFrame([(1, " ".join([*words[:-1], last]))], f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert registry.QUERIES["near_text_overlap"](spark, str(tmp_path)).first()["overlap"] == 1
