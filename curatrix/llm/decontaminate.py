@@ -148,14 +148,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     remove="documents" leaves contaminated rows out, remove="spans" cuts the hit words from their
     texts (null texts stay null). Null and empty texts have no words and are never contaminated;
     repeated items count once by their item_id; an empty benchmark hits nothing. With the
-    benchmark over most_bytes the shuffle form answers; there remove="spans" isn't offered.
+    benchmark over most_bytes the shuffle form answers alike.
     """
     rows = benchmark_items(benchmark, item, item_text, most_bytes)
     names = ["n_words", "n_hit", "n_items", "items_sha256"]
     if rows is None:
-        if remove == "spans":
-            raise ValueError("spans can't be cut with a benchmark over the broadcast bound")
-        made = _joined(docs, benchmark, text, item, item_text, n)
+        made = _joined(docs, benchmark, text, item, item_text, n, remove == "spans")
     else:
         scan = contamination(rows, n, docs.sparkSession, remove == "spans")
         made = docs.withColumn("__hit", scan(F.col(text))).withColumns({c: F.col(f"__hit.{c}") for c in names})
@@ -166,8 +164,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     return made.where("not contaminated") if remove == "documents" else made
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, n: int) -> DataFrame:
-    """The same columns by a join on window digests, for benchmarks too large to broadcast."""
+def _cut_places(texts: pa.Array, places: pa.Array) -> pa.Array:
+    """Texts without the words at these places; null places leave a text as it is."""
+    out = []
+    for x, at in zip(texts.to_pylist(), places.to_pylist(), strict=True):
+        if x is not None and at:
+            hit = np.zeros(len(words_of(x)), dtype=bool)
+            hit[at] = True
+            x = _cut(x, _spans(x, hit))
+        out.append(x)
+    return pa.array(out, pa.string())
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, n: int, cut: bool = False) -> DataFrame:
+    """The same columns by a join on window digests, for benchmarks too large to broadcast. cut removes the hit words from the texts."""
     lengths = settled(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("t")))
 
     def digest(words: list[bytes]) -> bytes:
@@ -195,11 +205,12 @@ def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_te
     found = keyed.select("__row", F.col(text).alias("t")).mapInArrow(of_texts, "row long, len int, at int, gram binary").join(grams, ["len", "gram"])
     found = settled(found.select("row", "len", "at", "item"))
     items = found.select("row", "item").distinct().groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256).alias("items_sha256"))
-    hits = found.select("row", F.explode(F.sequence("at", F.col("at") + F.col("len") - 1)).alias("w")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    hits = found.select("row", F.explode(F.sequence("at", F.col("at") + F.col("len") - 1)).alias("w")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"), *([F.collect_list("w").alias("__places")] if cut else []))
     names = ["n_words", "n_hit", "n_items", "items_sha256"]
     count = texts_udf(lambda x: (len(words_of(x)),), "n long", {"n": pa.int64()})
     made = keyed.drop(*names).join(items.join(hits, "row"), F.col("__row") == F.col("row"), "left").drop("row")
-    return made.withColumns({"n_words": count(F.col(text))["n"], "n_hit": F.coalesce("n_hit", F.lit(0)), "n_items": F.coalesce("n_items", F.lit(0)), "items_sha256": F.coalesce("items_sha256", F.lit(sha256_hex(b"")))}).drop("__row")
+    made = made.withColumns({"n_words": count(F.col(text))["n"], "n_hit": F.coalesce("n_hit", F.lit(0)), "n_items": F.coalesce("n_items", F.lit(0)), "items_sha256": F.coalesce("items_sha256", F.lit(sha256_hex(b"")))}).drop("__row")
+    return made.withColumn(text, F.arrow_udf(_cut_places, "string")(F.col(text).cast("string"), "__places")).drop("__places") if cut else made
 
 
 ORACLE = r"""

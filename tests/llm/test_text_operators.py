@@ -285,3 +285,13 @@ def test_isotonic_and_constant_fits():
     m = Isotonic().fit(np.array([0.0, 1, 2, 3]), np.array([0.0, 1, 0, 1]))
     assert (np.diff(m(np.linspace(-1, 4, 50))) >= 0).all()
     assert Calibrated().fit(np.zeros((0, 2)), np.zeros(0))(np.zeros((3, 2))).tolist() == [0.0] * 3
+
+
+def test_spans_are_cut_with_large_benchmarks_too(spark):
+    from curatrix.llm.decontaminate import decontaminate
+
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"Été before, {item.upper()} — after"), (2, "nothing here"), (3, None), (4, f"{item} mid {item}"), (5, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, "mid one two")], "item_id long, text string")
+    one, two = ({r["doc_id"]: r.asDict() for r in decontaminate(docs, bench, remove="spans", most_bytes=size).collect()} for size in (64 << 20, 1))
+    assert one == two and two[1]["text"].startswith("Été before, ") and "SEVEN" not in two[1]["text"] and two[3]["text"] is None
