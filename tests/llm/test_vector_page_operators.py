@@ -132,3 +132,38 @@ def test_names_are_votes(spark):
     rows = [(k, f"http://v.example/{k}", page.format(k=k, own='<section id="discussion"><p>own part</p></section>' if k == 3 else "")) for k in range(12)]
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[k] == f"Way {k}\nwords of story {k}" + ("\nown part" if k == 3 else "") for k in range(12))
+
+
+def linked_pairs(dim, pairs, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for cosine in rng.uniform(0.905, 0.99, pairs):
+        unit, o = (v / np.linalg.norm(v) for v in rng.normal(size=(2, dim)))
+        o -= o @ unit * unit
+        rows += [unit, cosine * unit + np.sqrt(1 - cosine**2) * o / np.linalg.norm(o)]
+    return np.array(rows)
+
+
+def test_every_dimension_links(spark):
+    parts = [linked_pairs(dim, 40, dim) for dim in (64, 24)] + [np.ones((2, 3)), np.array([[2.0]])]
+    vectors = [v for p in parts for v in p]
+    got = D.embedding_links(spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")
+    at = 0
+    for p in parts:
+        ids = np.arange(at, at + len(p))
+        n, label = brute(ids, p)
+        own = got.loc[ids]
+        assert own.n_links.sum() >= 0.97 * n.sum() and (own.n_links.values <= n).all() and (own.component_id.values == label).mean() > 0.95
+        at += len(p)
+    assert got.loc[160].n_links == got.loc[161].n_links == 1 and got.loc[161].component_id == 160
+
+
+@pytest.mark.parametrize("n", [1000, 1 << 21, 1 << 23])
+def test_recall_of_every_setting(spark, monkeypatch, n):
+    chosen = D.settings(n, 64)
+    monkeypatch.setattr(D, "settings", lambda *_: chosen)
+    x = linked_pairs(64, 300, 8)
+    got = D.embedding_links(spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    share = got.where("n_links > 0").count() / len(x)
+    print(chosen, share)
+    assert share >= 0.96
