@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,39 @@ def texts_udf(per_text: Callable[[str], tuple], ddl: str, fields: dict[str, pa.D
     return lambda column: made(column.cast("string"))
 
 
+def batch_udf(per_batch: Callable[[pa.Array], pa.StructArray], ddl: str) -> Callable[[Column], Column]:
+    """The same for a function of a whole batch of texts (nulls left in)."""
+
+    def batch(texts: pa.Array) -> pa.Array:
+        return per_batch(texts)
+
+    batch.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    made = F.arrow_udf(batch, ddl).asNondeterministic()
+    return lambda column: made(column.cast("string"))
+
+
+def sampled_units(df: DataFrame, text: str, cut: Callable[[pa.Array], pa.Array], keep: int, sample_units: int = 262_144, longest: int = 48) -> list[str]:
+    """The most frequent units of a sample of the column, at most keep of them, none over longest bytes.
+
+    The sample is the first sample_units counts of distinct units in a batch, in the order in which Spark reads: a
+    bound on what reaches the driver, whatever the input. The answer fills look-up tables, where a unit that is
+    missing costs time and never changes a result; so no pass over the corpus and no shuffle is spent on it.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counted = cut(batch.column(0)).value_counts()
+            units, n = counted.field("values"), counted.field("counts")
+            short = pc.less_equal(pc.binary_length(units), longest)
+            yield pa.RecordBatch.from_arrays([units.filter(short), n.filter(short)], ["unit", "n"])
+
+    short_batches(df.sparkSession)
+    total: Counter = Counter()
+    for r in df.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "unit string, n long").limit(sample_units).collect():
+        total[r["unit"]] += r["n"]
+    return sorted(total, key=lambda u: (-total[u], u))[:keep]
+
+
 def frequent_units(df: DataFrame, text: str, split: Callable[[str], Iterable[str]], keep: int, per_task: int = 16384, longest: int = 48) -> list[str]:
     """The most frequent units of the whole column, at most keep of them, none over longest characters.
 
