@@ -120,12 +120,27 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def sample_by_hash(rows: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+    """At most `most` rows of distinct keys: those of the smallest hashes.
+
+    Their number is counted first, and a cut-off on the hash keeps little more than `most` of them, so that the
+    sort for the exact bound sees no more rows, however many tasks there are.
+    """
+    hashed = F.xxhash64(key, F.lit(seed))
+    n = rows.count()
+    if n > most:
+        share = (most + 6 * most**0.5 + 100) / n
+        rows = rows.where(F.pmod(hashed, F.lit(1 << 40)) < F.lit(int(min(1.0, share) * (1 << 40))))
+    return rows.orderBy(F.pmod(hashed, F.lit(1 << 40)), key).limit(most)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most: int) -> DataFrame:
     """(doc_id, text, y) of at most `most` labelled rows that aren't held out, chosen by a hash of the id.
 
     The chosen ids are broadcast (most bounds them), so the texts of the others never move. Labels
-    other than 0 and 1 and null ids are left out; an id with several labels takes its largest.
+    other than 0 and 1 and null ids are left out; an id with several labels takes its largest, one with several texts its smallest.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
-    chosen = usable.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(most)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", F.col("y").cast("int"))
+    chosen = sample_by_hash(usable.groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("y")), "__id", most)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    return texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
