@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     with a null end and self-loops are ignored; an empty edge table gives an empty result.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    both = settled(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # the edges are read once
+    both = settled(pairs.select(ways.alias("e")).select("e.*").distinct())
     labels = settled(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("n")).select("id", F.least("id", "n").alias("component")))
     for _ in range(max_rounds):
         seen = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import text as X
 from curatrix.operators.components import connected_components
+from curatrix.session import settled
 
 #: Buckets fuller than this say nothing about identity (placeholders, templates).
 MOST_TEXT, MOST_IMAGE, SHORTEST_KEY = 1000, 20, 8
@@ -22,13 +23,19 @@ def entity_keys(title: Column, text: Column, signature: Column | None = None) ->
 
 
 def key_buckets(df: DataFrame, row_id: str, keys: dict[str, tuple[Column, int]]) -> DataFrame:
-    """(row, kind, key, most) of keys of at least eight characters; the key is its digest, so long texts aren't shuffled."""
-    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.when(F.length(key) >= SHORTEST_KEY, F.sha2(key, 256)).alias("key"), F.lit(most).alias("most")) for kind, (key, most) in keys.items()])
-    return df.select(F.col(row_id).alias("row"), F.explode(each).alias("k")).select("row", "k.*").where("key is not null")
+    """(row, kind, key, most) of keys of at least eight characters; the key is its digest, so long texts aren't shuffled.
+
+    The digests of all families are one projection, in which what the families share is computed once.
+    """
+    digests = {kind: F.when(F.length(key) >= SHORTEST_KEY, F.unhex(F.sha2(key, 256))) for kind, (key, _) in keys.items()}
+    digested = df.select(F.col(row_id).alias("row"), *[digest.alias(f"__{kind}") for kind, digest in digests.items()])
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"__{kind}").alias("key"), F.lit(most).alias("most")) for kind, (_, most) in keys.items()])
+    return digested.select("row", F.explode(each).alias("k")).select("row", "k.*").where("key is not null")
 
 
 def bucket_edges(buckets: DataFrame) -> DataFrame:
-    """(src, dst) from every row of a bucket that links to its smallest row."""
+    """(src, dst) from every row of a bucket that links to its smallest row. The digests are written once, as both sides need them."""
+    buckets = settled(buckets)
     sized = buckets.groupBy("kind", "key").agg(F.count("*").alias("n"), F.min("row").alias("dst"), F.first("most").alias("most")).where("n > 1 and n <= most")
     return buckets.join(sized.select("kind", "key", "dst"), ["kind", "key"]).where("row <> dst").select(F.col("row").alias("src"), "dst")
 

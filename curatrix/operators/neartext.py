@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.session import settled
+
 
 def word_terms(text: Column, n: tuple[int, int] = (1, 1)) -> Column:
     """Words, lower-cased, and their n-grams."""
@@ -65,28 +67,64 @@ def prefixes(vectors: DataFrame, threshold: float) -> DataFrame:
     return rest.where(F.col("suffix") >= threshold - 1e-9).drop("suffix")
 
 
+def _maps(vectors: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(name, m): the vectors of the given ids as maps, made only for rows that some candidate needs."""
+    wanted = vectors.join(ids.select(F.col(name).alias("id")).distinct(), "id", "left_semi")
+    return wanted.groupBy(F.col("id").alias(name)).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias(f"m{name}"))
+
+
 def _verified(candidates: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    left, right = (v.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("m")) for v in (a, b))
-    both = candidates.join(left.select(F.col("id").alias("a"), F.col("m").alias("ma")), "a").join(right.select(F.col("id").alias("b"), F.col("m").alias("mb")), "b")
+    candidates = settled(candidates)
+    both = candidates.join(_maps(a, candidates, "a"), "a").join(_maps(b, candidates, "b"), "b")
     dot = F.aggregate(F.map_entries("ma"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.col("mb")[e["key"]], F.lit(0.0)))
     return both.select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
+def near_text_links(vectors: DataFrame, threshold: float = 0.97, by: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (id, class) gives every row with terms the smallest id of the rows with the same vector, links
+    (a, b, similarity), a < b, are all pairs of classes whose cosine reaches the threshold; exact.
+
+    vectors is tfidf(). by (id, part) restricts classes and links to rows of the same part. Copies never meet each other:
+    a class meets once, and only on prefix terms, so frequent words never do.
+    """
+    if by is not None:
+        vectors = vectors.join(by, "id")
+    vectors = settled(vectors)
+    part = ["part"] if by is not None else []
+    sorted_terms = F.array_sort(F.collect_list(F.concat_ws(" ", "term", F.hex(F.col("w").cast("string")))))
+    same = settled(vectors.groupBy("id", *part).agg(F.sha2(F.array_join(sorted_terms, ","), 256).alias("digest")))
+    members = settled(same.join(same.groupBy("digest", *part).agg(F.min("id").alias("class")), ["digest", *part]).select("id", "class"))
+    own = vectors.join(members.where("id = class").select("id"), "id", "left_semi")
+    p = prefixes(own, threshold).select("id", "term", *part)
+    met = p.withColumnRenamed("id", "a").join(p.withColumnRenamed("id", "b"), ["term", *part]).where("a < b").select("a", "b").distinct()
+    return members, _verified(met, own, own, threshold)
+
+
 def near_text_pairs(vectors: DataFrame, threshold: float = 0.97, by: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity), a < b, of all rows whose cosine reaches the threshold; exact.
 
-    vectors is tfidf(). by (id, part) restricts pairs to rows of the same part. Only prefix terms
-    meet, so frequent words never do.
+    This writes out every pair of a group of copies, the square of its size; near_text_links and near_text_classes don't.
     """
-    p = prefixes(vectors, threshold).select("id", "term")
-    if by is not None:
-        p = p.join(by, "id")
-    keys = ["term"] + (["part"] if by is not None else [])
-    met = p.withColumnRenamed("id", "a").join(p.withColumnRenamed("id", "b"), keys).where("a < b").select("a", "b").distinct()
-    return _verified(met, vectors, vectors, threshold)
+    members, links = near_text_links(vectors, threshold, by)
+    links = settled(links)
+    one, two = members.select(F.col("id").alias("x"), F.col("class").alias("a")), members.select(F.col("id").alias("y"), F.col("class").alias("b"))
+    across = links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    inside = one.join(two, one["a"] == two["b"]).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(inside)
+
+
+def near_text_classes(vectors: DataFrame, threshold: float = 0.97, by: DataFrame | None = None) -> DataFrame:
+    """(id, class, n_links) of every row with terms: its class of equal vectors and the number of other rows within the threshold."""
+    members, links = near_text_links(vectors, threshold, by)
+    sizes = members.groupBy("class").agg(F.count("*").alias("n"))
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("b").alias("class2")), F.struct(F.col("b").alias("class"), F.col("a").alias("class2")))).alias("e")).select("e.*")
+    beyond = ends.join(sizes.select(F.col("class").alias("class2"), "n"), "class2").groupBy("class").agg(F.sum("n").alias("beyond"))
+    total = sizes.join(beyond, "class", "left").select("class", (F.col("n") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"))
+    return members.join(total, "class").select("id", "class", "n_links")
 
 
 def near_text_across(left: DataFrame, right: DataFrame, threshold: float = 0.97) -> DataFrame:
     """(a, b, similarity) of rows of two sides, vectorised with one vocabulary."""
+    left, right = settled(left), settled(right)
     met = prefixes(left, threshold).select(F.col("id").alias("a"), "term").join(prefixes(right, threshold).select(F.col("id").alias("b"), "term"), "term").select("a", "b").distinct()
     return _verified(met, left, right, threshold)

@@ -23,10 +23,10 @@ def aligned_join(left: DataFrame, right: DataFrame, key: str, value: str, fill=N
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default=None) -> DataFrame:
-    """Dictionary look-up: table has one value a key; absent keys take the default, or fail without one."""
+    """Dictionary look-up: table has one value a key; absent keys take the default, or fail the query without one. A null value counts as absent."""
     joined = df.join(table.select(key, F.col(value).alias("__v")), key, "left")
-    made = F.coalesce(F.col("__v"), F.lit(default)) if default is not None else F.col("__v")
-    return joined.withColumn(value, made).drop("__v")
+    lacking = F.raise_error(F.concat(F.lit(f"no {value} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(table.schema[value].dataType)
+    return joined.withColumn(value, F.coalesce(F.col("__v"), F.lit(default) if default is not None else lacking)).drop("__v")
 
 
 def unknown_values(df: DataFrame, column: str, known: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def load_schema(document: str | Mapping | None, columns: Sequence[str]) -> dict:
     if document is None:
         return suggest_schema(columns)
     made = json.loads(document) if isinstance(document, str) else dict(document)
-    if made.get("schema_version", 1) != 1 or not isinstance(made.get("columns"), dict):
+    if made.get("schema_version", 1) != 1 or not isinstance(made.get("columns"), Mapping):
         raise ValueError("a schema needs schema_version 1 and a columns object")
     return made
 
@@ -63,7 +63,7 @@ def adapt(raw: DataFrame, schema: Mapping | None = None, base: str = "", require
     discovered: (id, images) found in an image directory, for schemas without an image column. Rows keep
     no order; without an id column ids count the rows from 0 in the order of all their columns.
     """
-    schema = load_schema(schema, raw.columns) if schema is None or isinstance(schema, str) else dict(schema)
+    schema = load_schema(schema, raw.columns)
     roles = schema.get("columns", {})
     fields = schema.get("text_fields") or K.TEXT_FIELDS
     if bad := sorted(GUARDED & set(fields)):

@@ -473,6 +473,14 @@ def near_text_pairs(spark, d):
     return N.near_text_pairs(_vectors(spark, d), 0.97, by).select("a", "b", r6("similarity").alias("similarity"))
 
 
+@query(f"""WITH {WORDS}, p AS (SELECT DISTINCT id, part FROM words), s AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS s FROM v a JOIN v b ON a.term = b.term JOIN p x ON x.id = a.id JOIN p y ON y.id = b.id AND x.part = y.part GROUP BY a.id, b.id HAVING sum(a.w * b.w) >= 0.97 - 1e-12),
+z AS (SELECT id, string_agg(term || ':' || round(w, 9), ' ' ORDER BY term) AS z FROM v GROUP BY id), c AS (SELECT id, min(id) OVER (PARTITION BY z, part) AS class FROM z JOIN p USING (id))
+SELECT id, class, count(*) - 1 AS n_links FROM c JOIN s ON s.a = c.id GROUP BY id, class""")
+def near_text_classes(spark, d):
+    by = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("part"))
+    return N.near_text_classes(_vectors(spark, d), 0.97, by)
+
+
 @query()
 def near_text_overlap(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")

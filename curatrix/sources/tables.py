@@ -17,7 +17,11 @@ def suffix(path: str) -> str:
 
 
 def read_table(spark: SparkSession, path: str, limit: int | None = None, schema=None, lenient: bool = False) -> DataFrame:
-    """CSV, JSON lines, a JSON array, or Parquet, by the path's suffix. lenient drops malformed CSV rows."""
+    """CSV, JSON lines, JSON (an array or lines), or Parquet, by the path's suffix. lenient drops malformed CSV rows.
+
+    A .json path holds an array or one document if its first files begin with [ or with a document over several lines; as
+    written by Spark it holds lines. Arrays are read whole by one task each, as their format asks.
+    """
     kind, reader = suffix(path), spark.read
     if schema is not None and kind not in (".parquet", ".pq"):
         reader = reader.schema(schema)
@@ -26,7 +30,7 @@ def read_table(spark: SparkSession, path: str, limit: int | None = None, schema=
     elif kind in (".jsonl", ".ndjson"):
         df = reader.json(path)
     elif kind == ".json":
-        df = reader.option("multiLine", True).json(path)
+        df = reader.option("multiLine", not _holds_lines(spark, path)).json(path)
     elif kind in (".parquet", ".pq"):
         df = reader.parquet(path)
     else:
@@ -34,6 +38,17 @@ def read_table(spark: SparkSession, path: str, limit: int | None = None, schema=
     return df.limit(limit) if limit is not None else df
 
 
+def _holds_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that isn't blank is a whole JSON document, and no array."""
+    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    if not first:
+        return False
+    try:
+        return isinstance(json.loads(first[0]["value"]), dict)
+    except ValueError:
+        return False
+
+
 def write_table(df: DataFrame, path: str, single: bool = False, mode: str = "overwrite") -> None:
     """The format follows the suffix; single writes one file where a contract asks for one."""
     kind = suffix(path)
