@@ -1,17 +1,21 @@
 """HTML extraction (operator 7): equivalence-class template deduction.
 
-A token is an opening tag or a block of text, each with the path of containers around it, so that a token
-nests in one place of the template: the same words in another container are another token. Over the pages of a
-host every token has an occurrence vector (how often it stands on each page). Tokens with the same vector form
-an equivalence class; a class is valid if it has enough pages and two tokens. Its tokens' mean places give its
-order, and on each page the tokens that break the order are no part of the template there. Text blocks of a
-valid class are the template's own, inside article elements too; the container that holds most of the host's other text is the
-article's slot. Article and main elements are hints: they rank the containers, and they choose on pages
-without the host's container. Names of classes and ids are votes, which the host has to confirm.
+A token is an opening tag or a block of text, each with the path of containers around it: the same words in another
+container are another token. Over the pages of a host every token has an occurrence vector (how often it stands on each
+page). Tokens with the same vector form an equivalence class; a class is valid if it has enough pages and two tokens.
+Its tokens' mean places give its order, and it is nested: the class of the tokens that every page has once is the root,
+and a further class lies in a slot between two tokens of a class with as many pages or more (its tokens are dealt to
+several slots where it spans them). So the valid classes of a host are a tree, its template.
+
+A page is matched with the tree from the root down: a class's tokens match where they keep its order inside their slot.
+Text blocks that match are the template's own, inside article elements too; what remains in the slots is the page's.
+The container that holds most of the host's remaining text is the article's. Article and main elements are hints: they
+rank the containers, and they choose on pages without the host's container. Names of classes and ids are votes, which
+the host has to confirm.
 
 Occurrence vectors are never gathered: a vector is represented by the sum, over its pages, of a hash of
 page and count, which adds up in any order, inside tasks first. So a host with a third of all pages
-costs each task one row a token.
+costs each task one row a token. What a host's template takes is bounded by its pages' size, not by their number.
 """
 
 from __future__ import annotations
@@ -77,7 +81,7 @@ def _marked(name: str, attributes: str) -> tuple[bool, str, str]:
 class Page:
     """One pass over a page: its opening tags with their paths, and its blocks of text in order.
 
-    tags: (token, place); blocks: (text, container token, in an article, in main, excluded);
+    tags: (token, place); blocks: (text, container token, in an article, in main, excluded, place); places count both, in page order;
     votes: characters inside each signature whose names vote against it; hidden: characters of the articles
     that only names exclude, by the voting signatures around them. refuted holds the signatures whose votes
     don't count; without it (no template) ids inside an article don't count either.
@@ -85,7 +89,7 @@ class Page:
 
     def __init__(self, source: str, refuted: frozenset | set | None = None):
         self.tags: list[tuple[str, int]] = []
-        self.blocks: list[tuple[str, str, bool, bool, bool]] = []
+        self.blocks: list[tuple[str, str, bool, bool, bool, int]] = []
         self.votes: dict[str, int] = {}
         self.hidden: dict[tuple[str, ...], int] = {}
         # An open container: name, path, article depth, main depth, excluded, whether only headings count, excluded by more than names, votes, votes around an article.
@@ -103,7 +107,7 @@ class Page:
                 parts.clear()
                 if text:
                     top = stack[-1]
-                    self.blocks.append((text, top[1], top[2], top[3], top[4] or (top[5] and not heading)))
+                    self.blocks.append((text, top[1], top[2], top[3], top[4] or (top[5] and not heading), len(self.tags) + len(self.blocks)))
                     if top[7] and not top[6]:
                         for vote in top[7]:
                             self.votes[vote] += len(text)
@@ -148,7 +152,7 @@ class Page:
             if vote:
                 self.votes.setdefault(signature, 0)
             path = f"{top[1]}>{signature}" if len(top[1]) < 2000 else top[1]  # nested beyond reason: the path stays
-            self.tags.append((path, len(self.tags)))
+            self.tags.append((path, len(self.tags) + len(self.blocks)))
             if name in _RAW:
                 if lower is None:
                     lower = source.lower() if source.isascii() else "".join(c.lower() if c < "\x80" else c for c in source)
@@ -188,14 +192,14 @@ class Page:
             known[id(hiding)] = closed <= opened
         return known[id(hiding)]
 
-    def text(self, main: str | None, constants) -> str:
+    def text(self, main: str | None, template) -> str:
         """The article: blocks of the host's main container that are not the template's; on pages without it, of article elements, main, or all.
 
-        constants: the template's classes, each its text tokens in order. Should they be half of an article element or
-        more, or all there is, the page is a copy of others, and its text is whole.
+        Should the template's blocks be half of an article element or more, or all there is, the page is a copy of others,
+        and its text is whole.
         """
         kept = [b for b in self.blocks if not b[4]]
-        own = self._template(kept, constants)
+        own = self._template(kept, template)
         inside = [k for k, b in enumerate(kept) if main and (b[1] == main or b[1].startswith(main + ">"))]
         if not any(kept[k][2] for k in inside) and any(b[2] for b in kept):
             inside = []  # the page's article lies elsewhere
@@ -208,29 +212,86 @@ class Page:
                 return "\n".join(kept[k][0] for k in (places if copy else rest))
         return "\n".join(b[0] for k, b in enumerate(kept) if k not in own)
 
-    @staticmethod
-    def _template(kept: list, constants) -> set[int]:
-        """Places of the blocks that belong to the template: of each class those that keep its order on this page."""
-        if not constants:
+    def _template(self, kept: list, template) -> set[int]:
+        """Numbers of the kept blocks that match the template: its classes (parent, slot, tokens), parents first."""
+        if not template:
             return set()
         at: dict[int, list[int]] = {}
-        for k, b in enumerate(kept):
-            at.setdefault(text_token(b[1], b[0]), []).append(k)
-        out: set[int] = set()
-        for members in constants:
-            here = [at[t] for t in members if t in at]
-            ends: list[int] = []  # the longest run of members whose first places rise
-            before: list[int] = [0] * len(here)
-            tails: list[int] = []
-            for k, places in enumerate(here):
-                j = bisect.bisect_left(ends, places[0])
-                ends[j:j + 1], tails[j:j + 1] = [places[0]], [k]
-                before[k] = tails[j - 1] if j else -1
-            k = tails[-1] if tails else -1
-            while k >= 0:
-                out.update(here[k])
-                k = before[k]
-        return out
+        for path, place in self.tags:
+            at.setdefault(token_hash(path), []).append(place)
+        for b in kept:
+            at.setdefault(text_token(b[1], b[0]), []).append(b[5])
+        own: set[int] = set()
+        found: list[list[tuple[int, int]]] = []  # of each class: (number of the token, its first place) where it matches
+        for parent, slot, tokens in template:
+            low, high = -1, len(self.tags) + len(self.blocks)
+            for k, place in found[parent] if parent >= 0 else ():
+                if k < slot:
+                    low = place
+                else:
+                    high = place
+                    break
+            here = [(k, inside) for k, t in enumerate(tokens) if t in at and (inside := [p for p in at[t] if low < p < high])]
+            chain = _rising([places[0] for _, places in here])
+            found.append([(here[k][0], here[k][1][0]) for k in chain])
+            own.update(p for k in chain for p in here[k][1])
+        return {k for k, b in enumerate(kept) if b[5] in own}
+
+
+def _rising(values: list[int]) -> list[int]:
+    """Numbers of a longest rising run of the values."""
+    ends: list[int] = []
+    tails: list[int] = []
+    before: list[int] = [0] * len(values)
+    for k, v in enumerate(values):
+        j = bisect.bisect_left(ends, v)
+        ends[j : j + 1], tails[j : j + 1] = [v], [k]
+        before[k] = tails[j - 1] if j else -1
+    out, k = [], tails[-1] if tails else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def nested(tokens: list[tuple]) -> list[tuple[int, int, list[int]]]:
+    """The classes of a host as a tree (parent, slot, tokens), parents first; -1 is no parent, slot k lies before a parent's token k.
+
+    tokens: (class, pages, token, mean place) of valid classes. Classes are taken by falling page counts, so that what stands
+    on more pages is further out. From the first (the root) down, a class goes into the slot where its tokens lie; tokens in
+    different slots part there.
+    """
+    classes: dict = {}
+    for cls, pages, token, place in tokens:
+        classes.setdefault((pages, cls), []).append((place, token))
+    made: list[tuple[int, int, list[int]]] = []
+    places: list[list[float]] = []
+    below: dict[tuple[int, int], list[int]] = {}  # (class, slot) -> the classes in it
+
+    def put(members: list[tuple[float, int]], parent: int, slot: int) -> None:
+        for child in below.get((parent, slot), ()):  # inside the outermost class there that reaches over all of them
+            if places[child][0] < members[0][0] and members[-1][0] < places[child][-1]:
+                parts: dict[int, list] = {}
+                for place, token in members:
+                    parts.setdefault(bisect.bisect_left(places[child], place), []).append((place, token))
+                for k, part in sorted(parts.items()):
+                    put(part, child, k)
+                return
+        below.setdefault((parent, slot), []).append(len(made))
+        made.append((parent, slot, [t for _, t in members]))
+        places.append([p for p, _ in members])
+
+    for _, members in sorted(classes.items(), key=lambda x: (-x[0][0], -len(x[1]), x[0][1])):
+        members.sort()
+        if not made:
+            put(members, -1, 0)
+            continue
+        parts: dict[int, list] = {}
+        for place, token in members:
+            parts.setdefault(bisect.bisect_left(places[0], place), []).append((place, token))
+        for k, part in sorted(parts.items()):
+            put(part, 0, k)
+    return made
 
 
 def read_page(source: str, refuted: frozenset | set | None = None) -> Page:
@@ -283,15 +344,15 @@ def _facts(batches):
             counts: dict[int, list] = {}
             for path, place in parsed.tags:
                 counts.setdefault(token_hash(path), [path, 0, place, 0, 1])[1] += 1
-            total = max(1, len(parsed.tags))
+            total = max(1, len(parsed.tags) + len(parsed.blocks))
             whole = 0
-            for k, (text, path, article, main, excluded) in enumerate(parsed.blocks):
+            for text, path, article, main, excluded, place in parsed.blocks:
                 whole += len(text)
                 if excluded:
                     continue
                 if (own := counts.get(token_hash(path))) is not None:
                     own[3] += len(text)
-                own = counts.setdefault(text_token(path, text), [path, 0, k, 0, 3 if article or main else 2])
+                own = counts.setdefault(text_token(path, text), [path, 0, place, 0, 3 if article or main else 2])
                 own[1] += 1
                 own[3] += len(text)
             for signature, chars in parsed.votes.items():
@@ -314,14 +375,25 @@ def _facts(batches):
     yield rows()
 
 
+_TEMPLATE = "host string, template array<struct<parent: int, slot: int, tokens: array<bigint>>>"
+
+
+def _nest(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    tree = nested([((r["sig"], r["pages"]), r["pages"], r["token"], r["place"]) for r in rows])
+    kind = pa.list_(pa.struct([("parent", pa.int32()), ("slot", pa.int32()), ("tokens", pa.list_(pa.int64()))]))
+    made = pa.array([[{"parent": p, "slot": s, "tokens": t} for p, s, t in tree]], kind)
+    return pa.Table.from_arrays([pa.array([rows[0]["host"]], pa.string()), made], ["host", "template"])
+
+
 def deduce_templates(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", support: int = 5, share: float = 0.5) -> DataFrame:
-    """(host, main, constants, refuted): each host's main container, the classes of its template's text blocks, and the names that don't exclude.
+    """(host, main, template, refuted): each host's main container, the tree of its classes, and the names that don't exclude.
 
-    A class is valid with at least `support` pages and two tokens; its tokens' mean places give its order. Blocks
-    of a valid class, or with the page's own vector, on at least `share` of the host's pages are constants, inside
-    article elements only if they stand once a page. The main container directly holds most other text; article and
-    main elements that are on `share` of the pages go first, whole. A name's vote is confirmed if its elements are on `support`
-    pages and hold less than half of the host's text, else refuted. Hosts with too few pages get none of these.
+    A class is valid with at least `support` pages and two tokens. Of its tokens those on at least `share` of the host's pages
+    are the template's: text blocks, inside article elements only if they stand once a page, and tags that stand once
+    a page. The main container directly holds most other text; article and main elements that are on `share` of the pages go
+    first, whole. A name's vote is confirmed if its elements are on `support` pages and hold less than half of the host's
+    text, else refuted. Hosts with too few pages get none of these.
     """
     short_batches(pages.sparkSession)
     page = F.coalesce(F.col(page_id).cast("string"), F.lit(""))
@@ -335,34 +407,35 @@ def deduce_templates(pages: DataFrame, page_id: str = "page_id", url: str = "url
     large = sizes.where(F.col("total") >= support)
     tokens = merged.where("kind < 4")
     per_class = tokens.groupBy("host", "sig", "pages").agg(F.count("*").alias("members"))
-    valid = tokens.where("kind in (2, 3)").join(per_class, ["host", "sig", "pages"]).join(large, "host").where((F.col("pages") >= support) & (F.col("members") > 1))
+    valid = tokens.where("kind in (1, 2, 3)").join(per_class, ["host", "sig", "pages"]).join(large, "host").where((F.col("pages") >= support) & (F.col("members") > 1))
     fixed = valid.where((F.col("pages") >= share * F.col("total")) & ((F.col("kind") == 2) | (F.col("most") == 1)))
-    classes = fixed.groupBy("host", "sig", "pages").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("members"))
-    constants = classes.groupBy("host").agg(F.collect_list("members").alias("constants"))
+    templates = fixed.select("host", F.col("sig").cast("string").alias("sig"), "pages", "token", "place").groupBy("host").applyInArrow(_nest, _TEMPLATE)
+    fixed = fixed.where("kind > 1")
     element = F.regexp_extract("path", r"^(.*?>article(?![a-zA-Z0-9-])[^>]*)", 1)
     element = F.when(element != "", element).otherwise(F.regexp_extract("path", r"^(.*?>main(?![a-zA-Z0-9-])[^>]*)", 1))
-    template = fixed.groupBy("host", "path").agg(F.sum("chars").alias("__fixed"))
-    held = tokens.where("kind = 1 and chars > 0").join(template, ["host", "path"], "left").withColumn("chars", F.col("chars") - F.coalesce("__fixed", F.lit(0)))
+    constant = fixed.groupBy("host", "path").agg(F.sum("chars").alias("__fixed"))
+    held = tokens.where("kind = 1 and chars > 0").join(constant, ["host", "path"], "left").withColumn("chars", F.col("chars") - F.coalesce("__fixed", F.lit(0)))
     held = held.withColumn("hint", element != "").withColumn("main", F.when(element != "", element).otherwise(F.col("path")))
     held = held.groupBy("host", "main").agg(F.sum("chars").alias("chars"), F.max("pages").alias("pages"), F.max("hint").alias("hint")).join(large, "host").where(F.col("pages") >= support)
     heaviest = Window.partitionBy("host").orderBy(F.desc(F.col("hint") & (F.col("pages") >= share * F.col("total"))), F.desc("chars"), "main")
     main = held.withColumn("k", F.row_number().over(heaviest)).where("k = 1").select("host", "main")
     votes = merged.where("kind = 4").join(large, "host").where((F.col("pages") < support) | (2 * F.col("chars") >= F.col("whole")))
     refuted = votes.groupBy("host").agg(F.collect_list("path").alias("refuted"))
-    made = sizes.select("host", F.when(F.col("total") >= support, F.array().cast("array<string>")).alias("none")).join(main, "host", "left").join(constants, "host", "left").join(refuted, "host", "left")
-    return settled(made.select("host", "main", "constants", F.coalesce("refuted", "none").alias("refuted")))
+    made = sizes.select("host", F.when(F.col("total") >= support, F.array().cast("array<string>")).alias("none")).join(main, "host", "left").join(templates, "host", "left").join(refuted, "host", "left")
+    return settled(made.select("host", "main", "template", F.coalesce("refuted", "none").alias("refuted")))
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", support: int = 5) -> DataFrame:
     """pages with text and n_chars (code points of text) added (same names are replaced).
 
-    Null and empty pages have the empty text. Pages of hosts with few pages are read by the element
-    rules alone. Repeated rows give repeated results; null ids and URLs count as empty. Text is
+    Null and empty pages have the empty text; an empty table stays empty. Pages of hosts with few pages are read by the element
+    rules alone. Repeated rows give repeated results; null ids and URLs count as empty. Pages of any length are read
     whole: nothing of the article's slots is dropped or cut.
     """
     templates = deduce_templates(pages, page_id, url, source, support)
-    size = templates.agg(F.sum(F.lit(64) + F.coalesce(F.length("main"), F.lit(0)) + 8 * F.coalesce(F.size(F.flatten("constants")), F.lit(0)) + F.coalesce(F.length(F.array_join("refuted", ",")), F.lit(0))).alias("b")).first()["b"] or 0
-    own = templates.select(F.col("host").alias("__host"), F.col("main").alias("__main"), F.col("constants").alias("__constants"), F.col("refuted").alias("__refuted"))
+    bytes_of = F.lit(64) + F.coalesce(F.length("main"), F.lit(0)) + F.coalesce(F.aggregate("template", F.lit(0), lambda s, c: s + 16 + 8 * F.size(c["tokens"])), F.lit(0)) + F.coalesce(F.length(F.array_join("refuted", ",")), F.lit(0))
+    size = templates.agg(F.sum(bytes_of).alias("b")).first()["b"] or 0
+    own = templates.select(F.col("host").alias("__host"), F.struct("main", "template", "refuted").alias("__of_host"))
     joined = pages.withColumn("__at", host_of(F.col(url))).join(F.broadcast(own) if size * 4 <= BROADCAST_BYTES else own, F.col("__at") == F.col("__host"), "left")
 
     known: dict[tuple, frozenset] = {}
@@ -377,11 +450,18 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", s
             known[key] = frozenset(token_hash(x) for x in key)
         return known[key]
 
-    def texts(sources: pa.Array, mains: pa.Array, constants: pa.Array, refuted: pa.Array) -> pa.Array:
-        rows = zip(sources.to_pylist(), mains.to_pylist(), constants.to_pylist(), refuted.to_pylist(), strict=True)
-        return pa.array([read_page(s or "", hashes(r)).text(m, c) for s, m, c, r in rows], pa.string())
-
-    texts.__annotations__ = {"sources": pa.Array, "mains": pa.Array, "constants": pa.Array, "refuted": pa.Array, "return": pa.Array}
+    def texts(sources: pa.Array, hosts: pa.Array, of_hosts: pa.Array) -> pa.Array:
+        places: dict = {}
+        out = []
+        for k, (s, host) in enumerate(zip(sources.to_pylist(), hosts.to_pylist(), strict=True)):
+            if host not in places:  # the template of a host is unpacked once a batch
+                t = of_hosts[k].as_py() or {"main": None, "template": None, "refuted": None}
+                places[host] = t["main"], [(c["parent"], c["slot"], c["tokens"]) for c in t["template"] or ()], hashes(t["refuted"])
+            main, template, refuted = places[host]
+            out.append(read_page(s or "", refuted).text(main, template))
+        return pa.array(out, pa.string())
+
+    texts.__annotations__ = {"sources": pa.Array, "hosts": pa.Array, "of_hosts": pa.Array, "return": pa.Array}
     read = F.arrow_udf(texts, "string").asNondeterministic()
-    made = joined.withColumn("__text", read(F.col(source).cast("string"), "__main", "__constants", "__refuted"))
-    return made.withColumns({"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}).drop("__text", "__at", "__host", "__main", "__constants", "__refuted")
+    made = joined.withColumn("__text", read(F.col(source).cast("string"), "__at", "__of_host"))
+    return made.withColumns({"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}).drop("__text", "__at", "__host", "__of_host")
