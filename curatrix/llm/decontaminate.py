@@ -21,6 +21,8 @@ from curatrix.llm.common import BROADCAST_BYTES, settled, sha256_hex, short_batc
 
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Columns that the join form adds for itself and drops again.
+_ROW, _PLACES = "__decontaminate_row", "__decontaminate_places"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -84,7 +86,8 @@ def _gram_set(shared) -> GramSet:
 
 
 def items_digest(items) -> str:
-    return sha256_hex(",".join(sorted(map(str, items))).encode())
+    """Of the ids in order; an item without an id counts as one, but has none to put in."""
+    return sha256_hex(",".join(sorted(str(i) for i in items if i is not None)).encode())
 
 
 def _spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -123,7 +126,7 @@ def benchmark_items(benchmark: DataFrame, item: str, text: str, most_bytes: int)
     size = benchmark.agg(F.sum(F.octet_length(text) + F.lit(64)).alias("b")).first()["b"] or 0
     if size * 12 > most_bytes:  # ids, tuples and sets take about this many times the text
         return None
-    return [(r[0], r[1]) for r in benchmark.select(item, text).collect()]
+    return [(r[0], r[1]) for r in benchmark.select(F.col(item).cast("string"), F.col(text).cast("string")).collect()]
 
 
 def contamination(items: list[tuple], n: int, session, remove: bool = False) -> Callable[[Column], Column]:
@@ -146,9 +149,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated added (same names are replaced).
 
     remove="documents" leaves contaminated rows out, remove="spans" cuts the hit words from their
-    texts (null texts stay null). Null and empty texts have no words and are never contaminated;
-    repeated items count once by their item_id; an empty benchmark hits nothing. With the
-    benchmark over most_bytes the shuffle form answers alike.
+    texts (null texts stay null). Null and empty texts have no words and are never contaminated; long ones
+    are scanned whole; repeated rows are judged each; an empty table stays empty. Repeated items count once by their item_id, items
+    without an id count as one item that the digest leaves out; an empty benchmark hits nothing. Further columns stay as
+    they are. With the benchmark over most_bytes the shuffle form answers alike.
     """
     rows = benchmark_items(benchmark, item, item_text, most_bytes)
     names = ["n_words", "n_hit", "n_items", "items_sha256"]
@@ -156,10 +160,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         made = _joined(docs, benchmark, text, item, item_text, n, remove == "spans")
     else:
         scan = contamination(rows, n, docs.sparkSession, remove == "spans")
-        made = docs.withColumn("__hit", scan(F.col(text))).withColumns({c: F.col(f"__hit.{c}") for c in names})
+        made = docs.withColumn(_ROW, scan(F.col(text))).withColumns({c: F.col(f"{_ROW}.{c}") for c in names})
         if remove == "spans":
-            made = made.withColumn(text, F.when(F.col("n_hit") > 0, F.col("__hit.cleaned")).otherwise(F.col(text)))
-        made = made.drop("__hit")
+            made = made.withColumn(text, F.when(F.col("n_hit") > 0, F.col(f"{_ROW}.cleaned")).otherwise(F.col(text)))
+        made = made.drop(_ROW)
     made = made.withColumn("contaminated", F.col("n_hit") > 0)
     return made.where("not contaminated") if remove == "documents" else made
 
@@ -191,7 +195,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_te
 
     grams = settled(lengths.select(F.col("item").cast("string"), "t").mapInArrow(of_items, "item string, len int, gram binary").distinct())
     sizes = sorted(r[0] for r in grams.select("len").distinct().collect())
-    keyed = settled(docs.withColumn("__row", F.monotonically_increasing_id()))
+    keyed = settled(docs.withColumn(_ROW, F.monotonically_increasing_id()))
 
     def of_texts(batches):
         for batch in batches:
@@ -200,17 +204,16 @@ def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_te
                 for k in sizes:
                     at = range(len(words) - k + 1)
                     if at:
-                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(at), pa.int64()), pa.array([k] * len(at), pa.int32()), pa.array(list(at), pa.int32()), pa.array([digest(words[i : i + k]) for i in at], pa.binary())], ["row", "len", "at", "gram"])
+                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(at), pa.int64()), pa.array([k] * len(at), pa.int32()), pa.array(list(at), pa.int32()), pa.array([digest(words[i : i + k]) for i in at], pa.binary())], [_ROW, "len", "at", "gram"])
 
-    found = keyed.select("__row", F.col(text).alias("t")).mapInArrow(of_texts, "row long, len int, at int, gram binary").join(grams, ["len", "gram"])
-    found = settled(found.select("row", "len", "at", "item"))
-    items = found.select("row", "item").distinct().groupBy("row").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256).alias("items_sha256"))
-    hits = found.select("row", F.explode(F.sequence("at", F.col("at") + F.col("len") - 1)).alias("w")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"), *([F.collect_list("w").alias("__places")] if cut else []))
-    names = ["n_words", "n_hit", "n_items", "items_sha256"]
+    found = keyed.select(_ROW, F.col(text).cast("string")).mapInArrow(of_texts, f"{_ROW} long, len int, at int, gram binary").join(grams, ["len", "gram"])
+    found = settled(found.select(_ROW, "len", "at", "item"))
+    items = found.select(_ROW, "item").distinct().groupBy(_ROW).agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256).alias("items_sha256"))
+    hits = found.select(_ROW, F.explode(F.sequence("at", F.col("at") + F.col("len") - 1)).alias("w")).distinct().groupBy(_ROW).agg(F.count("*").alias("n_hit"), *([F.collect_list("w").alias(_PLACES)] if cut else []))
     count = texts_udf(lambda x: (len(words_of(x)),), "n long", {"n": pa.int64()})
-    made = keyed.drop(*names).join(items.join(hits, "row"), F.col("__row") == F.col("row"), "left").drop("row")
-    made = made.withColumns({"n_words": count(F.col(text))["n"], "n_hit": F.coalesce("n_hit", F.lit(0)), "n_items": F.coalesce("n_items", F.lit(0)), "items_sha256": F.coalesce("items_sha256", F.lit(sha256_hex(b"")))}).drop("__row")
-    return made.withColumn(text, F.arrow_udf(_cut_places, "string")(F.col(text).cast("string"), "__places")).drop("__places") if cut else made
+    made = keyed.drop("n_words", "n_hit", "n_items", "items_sha256").join(items.join(hits, _ROW), _ROW, "left")
+    made = made.withColumns({"n_words": count(F.col(text))["n"], "n_hit": F.coalesce("n_hit", F.lit(0)), "n_items": F.coalesce("n_items", F.lit(0)), "items_sha256": F.coalesce("items_sha256", F.lit(sha256_hex(b"")))}).drop(_ROW)
+    return made.withColumn(text, F.arrow_udf(_cut_places, "string")(F.col(text).cast("string"), _PLACES)).drop(_PLACES) if cut else made
 
 
 ORACLE = r"""

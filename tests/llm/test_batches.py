@@ -154,3 +154,31 @@ def test_samples_by_hash_are_bounded_and_stable(spark):
     order = [r["k"] for r in rows.orderBy(F.pmod(F.xxhash64("k", F.lit(42)), F.lit(1 << 40))).collect()]
     for most in (0, 10, 400, 4999, 9000):
         assert [r["k"] for r in sample_by_hash(rows.repartition(7), "k", most).collect()] == order[:most]
+
+
+def test_both_decontamination_forms_agree_on_odd_rows(spark):
+    from curatrix.llm.decontaminate import decontaminate
+
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, item, 5, 6), (2, None, 7, 8), (2, None, 7, 8), (3, f"x {item} mid short item", 1, 2)], "doc_id long, text string, row int, item int")
+    bench = spark.createDataFrame([(None, item), (None, "short item"), (4, item), (4, item), (9, None)], "item_id long, text string")
+    one, two = (sorted(map(str, decontaminate(docs, bench, most_bytes=size).select("doc_id", "row", "item", "n_words", "n_hit", "n_items", "items_sha256").collect())) for size in (64 << 20, 1))
+    assert one == two and len(one) == 4
+    assert decontaminate(docs.limit(0), bench, most_bytes=1).count() == 0
+
+
+def test_quality_with_odd_tables(spark):
+    from curatrix.llm.quality import score_quality
+
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma.", "delta", "of", "to"]) for _ in range(60)) if i % 3 else "## $$ 1 1 1 1 " * 9, "en", 9, True) for i in range(180)]
+    rows += [(5, "x " * 30000, "de", 1, None), (5, None, None, 2, None), (9000, "", None, 3, None), (9001, "unlabelled text of words", "fr", 4, None), (None, None, None, 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, keep boolean")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(150)] + [(None, 1)], "doc_id long, quality int")
+    run = lambda d: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"], r["keep"]) for r in score_quality(d, labels).collect())
+    once = run(docs.coalesce(1))
+    assert run(docs.repartition(5, "text")) == once and len(once) == len(rows) and all(0 <= r[2] <= 1 for r in once)
+    right = [r[3] == (r[1] % 3 > 0) for r in once if 150 <= r[1] < 180]
+    assert sum(right) / len(right) > 0.9
+    assert score_quality(docs.limit(0), labels).count() == 0
+    assert {r["score"] for r in score_quality(docs.limit(5), labels.limit(0)).collect()} == {0.5}
