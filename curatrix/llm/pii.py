@@ -42,9 +42,18 @@ _TITLED = re.compile(r"(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora|
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[ ./-][01]?[0-9][ ./-][0-3]?[0-9]|[0-3]?[0-9][ ./-][01]?[0-9][ ./-](?:19|20)[0-9]{2}")
 
 # Gazetteers (fixed values).
-_TLDS = set("com org net edu gov info io co de fr es it nl at ch uk us eu ca au jp example test invalid".split())
-_IBAN_LANDS = set("AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK".split())
-_GIVEN = set("james mary john linda robert maria michael anna david laura peter paul hans klaus sabine jürgen pierre marie jean claire josé carmen juan lucía pablo thomas julia sarah emma lukas".split())
+_TLDS = set(
+    "com org net edu gov mil int info biz name pro io co me tv app dev cloud online site shop store blog tech ai xyz "
+    "at au be bg br ca ch cl cn cy cz de dk ee es eu fi fr gr hk hr hu ie il in is it jp kr li lt lu lv mt mx nl no nz pe pl pt ro ru se si sk tr tw ua uk us za example test invalid".split()
+)
+_IBAN_LANDS = set("AD AE AL AT AZ BA BE BG CH CY CZ DE DK EE ES FI FR GB GI GR HR HU IE IL IS IT KW LB LI LT LU LV MC MD ME MK MT NL NO PL PT RO RS SA SE SI SK SM TN TR UA".split())
+_GIVEN = set(
+    "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark donald steven paul andrew joshua kenneth kevin brian george edward ronald peter "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa betty margaret sandra ashley emily donna michelle carol amanda emma olivia laura anna julia alice jane "
+    "hans klaus jürgen wolfgang dieter uwe stefan andreas lukas felix jonas maximilian sabine petra monika ursula karin heike claudia katharina lena sophie greta ingrid "
+    "pierre jean michel philippe alain nicolas louis antoine julien marie claire nathalie isabelle sylvie catherine camille chloé léa hélène "
+    "josé juan antonio manuel francisco javier carlos miguel pedro pablo alejandro carmen maría ana isabel lucía pilar dolores elena marta sofía".split()
+)
 _ISSUERS = re.compile(r"4|5[1-5]|2[2-7]|3[47]|6011|65|62|35")
 _WORDS = {
     "email": "mail email e-mail contact kontakt correo courriel write schreib", "ip": "ip host server address adresse dirección adresse login", "card": "card karte carte tarjeta visa mastercard credit kredit",
@@ -170,17 +179,32 @@ def votes(text: str, start: int, end: int, kind: int) -> tuple[int, int, int, in
 
 
 def pattern(text: str, span: tuple[int, int, int]) -> tuple[int, ...]:
-    """What the models see of a span: kind, four votes, length class."""
+    """What the models see of a span: kind and four votes, and for the classifier alone its length class, its shape and its neighbours' classes."""
     start, end, kind = span
-    return (kind, *votes(text, start, end, kind), min(3, (end - start) // 8))
+    return (kind, *votes(text, start, end, kind), min(3, (end - start) // 8), shape_of(text[start:end]), neighbour(text[start - 1 : start]), neighbour(text[end : end + 1]))
+
+
+def shape_of(value: str) -> int:
+    """0 digits and signs, 1 letters alone, 2 letters with blanks, 3 letters and signs, 4 letters and digits, 5 these and both cases."""
+    letters, digits = any(c.isalpha() for c in value), any("0" <= c <= "9" for c in value)
+    if not letters:
+        return 0
+    if digits:
+        return 5 if value.lower() != value != value.upper() else 4
+    return 1 if value.isalpha() else 2 if value.replace(" ", "").isalpha() else 3
+
+
+def neighbour(c: str) -> int:
+    """0 the text's end, 1 white space, 2 a sign that introduces or ends a value, 3 another sign, 4 a letter or digit."""
+    return 0 if not c else 1 if c.isspace() else 4 if c.isalnum() else 2 if c in ":=,.;()<>[]\"'" else 3
 
 
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> np.ndarray:
     """Weights of the final classifier from pattern counts.
 
-    Dawid-Skene with one accuracy table per kind and labeler (votes -1, 0, 1 under either class), started
-    at the majority vote, with pseudo-counts that expect labelers to be right; then a logistic model on
-    the one-hot votes, kind and length class is fitted to the probabilities by Newton steps with a ridge.
+    Dawid-Skene on kind and votes, with one accuracy table per kind and labeler (votes -1, 0, 1 under either class), started
+    at the majority vote, with pseudo-counts that expect labelers to be right; then a logistic model on the one-hot votes and
+    kind, and on the length, shape and neighbours that no labeler reports, is fitted to the probabilities by Newton steps with a ridge.
     """
     keys = sorted(patterns)
     design = np.array([design_row(k) for k in keys]).reshape(-1, DESIGN)
@@ -213,24 +237,24 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> np.ndarr
     return w
 
 
+#: Values of each part of a pattern in the classifier's one-hot design: kind, votes, length, shape, the neighbours before and after.
+PARTS = (len(KINDS), 3, 3, 3, 3, 4, 6, 5, 5)
+DESIGN = 1 + sum(PARTS)
+
+
 def design_row(key: tuple[int, ...]) -> np.ndarray:
-    row = np.zeros(DESIGN)
-    kind, *vote, size = key
+    row, at = np.zeros(DESIGN), 1
     row[0] = 1
-    row[1 + kind] = 1
-    for j, v in enumerate(vote):
-        row[1 + len(KINDS) + 3 * j + v + 1] = 1
-    row[1 + len(KINDS) + 12 + size] = 1
+    for k, (value, size) in enumerate(zip(key, PARTS, strict=True)):
+        row[at + value + (1 <= k <= 4)] = 1
+        at += size
     return row
 
 
-DESIGN = 1 + len(KINDS) + 12 + 4
-
-
 def fit_spans(docs: DataFrame, text: str = "text") -> np.ndarray:
     """The final classifier's weights from the vote patterns of all candidates of all texts.
 
-    A task sends one row for each pattern it saw (kinds x 81 votes x 4 lengths at most, whatever the input).
+    A task sends one row for each pattern it saw: kinds x 81 votes x 4 lengths x 6 shapes x 25 neighbours at most, whatever the input.
     """
 
     short_batches(docs.sparkSession)
@@ -287,7 +311,8 @@ def find_pii(docs: DataFrame, text: str = "text", mask: bool = False) -> DataFra
     """docs with n_email, n_ip, n_card, n_phone, base_sha256 and spans added (same names are replaced).
 
     The counts and the digest are of the base spans; spans lists all spans. With mask the text itself is
-    masked. Null and empty texts have no spans (a null text stays null); repeated rows count each.
+    masked. Null and empty texts have no spans (a null text stays null); an empty table stays empty; repeated rows count each; long
+    texts are searched whole; further columns stay as they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit_spans(docs, text))
 
