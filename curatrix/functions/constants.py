@@ -90,8 +90,6 @@ RULE_PROMPTS = {
     FLAMMABLE: "Верни 1, если сам товар является источником открытого огня, содержит горючее вещество или газ либо такой предмет входит в комплект. Верни 0 для пустой конструкции, встроенного источника, горючего компонента изделия или отсутствующего в комплекте содержимого.",
 }
 MODERATOR = "Ты строгий модератор маркетплейса. Верни только 0 или 1."
-MODERATOR_TERSE = "Ты строгий модератор маркетплейса. Не рассуждай и верни только 0 или 1."
-EXPLAINER = "Ты помощник модератора маркетплейса. Верни только итоговое объяснение без рассуждений."
 
 #: Fusion with the nearest references, and the linear head.
 KNN = {"knn_threshold": -0.001455795718356967, "base_threshold": 0.3310261532664299, "margin_scale": 0.01, "knn_alpha": 0.3, "blend_threshold": 0.2599999560899826}

@@ -1,4 +1,4 @@
-"""Prompts and chat structures as columns."""
+"""Prompts and chat structures as columns. Their sentences are fixed values: an answer depends on every word."""
 
 from __future__ import annotations
 

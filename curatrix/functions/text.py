@@ -116,7 +116,7 @@ def evidence_flags(c: Column, category: str) -> Column:
 
 
 def deterministic_comment(category: Column, title: Column, description: Column, label: Column) -> Column:
-    """A grounded comment from the first evidence that supports the label; null for other categories."""
+    """A grounded comment from the first evidence that supports the label; null for other categories. Its sentences are fixed values."""
     text = F.concat_ws(" ", blank(title), blank(description))
     positive = label == 1
 
@@ -152,7 +152,7 @@ def clean_comment(c: Column) -> Column:
 
 
 def contradicts(comment: Column, label: Column) -> Column:
-    """Whether a comment argues against its label."""
+    """Whether a comment argues against its label. The patterns are fixed values."""
     low = F.translate(F.lower(blank(comment)), "ё", "е")
     against = low.rlike(r"(?U)(?:отрицательн.{0,12}класс|не\s+(?:соответствует|проходит|подтвержден|относится))")
     for_it = low.rlike(r"(?U)положительн.{0,12}класс") | low.rlike(r"(?U)(?<!не\s)соответствует\s+(?:категор|правил|критер)")

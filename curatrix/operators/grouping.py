@@ -51,3 +51,15 @@ def equal_pairs(df: DataFrame, row_id: str, key: str) -> DataFrame:
     """(src, dst), src < dst, of rows with the same key: each row with the smallest of its key, which spans the same components as all pairs."""
     least = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(row_id).alias("src"), F.count("*").alias("n")).where("n > 1")
     return df.join(least, key).where(F.col(row_id) > F.col("src")).select("src", F.col(row_id).alias("dst"))
+
+
+def write_groups(groups: DataFrame, path: str) -> None:
+    """(row id, entity_group) kept for later splits."""
+    groups.write.mode("overwrite").parquet(path)
+
+
+def with_written_groups(df: DataFrame, path: str, row_id: str) -> DataFrame:
+    """df with the entity_group written at path; a row that has none fails the query, as a split would leak."""
+    kept = df.sparkSession.read.parquet(path)
+    lacking = F.raise_error(F.concat(F.lit("no entity group for "), F.coalesce(F.col(row_id).cast("string"), F.lit("null")))).cast(kept.schema["entity_group"].dataType)
+    return df.drop("entity_group").join(kept, row_id, "left").withColumn("entity_group", F.coalesce("entity_group", lacking))

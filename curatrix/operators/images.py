@@ -1,19 +1,25 @@
-"""Picture operators behind optional decoding: sizes, signatures, debug features, tiling choices.
+"""Picture operators behind optional decoding: sizes, signatures, pixel statistics, tiling choices.
 
 Decoding needs a picture library, which is optional: without it every picture counts as broken, and the
-broken count is always reported.
+broken count is always reported. What is computed from pixels is a function of reduced pictures (arrays), so it
+can be used and tested with any decoder.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Width and height of the reduced pictures for hash, colour and statistics, the colour step, the quantiles, the shortest side of a picture that isn't small.
+HASH_GRID, COLOUR_GRID, STATISTICS_GRID = (9, 8), (8, 8), (16, 16)
+COLOUR_STEP, QUANTILES, SMALL_SIDE = 16, (0.1, 0.5, 0.9), 224
+
 FIELDS = "width int, height int, dhash string, signature string, features array<double>, broken boolean"
 
 
@@ -34,22 +40,33 @@ def tiling(width: Column, height: Column, most: int = 6) -> Column:
     return F.struct(best["columns"].alias("columns"), best["rows"].alias("rows"), (best["n"] + F.when(best["n"] > 1, 1).otherwise(0)).alias("tiles"))
 
 
-def difference_hash(grey: np.ndarray) -> str:
-    """SHA-256 of which of a picture's 8 x 8 neighbouring pixels (of 9 x 8) grow brighter to the right."""
-    return hashlib.sha256((grey[:, 1:] > grey[:, :-1]).tobytes()).hexdigest()
+def gradient_bits(grey: np.ndarray) -> bytes:
+    """A byte for each pair of horizontal neighbours: 1 where the right one is brighter."""
+    return np.greater(np.roll(grey, -1, axis=1), grey)[:, :-1].tobytes()
+
+
+def pixel_statistics(shares: np.ndarray) -> list[float]:
+    """Of an array (height, width, 3) of channel values from 0 to 1: mean and deviation of each channel, then quantiles of all values."""
+    channels = shares.reshape(-1, shares.shape[-1]).T
+    return [*(float(c.mean()) for c in channels), *(float(c.std()) for c in channels), *(float(np.quantile(channels, q)) for q in QUANTILES)]
+
+
+def picture_facts(width: int, height: int, reduced: Callable[[str, tuple[int, int]], np.ndarray]) -> dict:
+    """What FIELDS names, given the upright picture's size and reduced(mode, grid), its pixels in mode L or RGB on a grid."""
+    bits = gradient_bits(reduced("L", HASH_GRID))
+    tint = [round(float(c.mean()) / COLOUR_STEP) for c in np.moveaxis(reduced("RGB", COLOUR_GRID).astype(np.float32), -1, 0)]
+    return {
+        "width": width, "height": height, "dhash": hashlib.sha256(bits).hexdigest(), "signature": hashlib.sha256(bits + bytes(tint)).hexdigest(),
+        "features": pixel_statistics(reduced("RGB", STATISTICS_GRID) / 255.0), "broken": False,
+    }
 
 
 def read_picture(content: bytes) -> dict:
+    """The facts of an encoded picture; fails where the library is missing or can't decode it."""
     from PIL import Image, ImageOps
 
-    with Image.open(io.BytesIO(content)) as source:
-        rgb = ImageOps.exif_transpose(source).convert("RGB")
-    grey = np.asarray(rgb.convert("L").resize((9, 8)))
-    bucket = np.round(np.asarray(rgb.resize((8, 8)), dtype="float32").mean((0, 1)) / 16).astype("uint8").tobytes()
-    pixels = np.asarray(rgb.resize((16, 16)), dtype="float64") / 255.0
-    features = [*pixels.mean((0, 1)), *pixels.std((0, 1)), *np.quantile(pixels, [0.1, 0.5, 0.9])]
-    signature = hashlib.sha256((grey[:, 1:] > grey[:, :-1]).tobytes() + bucket).hexdigest()
-    return {"width": rgb.width, "height": rgb.height, "dhash": difference_hash(grey), "signature": signature, "features": [float(f) for f in features], "broken": False}
+    picture = ImageOps.exif_transpose(Image.open(io.BytesIO(content))).convert("RGB")
+    return picture_facts(*picture.size, lambda mode, grid: np.asarray((picture if mode == "RGB" else picture.convert(mode)).resize(grid)))
 
 
 def decode(files: DataFrame, content: str = "content") -> DataFrame:
@@ -71,19 +88,30 @@ def decode(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def picture_audit(decoded: DataFrame) -> DataFrame:
-    """One row: pictures, broken, low_resolution (a side under 224), duplicate hashes, median width and height."""
+    """One row: pictures, broken, low_resolution (a side under SMALL_SIDE), duplicate hashes, median width and height."""
     p = F.col("picture")
     return decoded.agg(
-        F.count("*").alias("sampled"), F.count_if(p["broken"]).alias("broken"), F.count_if(F.least(p["width"], p["height"]) < 224).alias("low_resolution"),
+        F.count("*").alias("sampled"), F.count_if(p["broken"]).alias("broken"), F.count_if(F.least(p["width"], p["height"]) < SMALL_SIDE).alias("low_resolution"),
         (F.count(p["dhash"]) - F.count_distinct(p["dhash"])).alias("duplicate_hashes"), F.percentile(p["width"], F.lit(0.5)).alias("median_width"), F.percentile(p["height"], F.lit(0.5)).alias("median_height"),
     )
 
 
-def card_pictures(cards: DataFrame, decoded: DataFrame, first: int = 5) -> DataFrame:
-    """(id, features, stats, present, broken): means over each card's first pictures that decode; zeros where none does."""
-    wanted = cards.select("id", F.posexplode_outer(F.slice("images", 1, first)).alias("pos", "path"))
-    joined = wanted.join(decoded.select("path", "picture"), "path", "left")
-    p, ok = F.col("picture"), ~F.coalesce(F.col("picture.broken"), F.lit(True))
-    stats = F.array(F.log1p(p["width"]), F.log1p(p["height"]), p["width"] / F.greatest(p["height"], F.lit(1)), (F.least(p["width"], p["height"]) < 224).cast("double"))
-    mean = lambda v, k: F.coalesce(F.avg(F.when(ok, v[k])), F.lit(0.0))
-    return joined.groupBy("id").agg(F.array(*[mean(p["features"], k) for k in range(9)]).alias("features"), F.array(*[mean(stats, k) for k in range(4)]).alias("stats"), F.coalesce(F.bool_or(ok), F.lit(False)).alias("present"), F.count_if(F.col("path").isNotNull() & ~ok).alias("broken"))
+def size_facts(width: Column, height: Column) -> dict[str, Column]:
+    """Four numbers of a picture's size: logarithms of both sides, their ratio, whether it is small."""
+    return {
+        "log_width": F.log1p(width), "log_height": F.log1p(height), "aspect": width / F.greatest(height, F.lit(1)),
+        "small": F.when(F.least(width, height) < SMALL_SIDE, 1.0).otherwise(0.0),
+    }
+
+
+def card_pictures(cards: DataFrame, decoded: DataFrame, first: int = 5, unit: bool = False) -> DataFrame:
+    """(id, features, stats, present, broken): means over each card's first pictures that decode; zeros where none does. unit scales features to length 1."""
+    from curatrix.functions.arrays import l2_normalise
+
+    wanted = cards.select("id", F.explode_outer(F.slice("images", 1, first)).alias("path"))
+    seen = wanted.join(decoded.select("path", "picture"), "path", "left").withColumn("ok", F.coalesce(~F.col("picture.broken"), F.lit(False)))
+    good = lambda c: F.coalesce(F.avg(F.when(F.col("ok"), c)), F.lit(0.0))
+    facts = size_facts(F.col("picture.width"), F.col("picture.height"))
+    features = F.array(*[good(F.col("picture.features")[k]) for k in range(6 + len(QUANTILES))])
+    made = seen.groupBy("id").agg(features.alias("features"), F.array(*[good(c) for c in facts.values()]).alias("stats"), F.coalesce(F.bool_or("ok"), F.lit(False)).alias("present"), F.count_if(F.col("path").isNotNull() & ~F.col("ok")).alias("broken"))
+    return made.withColumn("features", l2_normalise(F.col("features"))) if unit else made

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.functions.constants import ERROR_FAMILIES
+
 
 def _f1(tp: Column, fp: Column, fn: Column) -> Column:
     return F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
@@ -179,7 +181,7 @@ def keyword_prevalence(df: DataFrame, flags: dict[str, Column], label: str) -> D
     return per.withColumn("difference", F.col("positive") - F.col("negative"))
 
 
-def error_families(df: DataFrame, text: Column, families: tuple, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def error_families(df: DataFrame, text: Column, families: tuple = ERROR_FAMILIES, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(family, misses, share, f1_if_fixed): false negatives by the first family whose word occurs, and F1 if that family were right."""
     family = F.lit("other")
     for name, words in reversed(families):

@@ -102,6 +102,27 @@ def weighted_draws(groups: DataFrame, draws: int, weight: str = "weight", key: s
     return numbers.join(F.broadcast(ranges), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("draw", key)
 
 
+def balanced_draws(df: DataFrame, draws: int, group: str, positive: Column, hardness: Column, row_id: str, seed: int = 42) -> DataFrame:
+    """(draw, positive, group, row_id): every other draw from the positive rows' groups, the rest from the others', a group in proportion
+    to its mean hardness within its class, and one of the group's rows of that class by hash."""
+    made = None
+    for k, y in enumerate((True, False)):
+        own = df.where(positive == F.lit(y))
+        groups = own.groupBy(F.col(group).alias("group")).agg(F.greatest(F.lit(0.02), F.avg(hardness)).alias("weight"), F.count("*").alias("__n"))
+        drawn = weighted_draws(groups, (draws + 1 - k) // 2, seed=seed + k).join(groups.select("group", "__n"), "group").withColumn("draw", 2 * F.col("draw") + k)
+        share = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(f"row {seed}"), F.col("draw").cast("string"))), 1, 12), 16, 10).cast("double") / float(16**12)
+        pick = F.floor(share * F.col("__n")).cast("long") + 1
+        ranked = own.select(F.col(group).alias("group"), F.col(row_id), F.row_number().over(Window.partitionBy(group).orderBy(row_id)).cast("long").alias("__k"))
+        one = drawn.withColumn("__k", pick).join(ranked, ["group", "__k"]).select("draw", F.lit(y).alias("positive"), "group", row_id)
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+def available_in_all(key: str, *signals: DataFrame) -> DataFrame:
+    """Distinct keys that every signal has."""
+    return reduce(lambda a, b: a.join(b, key, "left_semi"), [signals[0].select(key).where(F.col(key).isNotNull()).distinct(), *[s.select(key) for s in signals[1:]]])
+
+
 def sampling_weights(df: DataFrame, group: str, hardness: Column, floor: float = 0.02) -> DataFrame:
     """(group, weight): each group's mean hardness, at least floor, as a share of the sum."""
     per = df.groupBy(group).agg(F.greatest(F.lit(floor), F.avg(hardness)).alias("h"))

@@ -36,55 +36,117 @@ def knn_margin_sql(queries: DataFrame, bank: DataFrame, query_id: str = "id", re
 def knn_margin(queries: DataFrame, bank: DataFrame, query_id: str = "id", ref_id: str = "id", vector: str = "embedding", label: str = "label", query_fold: str | None = None, ref_fold: str | None = None, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The same by blocked matrix products, in double precision.
 
-    The bank is broadcast as one matrix if its size allows; a larger one is split into slices that
-    are broadcast in turn, whose partial maxima are combined per query. With fold columns a query only
-    meets references of other folds. Queries without a positive or negative reference have a null margin.
+    The bank is broadcast as one matrix if its size allows. A larger one never passes through the driver: both sides are
+    dealt into blocks of bounded size, every block of queries meets every block of references in a task of its own, and the
+    partial maxima are combined per query. With fold columns a query only meets references of other folds. Queries
+    without a positive or negative reference have a null margin.
     """
     require_both_labels(bank, label)
     rows, dim = bank.count(), bank.select(F.size(vector)).first()[0]
-    slices = max(1, -(-rows * (dim + 3) * 8 // most_bytes))
-    part = F.pmod(F.xxhash64(ref_id), F.lit(slices))
-    answers = None
-    for k in range(slices):
-        own = bank.where(part == k) if slices > 1 else bank
-        fold = F.col(ref_fold) if ref_fold else F.lit(-1)
-        got = own.select(F.col(ref_id).cast("long").alias("rid"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("int").alias("y"), fold.cast("long").alias("f")).orderBy("rid").toArrow()
-        if not got.num_rows:
-            continue
-        shared = queries.sparkSession.sparkContext.broadcast((got["rid"].to_numpy(), got["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim), got["y"].to_numpy(), got["f"].to_numpy()))
-        found = _margins(queries, query_id, vector, query_fold, shared)
-        answers = found if answers is None else answers.unionByName(found)
-    best = answers.groupBy("id").agg(F.max("p").alias("p"), F.max("n").alias("n"), F.max("nearest").alias("nearest"), F.max_by("nearest_label", F.struct(F.round("nearest", 12), -F.col("rid"))).alias("nearest_label")) if slices > 1 else answers
+    size = rows * (dim + 3) * 8
+    fold = F.col(ref_fold) if ref_fold else F.lit(-1)
+    own = bank.select(F.col(ref_id).cast("long").alias("rid"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("int").alias("y"), fold.cast("long").alias("f"))
+    fold = F.col(query_fold).cast("long") if query_fold else F.lit(-1).cast("long")
+    asked = queries.select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), fold.alias("f"))
+    kind = dict(queries.dtypes)[query_id]
+    schema = f"id {kind}, p double, n double, nearest double, nearest_label int, rid long"
+    if size <= most_bytes:
+        shared = queries.sparkSession.sparkContext.broadcast(_Bank(own.toArrow(), dim))
+
+        def run(batches):
+            for batch in batches:
+                yield from shared.value.margins(batch, bool(query_fold))
+
+        best = asked.mapInArrow(run, schema)
+    else:
+        deal = lambda d, key, n: d.withColumn("__own", F.pmod(F.xxhash64(key), F.lit(n)))
+        n_bank, n_ask = -(-size // (most_bytes // 4 or 1)), max(1, -(-queries.count() * (dim + 3) * 8 // (most_bytes // 4 or 1)))
+        left = deal(asked, "id", n_ask).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_bank - 1))).alias("j")).withColumnRenamed("__own", "i")
+        right = deal(own, "rid", n_bank).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_ask - 1))).alias("i")).withColumnRenamed("__own", "j")
+
+        def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+            part = _Bank(two, dim)
+            made = [x for batch in one.select(["id", "v", "f"]).to_batches() for x in part.margins(batch, bool(query_fold))] if len(part.rid) else []
+            return pa.Table.from_batches(made) if made else pa.table({"id": one["id"].slice(0, 0), **{c: pa.array([], k) for c, k in zip(("p", "n", "nearest", "nearest_label", "rid"), (pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int64()), strict=True)}})
+
+        met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, schema)
+        best = met.groupBy("id").agg(F.max("p").alias("p"), F.max("n").alias("n"), F.max("nearest").alias("nearest"), F.max_by("nearest_label", F.struct(F.round("nearest", 12), -F.col("rid"))).alias("nearest_label"))
     return best.select("id", (F.col("p") - F.col("n")).alias("margin"), "nearest", "nearest_label")
 
 
-def _margins(queries: DataFrame, query_id: str, vector: str, query_fold: str | None, shared) -> DataFrame:
-    def unit(x: np.ndarray) -> np.ndarray:
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+class _Bank:
+    """References as one matrix of unit rows, in order of their ids."""
 
-    def run(batches):
-        rid, bank, y, fold = shared.value
-        reference = unit(bank)
-        for batch in batches:
-            ids = batch.column(0)
-            x = batch.column(1)
-            folds = batch.column(2).to_numpy(zero_copy_only=False)
-            q = unit(np.asarray(x.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, reference.shape[1]))
+    def __init__(self, table: pa.Table, dim: int):
+        table = table.combine_chunks()
+        order = np.argsort(table["rid"].to_numpy(), kind="stable")
+        self.dim, self.rid, self.y, self.fold = dim, table["rid"].to_numpy()[order], table["y"].to_numpy()[order], table["f"].to_numpy()[order]
+        flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0)
+        self.reference = _unit(flat.reshape(-1, dim)[order])
+
+    def margins(self, batch: pa.RecordBatch, folds: bool):
+        """Record batches (id, p, n, nearest, nearest_label, rid) of queries (id, v, f)."""
+        ids, fold = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+        q = _unit(np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, self.dim))
+        for at in range(0, len(q), 512):
+            s = q[at : at + 512] @ self.reference.T
+            if folds:
+                s[fold[at : at + 512, None] == self.fold[None, :]] = -np.inf
+            best = [np.where(np.isfinite(m), m, np.nan) for m in (s[:, self.y == k].max(axis=1, initial=-np.inf) for k in (1, 0))]
+            top = np.round(s, 12).argmax(axis=1)  # the bank is in order of id: the first of equals is the smallest
+            columns = [ids.slice(at, len(s)), pa.array(best[0], from_pandas=True), pa.array(best[1], from_pandas=True), pa.array(s[np.arange(len(s)), top]), pa.array(self.y[top], pa.int32()), pa.array(self.rid[top], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "p", "n", "nearest", "nearest_label", "rid"])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def most_similar(queries: DataFrame, bank: DataFrame, k: int = 4, query_id: str = "id", ref_id: str = "id", vector: str = "embedding", exclude_own: bool = False, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, place, ref_id, similarity): the k references of highest cosine of each query, ties by the smaller reference id.
+
+    Both sides are dealt into blocks of bounded size, and each pair of blocks meets in one task: the k best within it are
+    chosen by matrix product, and then the k best of all blocks by query. exclude_own leaves out the reference of the query's own id.
+    """
+    rows, dim = bank.count(), bank.select(F.size(vector)).first()[0]
+    n = max(1, -(-rows * (dim + 1) * 8 // most_bytes))
+    own = bank.select(F.col(ref_id).cast("long").alias("rid"), F.col(vector).cast("array<double>").alias("v")).withColumn("j", F.pmod(F.xxhash64("rid"), F.lit(n)))
+    asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    m = max(1, -(-queries.count() * (dim + 1) * 8 // most_bytes))
+    left = asked.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(m))).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    right = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"))
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if one.num_rows and two.num_rows:
+            order = np.argsort(two["rid"].to_numpy(), kind="stable")
+            matrix = lambda t: _unit(t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+            rid, reference, ids, q = two["rid"].to_numpy()[order], matrix(two)[order], one["id"].to_numpy(), matrix(one)
             for at in range(0, len(q), 512):
                 s = q[at : at + 512] @ reference.T
-                f = folds[at : at + 512]
-                if query_fold:
-                    s[f[:, None] == fold[None, :]] = -np.inf
-                best = [np.where(np.isfinite(m), m, np.nan) for m in (s[:, y == k].max(axis=1, initial=-np.inf) for k in (1, 0))]
-                top = np.round(s, 12).argmax(axis=1)  # the bank is in order of id: the first of equals is the smallest
-                columns = [ids.slice(at, len(s)), pa.array(best[0], from_pandas=True), pa.array(best[1], from_pandas=True), pa.array(s[np.arange(len(s)), top]), pa.array(y[top], pa.int32()), pa.array(rid[top], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "p", "n", "nearest", "nearest_label", "rid"])
-
-    kind = dict(queries.dtypes)[query_id]
-    fold = F.col(query_fold).cast("long") if query_fold else F.lit(-1)
-    shaped = queries.select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), fold.alias("f"))
-    return shaped.mapInArrow(run, f"id {kind}, p double, n double, nearest double, nearest_label int, rid long")
+                if exclude_own:
+                    s[ids[at : at + 512, None] == rid[None, :]] = -np.inf
+                best = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]
+                values = np.take_along_axis(s, best, axis=1)
+                here = np.isfinite(values)
+                out[0].append(np.repeat(ids[at : at + 512], here.sum(axis=1)))
+                out[1].append(rid[best][here])
+                out[2].append(values[here])
+        join = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
+        return pa.table({"id": join(out[0], pa.int64()), "ref_id": join(out[1], pa.int64()), "similarity": join(out[2], pa.float64())})
+
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, "id long, ref_id long, similarity double")
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("similarity", 12)).alias("s"), "ref_id", "similarity"))), 1, k)  # of k rows a block
+    return met.groupBy("id").agg(top.alias("best")).select("id", F.posexplode("best").alias("place", "b")).select("id", "place", "b.ref_id", "b.similarity")
+
+
+def with_examples(rows: DataFrame, similar: DataFrame, bank: DataFrame, columns: list[str], row_id: str = "id", ref_id: str = "id") -> DataFrame:
+    """rows with examples, an array of structs of the bank's columns for each of the row's references in their order (none: empty)."""
+    taken = similar.join(bank.select(F.col(ref_id).cast("long").alias("ref_id"), F.struct(*columns).alias("__e")), "ref_id")
+    listed = taken.groupBy(F.col("id").alias(row_id)).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "__e"))), lambda x: x["__e"]).alias("examples"))
+    kind = listed.schema["examples"].dataType
+    return rows.join(listed, row_id, "left").withColumn("examples", F.coalesce("examples", F.array().cast(kind)))
 
 
 def fold_excluded_margin(df: DataFrame, folds: Column | None, row_id: str, group: str, vector: str, label: str, seeds, k: int = 5) -> DataFrame:

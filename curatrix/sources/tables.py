@@ -107,3 +107,12 @@ def document_markdown(title: str, metrics: DataFrame) -> str:
             lines += ["", f"## {section}", "", "| metric | value |", "| --- | --- |"]
         lines.append(f"| {r['metric']} | {r['value']} |")
     return "\n".join(lines) + "\n"
+
+
+def experiment_log(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """(rows, columns, duplicate_keys, ragged_rows) of a CSV log: its ids must be unique and its rows as long as its header."""
+    names = spark.read.csv(path, header=True, multiLine=True, escape='"').columns
+    schema = ", ".join(f"`{c}` string" for c in names) + ", _ragged string"
+    reader = spark.read.option("columnPruning", False)  # else short and long rows aren't noticed
+    rows = reader.csv(path, header=True, multiLine=True, escape='"', schema=schema, columnNameOfCorruptRecord="_ragged", enforceSchema=True)
+    return rows.agg(F.count("*").alias("rows"), F.lit(len(names)).alias("columns"), (F.count("*") - F.count_distinct(key)).alias("duplicate_keys"), F.count_if(F.col("_ragged").isNotNull()).alias("ragged_rows"))
