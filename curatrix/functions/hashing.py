@@ -28,7 +28,7 @@ def table_fingerprint(df: DataFrame, columns: list[str], salt: str = "") -> Data
 
 
 def short_hash(df: DataFrame, id_col: str) -> DataFrame:
-    """First 16 hex digits of the SHA-256 of the ids joined in ascending order."""
+    """First 16 hex digits of the SHA-256 of the ids joined in ascending order. By contract all ids meet in one place; for large tables use table_fingerprint."""
     joined = F.array_join(F.array_sort(F.collect_list(F.col(id_col).cast("string"))), "")
     return df.agg(F.substring(F.sha2(joined, 256), 1, 16).alias("short_hash"))
 

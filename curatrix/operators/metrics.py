@@ -62,15 +62,33 @@ def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "pre
     return grid.join(counts, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("k", F.lit(0)).alias("n"))
 
 
+def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str], descending: bool = True, then: str | None = None) -> DataFrame:
+    """df with run_<x>, the sum of x up to the row in the order of a number (within by; equal ones by `then`), and all_<x>, the whole sum.
+
+    Rows are windowed within cells of the number's range, and only the cells' sums (65,537 a partition at most) within a
+    partition, so a partition with all rows is spread over many tasks. Order by probabilities fills 4,096 cells; numbers
+    beyond -8 to 8 share the outermost ones.
+    """
+    cell = F.coalesce(F.floor(F.least(F.greatest(F.col(order) * 4096, F.lit(-32768.0)), F.lit(32767.0))).cast("int"), F.lit(-32769))
+    way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    celled = df.withColumn("__cell", cell)
+    totals = celled.groupBy(*by, "__cell").agg(*[F.sum(x).alias(f"__{x}") for x in sums])
+    earlier = Window.partitionBy(*by).orderBy(way("__cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = totals.select(*by, "__cell", *[F.coalesce(F.sum(f"__{x}").over(earlier), F.lit(0)).alias(f"__before_{x}") for x in sums], *[F.sum(f"__{x}").over(Window.partitionBy(*by)).alias(f"all_{x}") for x in sums])
+    within = Window.partitionBy(*by, "__cell").orderBy(way(order), *([then] if then else [])).rowsBetween(Window.unboundedPreceding, 0)
+    inside = celled.withColumns({f"run_{x}": F.sum(x).over(within) for x in sums})
+    made = inside.join(cells, [*by, "__cell"]).withColumns({f"run_{x}": F.col(f"run_{x}") + F.col(f"__before_{x}") for x in sums})
+    return made.drop("__cell", *[f"__before_{x}" for x in sums])
+
+
 def score_steps(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     """Rows and positives at each distinct score and above it, per partition: (by..., score, tp, n, pos, rows).
 
     Scores are first reduced to one row each, so the running sums pass over distinct scores only.
     """
     per = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(label).alias("p1"), F.count("*").alias("n1"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return per.select(*by, "score", "p1", "n1", F.sum("p1").over(down).alias("tp"), F.sum("n1").over(down).alias("n"), F.sum("p1").over(whole).alias("pos"), F.sum("n1").over(whole).alias("rows"))
+    made = running_sums(per, "score", ["p1", "n1"], by)
+    return made.select(*by, "score", "p1", "n1", F.col("run_p1").alias("tp"), F.col("run_n1").alias("n"), F.col("all_p1").alias("pos"), F.col("all_n1").alias("rows"))
 
 
 def _candidates(df: DataFrame, score: str, by: list[str], grid: list[float]) -> DataFrame:
@@ -89,10 +107,8 @@ def sweep(df: DataFrame, label: str, score: str, grid: list[float], by: list[str
     marks = _candidates(df, score, by, grid).select(*by, "t", F.lit(0).alias("p1"), F.lit(0).alias("n1"), F.lit(1).alias("mark"))
     rows = df.groupBy(*by, F.col(score).alias("t")).agg(F.sum(F.col(label).cast("int")).alias("p1"), F.count("*").alias("n1")).withColumn("mark", F.lit(0))
     merged = marks.unionByName(rows).groupBy(*by, "t").agg(F.sum("p1").alias("p1"), F.sum("n1").alias("n1"), F.max("mark").alias("mark"))
-    down = Window.partitionBy(*by).orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    made = merged.select(*by, "t", "mark", F.sum("p1").over(down).alias("tp"), F.sum("n1").over(down).alias("n"), F.sum("p1").over(whole).alias("pos"), F.sum("n1").over(whole).alias("rows"))
-    return made.where("mark = 1").drop("mark")
+    made = running_sums(merged, "t", ["p1", "n1"], by).where("mark = 1")
+    return made.select(*by, "t", F.col("run_p1").alias("tp"), F.col("run_n1").alias("n"), F.col("all_p1").alias("pos"), F.col("all_n1").alias("rows"))
 
 
 POSITIVE_GRID = [0.01 + 0.98 * k / 196 for k in range(197)]
@@ -100,9 +116,10 @@ MACRO_GRID = [0.01, *[0.05 + 0.9 * k / 180 for k in range(181)], 0.99]
 
 
 def _best(swept: DataFrame, value: Column, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc("f1"), "away", "t")
-    ranked = swept.withColumn("f1", F.round(value, 12)).withColumn("away", F.round(F.abs(F.col("t") - 0.5), 12)).withColumn("k", F.row_number().over(w))
-    return ranked.where("k = 1").select(*by, F.col("t").alias("threshold"), "f1")
+    """The threshold of highest value; ties go to the one nearest 0.5, then to the smaller. A grouped maximum, which every task reduces first."""
+    key = F.struct(F.round(value, 12).alias("f1"), (-F.round(F.abs(F.col("t") - 0.5), 12)).alias("near"), (-F.col("t")).alias("low"))
+    best = swept.groupBy(*by).agg(F.max(F.struct(key.alias("key"), F.col("t"))).alias("b")).where("b is not null")
+    return best.select(*by, F.col("b.t").alias("threshold"), F.col("b.key.f1").alias("f1"))
 
 
 def positive_threshold(df: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None, grid: list[float] | None = None) -> DataFrame:
@@ -131,8 +148,8 @@ def curve_threshold(df: DataFrame, label: str = "label", score: str = "score", b
     """(by..., threshold, f1): best F1 over the scores themselves; ties go to the smaller, as along a precision-recall curve."""
     by = by or []
     s = score_steps(df, label, score, by).withColumn("f1", F.round(_f1(F.col("tp"), F.col("n") - F.col("tp"), F.col("pos") - F.col("tp")), 12))
-    w = Window.partitionBy(*by).orderBy(F.desc("f1"), "score")
-    return s.withColumn("k", F.row_number().over(w)).where("k = 1").select(*by, F.col("score").alias("threshold"), "f1")
+    best = s.groupBy(*by).agg(F.max(F.struct("f1", (-F.col("score")).alias("low"), "score")).alias("b")).where("b is not null")
+    return best.select(*by, F.col("b.score").alias("threshold"), F.col("b.f1").alias("f1"))
 
 
 def average_precision(df: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None) -> DataFrame:

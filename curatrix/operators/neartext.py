@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.operators.relational import Violation
 from curatrix.session import settled
 
 
@@ -123,6 +124,33 @@ def near_text_classes(vectors: DataFrame, threshold: float = 0.97, by: DataFrame
     return members.join(total, "class").select("id", "class", "n_links")
 
 
+def contained_items(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, item_text: str, most_bytes: int = 64 << 20) -> DataFrame:
+    """(doc_id, item_id) wherever an item's text is part of a document's, letter by letter. Both texts separate words by single spaces.
+
+    A word inside an item (neither its first nor its last) stands whole in every document that holds the item, so documents
+    first meet an item on its longest inner word, and only those are searched. Inner words are broadcast if their size
+    allows. Items of one or two words have none and meet every document; they must fit into a broadcast.
+    """
+    own = items.select(F.col(item_id).alias("__item"), F.col(item_text).alias("__t")).where("__t is not null and __t <> ''")
+    words = F.split("__t", " ")
+    inner = F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    own = settled(own.withColumn("__word", longest))
+    bytes_of = lambda d: d.agg(F.sum(F.octet_length("__t") + 64)).first()[0] or 0
+    anchored, short = own.where("__word is not null"), own.where("__word is null")
+    anchors = anchored.select("__item", "__word")
+    met = docs.select(F.col(doc_id).alias("__doc"), F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("__word"))
+    met = met.join(F.broadcast(anchors) if bytes_of(anchored) <= most_bytes else anchors, "__word").select("__doc", "__item").distinct()
+    texts = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__x"))
+    found = texts.join(met, "__doc").join(anchored.select("__item", "__t"), "__item").where(F.col("__x").contains(F.col("__t"))).select("__doc", "__item")
+    size = bytes_of(short)
+    if size > most_bytes:
+        raise Violation("too many items of one or two words")
+    if size:
+        found = found.unionByName(texts.join(F.broadcast(short.select("__item", "__t")), F.col("__x").contains(F.col("__t"))).select("__doc", "__item"))
+    return found.select(F.col("__doc").alias(doc_id), F.col("__item").alias(item_id))
+
+
 def near_text_across(left: DataFrame, right: DataFrame, threshold: float = 0.97) -> DataFrame:
     """(a, b, similarity) of rows of two sides, vectorised with one vocabulary."""
     left, right = settled(left), settled(right)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.session import settled
+
 
 class Violation(ValueError):
     """A precondition on the data doesn't hold."""
@@ -76,30 +78,43 @@ def consistent_groups(df: DataFrame, group: str, label: str) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, stratum: str, sizes: dict, order: list[Column], default: int = 0) -> DataFrame:
-    """The first sizes[value] rows of each stratum in the given order (None: all of them)."""
+    """The first sizes[value] rows of each stratum in the given order (None: all of them).
+
+    Whole strata are not ranked; of the others every task first keeps as many rows as the largest size.
+    """
+    whole = [v for v, n in sizes.items() if n is None]
     limit = F.lit(default)
     for value, n in sizes.items():
-        limit = F.when(F.col(stratum) == value, F.lit((1 << 62) if n is None else n)).otherwise(limit)
-    return df.withColumn("__k", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("__k") <= limit).drop("__k")
+        if n is not None:
+            limit = F.when(F.col(stratum) == value, F.lit(n)).otherwise(limit)
+    is_whole = F.coalesce(F.col(stratum).isin(whole), F.lit(False)) if whole else F.lit(False)
+    most = max([default, *(n for n in sizes.values() if n is not None)])
+    ranked = df.where(~is_whole).withColumn("__k", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("__k") <= most)
+    return ranked.where(F.col("__k") <= limit).drop("__k").unionByName(df.where(is_whole))
 
 
 def round_robin(df: DataFrame, stratum: str, order: list[Column], n: int) -> DataFrame:
-    """n rows dealt from the strata in turn: their first rows by stratum, then their second ones, and so on."""
+    """n rows dealt from the strata in turn: their first rows by stratum, then their second ones, and so on. Tasks first keep n rows a stratum."""
     w = Window.partitionBy(stratum).orderBy(*order)
-    return df.withColumn("turn", F.row_number().over(w)).orderBy("turn", stratum).limit(n)
+    return df.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= n).orderBy("turn", stratum).limit(n)
 
 
 def weighted_draws(groups: DataFrame, draws: int, weight: str = "weight", key: str = "group", seed: int = 42) -> DataFrame:
     """(draw, group): groups drawn with replacement in proportion to their weight, by inverse distribution.
 
-    The cumulative weights meet one uniform number per draw in a range join; draws is the caller's bound.
+    Each group owns a stretch of the range from 0 to 1, in the order of the keys, and each draw a number in it. Groups are
+    sorted in parts of the key's range, whose sums are the only thing that meets; stretches and numbers meet by
+    1,024 cells of the range, so nothing is broadcast but the parts' sums.
     """
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(weight).over(Window.partitionBy())
-    ranges = groups.select(key, (F.sum(weight).over(w) / total).alias("high"), F.col(weight).alias("__w"), total.alias("__t"))
-    ranges = ranges.select(key, (F.col("high") - F.col("__w") / F.col("__t")).alias("low"), "high")
-    numbers = groups.sparkSession.range(draws).select(F.col("id").alias("draw"), ((F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("double")) / float(16**12)).alias("u"))
-    return numbers.join(F.broadcast(ranges), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("draw", key)
+    own = settled(groups.select(F.col(key).alias("key"), F.col(weight).cast("double").alias("w")).repartitionByRange("key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id()))
+    sums = own.groupBy("part").agg(F.sum("w").alias("s"))
+    before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy()).alias("t"))  # a row a partition
+    upto = F.sum("w").over(Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = own.withColumn("c", upto).join(F.broadcast(before), "part").select(F.col("key").alias(key), ((F.col("before") + F.col("c") - F.col("w")) / F.col("t")).alias("low"), ((F.col("before") + F.col("c")) / F.col("t")).alias("high"))
+    ranges = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * 1024), F.floor(F.col("high") * 1024))))
+    u = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("id").cast("string"))), 1, 12), 16, 10).cast("double") / float(16**12)
+    numbers = groups.sparkSession.range(draws).select(F.col("id").alias("draw"), u.alias("u")).withColumn("cell", F.floor(F.col("u") * 1024))
+    return numbers.join(ranges, "cell").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("draw", key)
 
 
 def balanced_draws(df: DataFrame, draws: int, group: str, positive: Column, hardness: Column, row_id: str, seed: int = 42) -> DataFrame:
@@ -126,7 +141,7 @@ def available_in_all(key: str, *signals: DataFrame) -> DataFrame:
 def sampling_weights(df: DataFrame, group: str, hardness: Column, floor: float = 0.02) -> DataFrame:
     """(group, weight): each group's mean hardness, at least floor, as a share of the sum."""
     per = df.groupBy(group).agg(F.greatest(F.lit(floor), F.avg(hardness)).alias("h"))
-    return per.select(group, (F.col("h") / F.sum("h").over(Window.partitionBy())).alias("weight"))
+    return per.crossJoin(F.broadcast(per.agg(F.sum("h").alias("__t")))).select(group, (F.col("h") / F.col("__t")).alias("weight"))
 
 
 def oversample(df: DataFrame, positive: Column, times: int, key: str, seed: int = 42) -> DataFrame:

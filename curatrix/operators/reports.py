@@ -21,7 +21,7 @@ def audit_summary(df: DataFrame, row_id: str, text: Column, images: Column | Non
 
 
 def quantiles(df: DataFrame, value: Column, at=(0.0, 0.5, 0.9, 0.99, 1.0)) -> DataFrame:
-    """One row p0, p50, ...: exact quantiles with linear interpolation."""
+    """One row p0, p50, ...: exact quantiles with linear interpolation, off one counter of the distinct values, which is merged in one place."""
     made = df.agg(F.percentile(value, F.array(*[F.lit(q) for q in at])).alias("q"))
     return made.select(*[F.col("q")[k].alias(f"p{q * 100:g}") for k, q in enumerate(at)])
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from curatrix.functions import constants as K
 from curatrix.functions import text as X
+from curatrix.session import settled
 
 CARD_COLUMNS = ("id", "title", "description", "brand", "category", "attributes", "text", "images", "labels", "group")
 GUARDED = {"id", "images", "label", "group"}
@@ -79,7 +80,8 @@ def adapt(raw: DataFrame, schema: Mapping | None = None, base: str = "", require
     if roles.get("id") in source:
         made["id"] = X.stringify(source[roles["id"]], kinds[roles["id"]])
     else:
-        made["id"] = (F.row_number().over(Window.orderBy(*[X.stringify(source[c], kinds[c]) for c in raw.columns])) - 1).cast("string")
+        frame = _numbered(frame, [X.stringify(source[c], kinds[c]) for c in raw.columns])
+        made["id"] = F.col(_NUMBER).cast("string")
     texts = {f: X.stringify(source[roles[f]], kinds[roles[f]]) for f in fields if roles.get(f) in source}
     if not texts:
         raise ValueError("no configured text field exists in the input")
@@ -102,12 +104,24 @@ def adapt(raw: DataFrame, schema: Mapping | None = None, base: str = "", require
         made["labels"] = X.remap(F.filter(F.array(*[F.when(X.is_positive(source[c]), F.lit(c)) for c in label_columns]), lambda x: x.isNotNull()), values)
     if roles.get("group") in source:
         made["group"] = X.stringify(source[roles["group"]], kinds[roles["group"]])
-    cards = frame.withColumns(made)
+    cards = frame.withColumns(made).drop(_NUMBER)
     if "images" not in made:
         cards = cards.join(discovered.select("id", "images"), "id", "left").withColumn("images", F.coalesce("images", F.array().cast("array<string>")))
     return cards
 
 
+#: Column that _numbered adds.
+_NUMBER = "__row_number"
+
+
+def _numbered(df: DataFrame, order: list) -> DataFrame:
+    """df with its rows' places in the order: sorted in parts of the range, whose sizes (a row a partition) are summed up."""
+    own = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    sizes = own.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n") - F.col("__first")).alias("__shift"))
+    return own.join(F.broadcast(before), "__part").withColumn(_NUMBER, F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
+
+
 CARD = T.StructType([
     T.StructField("id", T.StringType(), False), *[T.StructField(c, T.StringType()) for c in ("title", "description", "brand", "category", "attributes")], T.StructField("text", T.StringType(), False),
     T.StructField("images", T.ArrayType(T.StringType()), False), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("group", T.StringType()),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curatrix.operators.metrics import running_sums
 from curatrix.operators.relational import Violation
 
 
@@ -63,9 +64,9 @@ def holdout(df: DataFrame, group: str, stratum: str, valid_size: float = 0.2, se
     require_groups(df, group)
     chosen = best_seed(holdout_search(df, group, stratum, valid_size, seed, candidates, relative))
     groups = df.select(group).distinct().withColumn("share", hash_share(F.lit(chosen), F.col(group)))
-    take = groups.agg(F.ceil(F.count("*") * F.lit(valid_size)).alias("take"))
-    # One row for each group; ranking them is the only thing that needs them in one order.
-    marked = groups.withColumn("k", F.row_number().over(Window.orderBy("share", group))).crossJoin(F.broadcast(take))
+    # Their rank in the order of the hash and their number are running sums of ones.
+    marked = running_sums(groups.withColumn("one", F.lit(1)), "share", ["one"], [], descending=False, then=group)
+    marked = marked.withColumn("k", F.col("run_one")).withColumn("take", F.ceil(F.col("all_one") * F.lit(valid_size)))
     return df.join(marked.select(group, F.when(F.col("k") <= F.col("take"), "valid").otherwise("train").alias("split")), group)
 
 

@@ -22,9 +22,11 @@ def require_both_labels(bank: DataFrame, label: str = "label") -> None:
 def knn_margin_sql(queries: DataFrame, bank: DataFrame, query_id: str = "id", ref_id: str = "id", vector: str = "embedding", label: str = "label", exclude: Column | None = None) -> DataFrame:
     """(id, margin, nearest, nearest_label): best cosine to a positive minus best to a negative, and the nearest reference.
 
-    The readable form for small banks: every query meets every reference. exclude is a condition on columns q and r.
-    Ties of the nearest go to the smaller reference id.
+    The readable form for literal banks of at most 10,000 references, which are broadcast: every query meets every one. Larger
+    banks fail; they are knn_margin's. exclude is a condition on columns q and r. Ties of the nearest go to the smaller reference id.
     """
+    if bank.limit(10_001).count() > 10_000:
+        raise Violation("the bank is too large to broadcast: use knn_margin")
     q = queries.select(F.col(query_id).alias("id"), A.l2_normalise(F.col(vector)).alias("v"), F.struct(*queries.columns).alias("q"))
     r = bank.select(F.col(ref_id).alias("rid"), A.l2_normalise(F.col(vector)).alias("w"), F.col(label).alias("y"), F.struct(*bank.columns).alias("r"))
     met = q.join(F.broadcast(r), ~exclude if exclude is not None else F.lit(True))

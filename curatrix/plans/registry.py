@@ -446,9 +446,9 @@ def leakage_report(spark, d):
 
 @query(r"WITH n AS (SELECT doc_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM documents), b AS (SELECT item_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM benchmark) SELECT doc_id, count(*) AS items FROM n JOIN b ON contains(n.t, b.t) WHERE length(b.t) >= 20 GROUP BY doc_id")
 def benchmark_contamination(spark, d):
-    items = table(spark, d, "benchmark").select(X.leakage_key(F.col("text")).alias("b")).where("length(b) >= 20")
+    items = table(spark, d, "benchmark").select("item_id", X.leakage_key(F.col("text")).alias("b")).where("length(b) >= 20")
     rows = table(spark, d, "documents").select("doc_id", X.leakage_key(F.col("text")).alias("t"))
-    return rows.join(items, F.col("t").contains(F.col("b"))).groupBy("doc_id").agg(F.count("*").alias("items"))
+    return N.contained_items(rows, items, "doc_id", "item_id", "t", "b").groupBy("doc_id").agg(F.count("*").alias("items"))
 
 
 WORDS = r"""words AS (SELECT doc_id AS id, lang AS part, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents),

@@ -47,3 +47,33 @@ def test_near_text_classes_and_pairs(spark):
     assert got == {0: (0, 3), 1: (0, 3), 4: (0, 3), 2: (2, 3), 3: (3, 0)}
     members, links = N.near_text_links(vectors, 0.8)
     assert links.count() == 1 and members.count() == 5
+
+
+def test_contained_items_equal_plain_search(spark):
+    import random
+
+    rng = random.Random(9)
+    words = ["aa", "ab", "abc", "b", "bc", "c"]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(i, line(rng.randint(0, 12))) for i in range(60)] + [(99, None), (1, "aa abc b")]
+    items = [(i, line(rng.randint(1, 4))[rng.randint(0, 1) :]) for i in range(25)] + [(50, None), (51, "")]
+    d, b = spark.createDataFrame(docs, "doc_id int, t string"), spark.createDataFrame(items, "item_id int, b string")
+    expected = sorted((i, k) for i, t in docs for k, x in items if t is not None and x and x in t)
+    for most in (1 << 20, 200):
+        if most == 200:
+            b = b.where("size(split(b, ' ')) > 2")
+            expected = [(i, k) for i, k in expected if len(dict(items)[k].split(" ")) > 2]
+        got = sorted(map(tuple, N.contained_items(d, b, "doc_id", "item_id", "t", "b", most).collect()))
+        assert sorted(set(got)) == sorted(set(expected)) and len(got) >= len(set(expected))
+
+
+def test_running_sums_cross_cells(spark):
+    from curatrix.operators import metrics as Me
+
+    values = [0.1, 0.1001, 0.5, 0.99, -3.0, 1e9, -1e9, 0.1, None]
+    df = spark.createDataFrame([(v, k % 2, k + 1) for k, v in enumerate(values)], "s double, g int, x int")
+    for by in ([], ["g"]):
+        for r in Me.running_sums(df, "s", ["x"], by, then="x").collect():
+            same = [(v, k + 1) for k, v in enumerate(values) if not by or k % 2 == r["g"]]
+            ahead = sum(x for v, x in same if (r["s"] is None or (v is not None and v > r["s"])) and v is not None) + sum(x for v, x in same if v == r["s"] and x <= r["x"])
+            assert (r["run_x"], r["all_x"]) == (ahead, sum(x for _, x in same))
