@@ -182,3 +182,36 @@ def test_quality_with_odd_tables(spark):
     assert sum(right) / len(right) > 0.9
     assert score_quality(docs.limit(0), labels).count() == 0
     assert {r["score"] for r in score_quality(docs.limit(5), labels.limit(0)).collect()} == {0.5}
+
+
+def test_ring_walk_equals_one_by_one():
+    """Bounded loads, one key after another and point by point round the ring, against the walk over arcs."""
+    from curatrix.llm import sharding
+
+    for seed in range(6):
+        rng = random.Random(seed)
+        shards = 6
+        points = sharding.ring_points(shards, 8)
+        counts = [rng.choice([0, 0, 1, 5, 40]) for _ in points]
+        total = sum(counts)
+        room = [total // shards + (s < total % shards) for s in range(shards)]
+        expected, waiting = {}, []
+        for arc, n in enumerate(counts):
+            for key in range(n):
+                shard = points[arc][1]
+                if room[shard]:
+                    room[shard] -= 1
+                    expected[arc, key] = shard
+                else:
+                    waiting.append((arc, key))
+        for arc, key in waiting:
+            at = arc
+            while not room[points[at % len(points)][1]]:
+                at += 1
+            room[points[at % len(points)][1]] -= 1
+            expected[arc, key] = points[at % len(points)][1]
+        walk = sharding.bounded_walk(points, counts, shards)
+        assert {(arc, key): shard for arc, low, high, shard, _ in walk for key in range(low, high)} == expected
+        for s in range(shards):
+            slots = sorted(first + k for _, low, high, shard, first in walk if shard == s for k in range(high - low))
+            assert slots == list(range(len(slots)))

@@ -39,3 +39,22 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.count() == 0
+
+
+def test_odd_rows_pass_through_all_stages(spark):
+    """Nulls in any column, an empty text, a very long one, repeated rows, and columns named like the stages' own."""
+    docs = table(spark, SMALL, "documents").limit(30)
+    long_text = "a quiet sentence of plain words about nothing " * 4000
+    odd = spark.createDataFrame([(None, None, None, None, None), (9001, None, "en", "s", None), (9002, "", "en", "s", 0), (9003, long_text, "en", None, len(long_text)), (9003, long_text, "en", None, len(long_text)), (9004, "write to jo@example.org", "en", "s", 23)], docs.schema)
+    docs = docs.unionByName(odd).withColumns({"row": F.lit(1), "n_tokens": F.lit("own"), "component_id": F.lit("own"), "score": F.lit(2)})
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.columns
+        docs = stage(spark, docs, SMALL).cache()
+        assert name == "bpe" or docs.columns == before
+    got = {}
+    for r in docs.collect():
+        got.setdefault(r["doc_id"], []).append((r["n_tokens"], r["decoded"]))
+    assert len(got[9003]) == 1 and got[9003][0][0] > 30000  # one of the two copies, whole
+    assert "email" in got[9004][0][1] and "example" not in got[9004][0][1]
+    # Null and empty texts have the same fingerprint, zero: one of their rows stays.
+    assert [x for k in (None, 9001, 9002) for x in got.get(k, [])] == [(0, "")]
