@@ -27,6 +27,11 @@ def table_fingerprint(df: DataFrame, columns: list[str], salt: str = "") -> Data
     return summed.select(F.substring(F.sha2(F.concat_ws("/", F.lit(salt), F.col("rows").cast("string"), *[F.col(f"p{k}").cast("string") for k in range(5)]), 256), 1, 20).alias("fingerprint"), "rows")
 
 
+def feature_fingerprint(cards: DataFrame, models: list[str]) -> DataFrame:
+    """(fingerprint, rows) of what features depend on: ids, texts, pictures and the names of the models, whatever the row order."""
+    return table_fingerprint(cards, [c for c in ("id", "text", "images") if c in cards.columns], "|".join(models))
+
+
 def short_hash(df: DataFrame, id_col: str) -> DataFrame:
     """First 16 hex digits of the SHA-256 of the ids joined in ascending order. By contract all ids meet in one place; for large tables use table_fingerprint."""
     joined = F.array_join(F.array_sort(F.collect_list(F.col(id_col).cast("string"))), "")

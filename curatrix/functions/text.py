@@ -217,3 +217,8 @@ def remap(labels: Column, values: Mapping[str, str]) -> Column:
 
 def json_literal(value) -> str:
     return json.dumps(value, ensure_ascii=False)
+
+
+def binary_label(labels: Column) -> Column:
+    """The first of a card's labels as a number; null without labels, and a failed query where it is no number."""
+    return F.get(labels, F.lit(0)).cast("int")

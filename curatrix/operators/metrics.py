@@ -20,10 +20,19 @@ def confusion_counts(label: Column, prediction: Column) -> list[Column]:
     return [F.count_if((label == a) & (prediction == b)).alias(name) for name, a, b in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))]
 
 
-def category_f1(df: DataFrame, label: str = "label", prediction: str = "prediction", category: str = "category", official: str = "official_score") -> DataFrame:
-    """(category, f1) of the positive class, and their plain mean under the name official."""
+def category_f1(df: DataFrame, label: str = "label", prediction: str = "prediction", category: str = "category", official: str = "official_score", known: tuple[str, ...] | None = None) -> DataFrame:
+    """(category, f1) of the positive class, and their plain mean under the name official.
+
+    With `known`, a row of another category fails the query, and so does a known category without rows.
+    """
+    if known is not None:
+        name = F.col(category)
+        df = df.withColumn(category, F.when(name.isin(*known), name).otherwise(F.raise_error(F.concat(F.lit("unknown category: "), F.coalesce(name, F.lit("null"))))))
     per = df.groupBy(category).agg(*confusion_counts(F.col(label), F.col(prediction))).select(F.col(category).alias("category"), _f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
-    return per.unionByName(per.agg(F.lit(official).alias("category"), F.avg("f1").alias("f1")))
+    mean = F.avg("f1")
+    if known is not None:
+        mean = F.when(F.count("*") == len(set(known)), mean).otherwise(F.raise_error(F.lit("a known category has no rows")).cast("double"))
+    return per.unionByName(per.agg(F.lit(official).alias("category"), mean.alias("f1")))
 
 
 def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -129,6 +138,17 @@ def positive_threshold(df: DataFrame, label: str = "label", score: str = "score"
     return _best(s, _f1(F.col("tp"), F.col("n") - F.col("tp"), F.col("pos") - F.col("tp")), by)
 
 
+def grid_threshold(df: DataFrame, grid: list[float], label: str = "label", score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """(by..., threshold, f1): best positive F1 among the grid's points alone; of equals the first in the grid's order."""
+    by = by or []
+    points = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(g)).alias("t")) for k, g in enumerate(grid)])
+    hits = df.select(*by, F.col(label).alias("y"), F.col(score).alias("s"), F.explode(points).alias("g")).select(*by, "y", "g.*", (F.col("s") >= F.col("g.t")).cast("int").alias("p"))
+    per = hits.groupBy(*by, "k", "t").agg(*confusion_counts(F.col("y"), F.col("p")))
+    f1 = F.round(_f1(F.col("tp"), F.col("fp"), F.col("fn")), 12)
+    best = per.groupBy(*by).agg(F.max(F.struct(f1.alias("f1"), (-F.col("k")).alias("first"), F.col("t"))).alias("b")).where("b is not null")
+    return best.select(*by, F.col("b.t").alias("threshold"), F.col("b.f1").alias("f1"))
+
+
 def macro_f1_at(tp: Column, n: Column, pos: Column, rows: Column) -> Column:
     fp, fn = n - tp, pos - tp
     tn = rows - n - fn
@@ -211,3 +231,11 @@ def error_families(df: DataFrame, text: Column, families: tuple = ERROR_FAMILIES
     misses = named.where((F.col(label) == 1) & (F.col(prediction) == 0)).groupBy("family").agg(F.count("*").alias("misses"))
     tp, fp, fn, m = (F.col(c) for c in ("tp", "fp", "fn", "misses"))
     return misses.crossJoin(counts).select("family", "misses", (m / fn).alias("share"), _f1(tp + m, fp, fn - m).alias("f1_if_fixed"))
+
+
+def misses_outside(df: DataFrame, text: Column, words: tuple[str, ...], label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """The false negatives in whose text none of the words occurs."""
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | text.contains(w)
+    return df.where((F.col(label) == 1) & (F.col(prediction) == 0) & ~F.coalesce(hit, F.lit(False)))

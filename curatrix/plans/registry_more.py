@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from curatrix.functions import arrays as A
 from curatrix.functions import constants as K
 from curatrix.functions import prompts as P
+from curatrix.functions import text as X
 from curatrix.operators import encoders as En
 from curatrix.operators import estimators as E
 from curatrix.operators import fusion as Fu
@@ -20,7 +21,7 @@ from curatrix.operators import splits as Sp
 from curatrix.operators import vectors as V
 from curatrix.plans import artifacts as Ar
 from curatrix.plans import training as Tr
-from curatrix.plans.registry import HOLDOUT, LABELLED, MACRO, MACRO_CAND, ORACLES, SCORED, _bank, _f, _lo, _scored, labelled, query, r6
+from curatrix.plans.registry import COUNTS, HOLDOUT, LABELLED, MACRO, MACRO_CAND, ORACLES, SCORED, _bank, _f, _lo, _scored, labelled, query, r6
 from curatrix.session import table
 
 # --- joins, look-ups, sets ------------------------------------------------------------------------------------------------
@@ -166,6 +167,29 @@ def outer_reselection(spark, d):
     return made.select("fold", r6("alpha").alias("alpha"), "strategy", r6("threshold").alias("threshold"), "tp", "fp", "fn", r6("f1").alias("f1"))
 
 
+@query(f"WITH {LABELLED}, g AS (SELECT k, 0.1::DOUBLE + k * 0.05::DOUBLE AS t FROM range(17) r(k)), sw AS (SELECT category, k, t, sum((y = 1 AND score >= t)::INT) AS tp, sum((y = 0 AND score >= t)::INT) AS fp, sum((y = 1 AND score < t)::INT) AS fn FROM labelled, g GROUP BY category, k, t), ra AS (SELECT *, {_f()} AS f1, row_number() OVER (PARTITION BY category ORDER BY round({_f()}, 12) DESC, k) AS r FROM sw) SELECT category, round(t, 6) AS threshold, round(f1, 6) AS f1 FROM ra WHERE r = 1")
+def threshold_coarse_grid(spark, d):
+    made = Me.grid_threshold(labelled(spark, d), [0.1 + k * 0.05 for k in range(17)], "y", "score", ["category"])
+    return made.select("category", r6("threshold").alias("threshold"), r6("f1").alias("f1"))
+
+
+@query(f"WITH {LABELLED} SELECT doc_id FROM labelled JOIN documents USING (doc_id) WHERE y = 1 AND prediction = 0 AND NOT contains(lower(text), 'licens') AND NOT contains(lower(text), '!!')")
+def misses_outside_families(spark, d):
+    rows = labelled(spark, d).join(table(spark, d, "documents").select("doc_id", F.lower("text").alias("low")), "doc_id")
+    return Me.misses_outside(rows, F.col("low"), ("licens", "!!"), "y").select("doc_id")
+
+
+@query(f"WITH {LABELLED}, per AS (SELECT category, {COUNTS} FROM labelled GROUP BY category), f AS (SELECT category, {_f()} AS f1 FROM per) SELECT category, round(f1, 6) AS f1 FROM f UNION ALL SELECT 'official_score', round(avg(f1), 6) FROM f")
+def category_f1_known(spark, d):
+    return Me.category_f1(labelled(spark, d), "y", known=("en", "de", "fr", "es")).select("category", r6("f1").alias("f1"))
+
+
+@query("SELECT doc_id, quality AS label FROM labels")
+def binary_label_cast(spark, d):
+    rows = table(spark, d, "labels").withColumn("labels", F.array(F.col("quality").cast("string"), F.lit("7")))
+    return rows.select("doc_id", X.binary_label(F.col("labels")).alias("label"))
+
+
 # --- text, prompts, pictures -----------------------------------------------------------------------------------------------
 
 OCR_SQL = ", ".join(f"regexp_matches(lower(coalesce(text, '')), '{p}')::INT" for p in K.OCR_FEATURES.values())

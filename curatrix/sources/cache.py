@@ -7,18 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatrix.functions.hashing import table_fingerprint
+from curatrix.functions.hashing import feature_fingerprint, table_fingerprint
 
 
 class CacheMismatch(ValueError):
     """The cache isn't that of the rows it is asked for."""
 
 
-def write_cache(vectors: DataFrame, path: str, model: str = "", complete: bool = True) -> None:
-    """(id, embedding) under path/vectors and its manifest under path/manifest."""
+def write_cache(vectors: DataFrame, path: str, model: str = "", complete: bool = True, mode: str = "", image_index: int = -1) -> None:
+    """(id, embedding) under path/vectors and its manifest under path/manifest: ids, dimensions, model, mode of extraction, picture's number."""
     vectors.select("id", "embedding").write.mode("overwrite").parquet(f"{path}/vectors")
     written = vectors.sparkSession.read.parquet(f"{path}/vectors")
-    manifest = table_fingerprint(written, ["id"]).withColumns({"dimensions": F.lit(dimension(written)), "complete": F.lit(complete), "model": F.lit(model)})
+    manifest = table_fingerprint(written, ["id"]).withColumns({"dimensions": F.lit(dimension(written)), "complete": F.lit(complete), "model": F.lit(model), "mode": F.lit(mode), "image_index": F.lit(image_index)})
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
@@ -27,11 +27,14 @@ def dimension(vectors: DataFrame) -> int:
     return row[0]["d"] if row else 0
 
 
-def read_cache(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
-    """(id, embedding) of a complete cache whose ids are exactly those of expected."""
+def read_cache(spark: SparkSession, path: str, expected: DataFrame | None = None, **identity) -> DataFrame:
+    """(id, embedding) of a complete cache whose ids are exactly those of expected and whose manifest has the given identity (model, mode, image_index)."""
     manifest = spark.read.json(f"{path}/manifest").first()
     if manifest is None or not manifest["complete"]:
         raise CacheMismatch("the cache isn't complete")
+    for name, value in identity.items():
+        if manifest.asDict().get(name) != value:
+            raise CacheMismatch(f"the cache has another {name}: {manifest.asDict().get(name)!r}")
     vectors = spark.read.parquet(f"{path}/vectors")
     if expected is not None:
         wanted = table_fingerprint(expected.select(F.col("id").cast("string").alias("id")), ["id"]).first()
@@ -69,6 +72,17 @@ def run_resumable(rows: DataFrame, infer: Callable[[DataFrame], DataFrame], path
     return spark.read.parquet(path).dropDuplicates([key]).drop("batch")
 
 
+def cached_features(cards: DataFrame, compute: Callable[[DataFrame], DataFrame], root: str, models: list[str]) -> DataFrame:
+    """compute(cards), kept under root by a fingerprint of ids, texts, pictures and the models' names; computed once for equal contents."""
+    name = feature_fingerprint(cards, models).first()["fingerprint"]
+    path = f"{root}/features-{name}"
+    done = existing(cards.sparkSession, path)
+    if done is None:
+        compute(cards).write.mode("overwrite").parquet(path)
+        done = cards.sparkSession.read.parquet(path)
+    return done
+
+
 def existing(spark: SparkSession, path: str) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 

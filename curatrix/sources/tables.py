@@ -98,6 +98,18 @@ def document_json(metrics: Mapping | DataFrame, indent: int = 2) -> str:
     return json.dumps(metrics, ensure_ascii=False, indent=indent, sort_keys=True)
 
 
+def write_document(spark: SparkSession, metrics: Mapping | DataFrame, path: str) -> None:
+    """The metrics document as one text file under path."""
+    spark.createDataFrame([(document_json(metrics),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_reports(reports: Mapping[str, DataFrame], folder: str) -> None:
+    """Every report as a CSV table folder/<name>.csv with its header, empty ones too. Arrays and structs become JSON text."""
+    for name, df in reports.items():
+        nested = [c for c, kind in df.dtypes if kind.startswith(("array", "struct", "map"))]
+        write_table(df.withColumns({c: F.to_json(c) for c in nested}) if nested else df, f"{folder}/{name}.csv", single=True)
+
+
 def document_markdown(title: str, metrics: DataFrame) -> str:
     """The same table as Markdown, a heading for each section."""
     lines, section = [f"# {title}"], None

@@ -77,3 +77,44 @@ def test_running_sums_cross_cells(spark):
             same = [(v, k + 1) for k, v in enumerate(values) if not by or k % 2 == r["g"]]
             ahead = sum(x for v, x in same if (r["s"] is None or (v is not None and v > r["s"])) and v is not None) + sum(x for v, x in same if v == r["s"] and x <= r["x"])
             assert (r["run_x"], r["all_x"]) == (ahead, sum(x for _, x in same))
+
+
+def test_known_categories_and_grids(spark):
+    from curatrix.functions import text as X
+    from curatrix.operators import metrics as Me
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a", 1, 1, 0.9), ("b", 0, 0, 0.2), ("b", 1, 0, 0.4)], "category string, label int, prediction int, score double")
+    assert {r["category"]: r["f1"] for r in Me.category_f1(rows, known=("a", "b")).collect()} == {"a": 1.0, "b": 0.0, "official_score": 0.5}
+    for known, message in ((("a",), "unknown category: b"), (("a", "b", "c"), "has no rows")):
+        with pytest.raises(Exception, match=message):
+            Me.category_f1(rows, known=known).collect()
+    assert Me.grid_threshold(rows, [0.5, 0.3, 0.35]).first().asDict() == {"threshold": 0.3, "f1": 1.0}
+    assert Me.misses_outside(rows.withColumn("t", F.lit("a word")), F.col("t"), ("word",)).count() == 0
+    made = spark.createDataFrame([(["1", "0"],), ([],), (None,)], "l array<string>").select(X.binary_label(F.col("l")).alias("y")).collect()
+    assert [r["y"] for r in made] == [1, None, None]
+
+
+def test_documents_reports_and_feature_caches(spark, tmp_path):
+    import json
+
+    from curatrix.sources import cache as C
+
+    T.write_document(spark, {"a": {"b": 1.5}}, str(tmp_path / "m"))
+    assert json.loads("\n".join(r["value"] for r in spark.read.text(str(tmp_path / "m")).collect())) == {"a": {"b": 1.5}}
+    df = spark.createDataFrame([("1", "x", ["p"])], "id string, text string, images array<string>")
+    T.write_reports({"all": df, "none": df.limit(0)}, str(tmp_path / "r"))
+    assert T.read_table(spark, str(tmp_path / "r/all.csv")).first()["images"] == '["p"]' and T.read_table(spark, str(tmp_path / "r/none.csv")).count() == 0
+    calls = []
+
+    def compute(cards):
+        calls.append(1)
+        return cards.select("id")
+
+    for cards, models in ((df, ["m"]), (df, ["m"]), (df, ["n"]), (df.withColumn("text", df["id"]), ["m"])):
+        assert C.cached_features(cards, compute, str(tmp_path / "f"), models).count() == 1
+    assert len(calls) == 3
+    C.write_cache(spark.createDataFrame([("1", [1.0])], "id string, embedding array<double>"), str(tmp_path / "c"), model="m", mode="joint", image_index=2)
+    assert C.read_cache(spark, str(tmp_path / "c"), model="m", mode="joint", image_index=2).count() == 1
+    with pytest.raises(C.CacheMismatch, match="image_index"):
+        C.read_cache(spark, str(tmp_path / "c"), image_index=0)
