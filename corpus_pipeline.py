@@ -1,4 +1,9 @@
-"""A corpus pipeline: five stages, each of which works on all rows that the one before it kept."""
+"""A corpus pipeline: five stages, each of which works on all rows that the one before it kept.
+
+In every stage: null texts count as empty and stay null, null ids are ids of their own, texts of any length are read whole, repeated
+rows are judged alike (near_duplicates keeps one of them), an empty table stays empty, and all columns of documents stay as they are,
+whatever their names; names beginning with two underscores are the operators' own.
+"""
 
 from __future__ import annotations
 

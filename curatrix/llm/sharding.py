@@ -76,7 +76,7 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shar
     ones share a point); ties stand in order of doc_id, checksum and size. A key on very many rows fills
     several cells, told apart by checksum and then by where the rows are stored, and spreads over
     the clockwise shards as their room allows. Rows equal in everything may swap places, which changes
-    nothing. An empty table gives an empty result.
+    nothing. An empty table gives an empty result; texts of any length count whole; further columns are left out.
     """
     session = docs.sparkSession
     points = ring_points(shards, virtual)

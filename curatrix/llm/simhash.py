@@ -100,7 +100,7 @@ def linked_fingerprints(distinct: DataFrame, radius: int = 3, most: int = 2048)
         if not sized.where(F.col("n") > most).limit(1).count():
             break
         full = settled(dealt.join(sized.where(F.col("n") > most), ["fixed", "key"]).select("fp", F.col("fixed").alias("was")).distinct())
-        agreed = [r[0] & everything for r in full.select("was").distinct().collect()]  # at most 15 a step
+        agreed = [r[0] & everything for r in full.select("was").distinct().collect()]  # at most 15 in the first step, each as full as a bucket may not be
     return edges
 
 
@@ -111,7 +111,7 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     differing bits; equal fingerprints are linked; root names the group by its smallest fingerprint.
     Null and empty texts have fingerprint zero and link like any other. A null doc_id never becomes a
     component_id unless its group has no other. Repeated rows give repeated results; an empty table
-    gives none.
+    gives none. Texts of any length are hashed whole, in blocks of shingles; further columns are left out.
     """
     short_batches(docs.sparkSession)
     rows = settled(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text))["fp"].alias("fp")))
