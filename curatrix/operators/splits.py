@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,9 +43,9 @@ def holdout_search(df: DataFrame, group: str, stratum: str, valid_size: float =
     groups = counts.groupBy(group).agg(F.sum("n").alias("size"), F.collect_list(F.struct(F.col(stratum).alias("s"), "n")).alias("parts"))
     seeds = df.sparkSession.range(seed, seed + candidates).withColumnRenamed("id", "seed")
     ranked = groups.crossJoin(F.broadcast(seeds)).withColumn("share", hash_share(F.col("seed"), F.col(group)))
-    w = Window.partitionBy("seed").orderBy("share", group)
-    k = groups.agg(F.ceil(F.count("*") * F.lit(valid_size)).alias("take"), F.sum("size").alias("rows"))
-    held = ranked.withColumn("k", F.row_number().over(w)).crossJoin(F.broadcast(k)).where("k <= take")
+    rows = F.broadcast(groups.agg(F.sum("size").alias("rows")))
+    placed = running_sums(ranked.withColumn("one", F.lit(1)), "share", ["one"], ["seed"], descending=False, then=group)
+    held = placed.where(F.col("run_one") <= F.ceil(F.col("all_one") * F.lit(valid_size))).crossJoin(rows)
     sizes = held.groupBy("seed").agg(F.sum("size").alias("valid_rows"), F.count("*").alias("valid_groups"), F.first("rows").alias("rows"))
     per = held.select("seed", F.explode("parts").alias("p")).groupBy("seed", F.col("p.s").alias(stratum)).agg(F.sum("p.n").alias("n"))
     grid = sizes.crossJoin(F.broadcast(totals)).join(per, ["seed", stratum], "left")

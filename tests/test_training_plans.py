@@ -152,3 +152,22 @@ def test_encoders_and_ocr(spark):
     assert got["2"]["embedding"] == [0.0] * 9 and not got["2"]["present"] and got["2"]["stats"] == [0.0] * 4
     seen = O.recognised(cards, spark.createDataFrame([("1", "Хлопушка"), ("1", "18+"), ("3", "x")], "id string, ocr_text string")).select(O.ocr_vector(F.col("ocr_text")).alias("v")).collect()
     assert len(seen) == 1 and seen[0]["v"][0] == 1.0 and sum(seen[0]["v"]) == 2.0
+
+
+def test_multimodal_training_end_to_end(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(96):
+        y, category = int(i % 3 == 0), K.CATEGORIES[i % 2]
+        text = " ".join([rng.choice(["red", "blue", "green", "plain"]) for _ in range(5)] + (["danger"] if y and rng.random() < 0.8 else []))
+        rows.append((str(i), category, text, y, (i // 2) % 2, [y + rng.uniform(-0.8, 0.8), rng.uniform(-1, 1)]))
+    cards = spark.createDataFrame(rows, "id string, category string, text string, y int, fold int, embedding array<double>")
+    oof, decisions = Pl.train_multimodal(cards, "y", "fold", 2, iterations=30, limits={"word": 200, "char": 200})
+    made = {r["category"]: r for r in decisions.collect()}
+    assert oof.count() == 96 and set(made) == set(K.CATEGORIES) and all(r["oof_f1"] > 0.7 and 0 <= r["blend_alpha_vlm"] <= 1 for r in made.values())
+    models, frozen = Pl.refit_multimodal(cards, "y", decisions)
+    assert frozen is decisions and set(models) == set(K.CATEGORIES)
+    with pytest.raises(R.Violation, match="frozen"):
+        Pl.refit_multimodal(cards.withColumn("category", F.lit("new")), "y", decisions)
+    errors = Pl.baseline_errors(oof.withColumn("score", F.col("lexical_probability")), decisions.select("category", F.col("lexical_threshold").alias("threshold")), "y", 3).collect()
+    assert errors and all(r["place"] <= 3 and (r["error"] == "FN") == (r["y"] == 1) for r in errors)
