@@ -180,8 +180,12 @@ def _cut_places(texts: pa.Array, places: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, n: int, cut: bool = False) -> DataFrame:
-    """The same columns by a join on window digests, for benchmarks too large to broadcast. cut removes the hit words from the texts."""
+def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, n: int, cut: bool = False, filter_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The same columns by a join on window digests, for benchmarks too large to broadcast. cut removes the hit words from the texts.
+
+    The first eight bytes of the items' digests are broadcast as a filter if filter_bytes allows (8 million windows); beyond that every
+    window of the documents goes into the join.
+    """
     lengths = settled(benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("t")))
 
     def digest(words: list[bytes]) -> bytes:
@@ -195,6 +199,10 @@ def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_te
 
     grams = settled(lengths.select(F.col("item").cast("string"), "t").mapInArrow(of_items, "item string, len int, gram binary").distinct())
     sizes = sorted(r[0] for r in grams.select("len").distinct().collect())
+    codes = None
+    if grams.count() * 8 <= filter_bytes:  # eight bytes a window tell nearly all others apart, so that only hits are shuffled
+        heads = grams.select(F.substring("gram", 1, 8).alias("head")).distinct().toArrow()["head"].to_pylist()
+        codes = docs.sparkSession.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(heads), dtype=">u8").astype(np.uint64)))
     keyed = settled(docs.withColumn(_ROW, F.monotonically_increasing_id()))
 
     def of_texts(batches):
@@ -202,9 +210,14 @@ def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_te
             for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(t)
                 for k in sizes:
-                    at = range(len(words) - k + 1)
-                    if at:
-                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(at), pa.int64()), pa.array([k] * len(at), pa.int32()), pa.array(list(at), pa.int32()), pa.array([digest(words[i : i + k]) for i in at], pa.binary())], [_ROW, "len", "at", "gram"])
+                    grams = [digest(words[i : i + k]) for i in range(len(words) - k + 1)]
+                    at = np.arange(len(grams))
+                    if codes is not None and len(grams):
+                        head = np.frombuffer(b"".join(grams), dtype=">u8")[::4].astype(np.uint64)
+                        known = codes.value
+                        at = at[known[np.minimum(np.searchsorted(known, head), len(known) - 1)] == head] if len(known) else at[:0]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(at), pa.int64()), pa.array([k] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array([grams[i] for i in at.tolist()], pa.binary())], [_ROW, "len", "at", "gram"])
 
     found = keyed.select(_ROW, F.col(text).cast("string")).mapInArrow(of_texts, f"{_ROW} long, len int, at int, gram binary").join(grams, ["len", "gram"])
     found = settled(found.select(_ROW, "len", "at", "item"))

@@ -157,14 +157,16 @@ def test_samples_by_hash_are_bounded_and_stable(spark):
 
 
 def test_both_decontamination_forms_agree_on_odd_rows(spark):
-    from curatrix.llm.decontaminate import decontaminate
+    from curatrix.llm.decontaminate import _joined, decontaminate
 
     item = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, item, 5, 6), (2, None, 7, 8), (2, None, 7, 8), (3, f"x {item} mid short item", 1, 2)], "doc_id long, text string, row int, item int")
     bench = spark.createDataFrame([(None, item), (None, "short item"), (4, item), (4, item), (9, None)], "item_id long, text string")
     one, two = (sorted(map(str, decontaminate(docs, bench, most_bytes=size).select("doc_id", "row", "item", "n_words", "n_hit", "n_items", "items_sha256").collect())) for size in (64 << 20, 1))
     assert one == two and len(one) == 4
-    assert decontaminate(docs.limit(0), bench, most_bytes=1).count() == 0
+    assert decontaminate(docs.limit(0), bench, most_bytes=1).count() == 0 and decontaminate(docs, bench.limit(0), most_bytes=-1).where("contaminated").count() == 0
+    bare = (docs, bench, "text", "item_id", "text", 10)
+    assert sorted(map(str, _joined(*bare, filter_bytes=0).select("doc_id", "n_hit", "items_sha256").collect())) == sorted(map(str, _joined(*bare).select("doc_id", "n_hit", "items_sha256").collect()))
 
 
 def test_quality_with_odd_tables(spark):
