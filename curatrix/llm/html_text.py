@@ -268,29 +268,27 @@ def nested(tokens: list[tuple]) -> list[tuple[int, int, list[int]]]:
     places: list[list[float]] = []
     below: dict[tuple[int, int], list[int]] = {}  # (class, slot) -> the classes in it
 
-    def put(members: list[tuple[float, int]], parent: int, slot: int) -> None:
-        for child in below.get((parent, slot), ()):  # inside the outermost class there that reaches over all of them
-            if places[child][0] < members[0][0] and members[-1][0] < places[child][-1]:
-                parts: dict[int, list] = {}
-                for place, token in members:
-                    parts.setdefault(bisect.bisect_left(places[child], place), []).append((place, token))
-                for k, part in sorted(parts.items()):
-                    put(part, child, k)
-                return
-        below.setdefault((parent, slot), []).append(len(made))
-        made.append((parent, slot, [t for _, t in members]))
-        places.append([p for p, _ in members])
+    def dealt(members: list[tuple[float, int]], parent: int) -> list[tuple]:
+        """The members by the parent's slots, the last slot first."""
+        parts: dict[int, list] = {}
+        for place, token in members:
+            parts.setdefault(bisect.bisect_left(places[parent], place), []).append((place, token))
+        return [(part, parent, k) for k, part in sorted(parts.items(), reverse=True)]
+
+    def put(todo: list[tuple]) -> None:
+        while todo:
+            members, parent, slot = todo.pop()
+            over = [c for c in below.get((parent, slot), ()) if places[c][0] < members[0][0] and members[-1][0] < places[c][-1]]
+            if over:  # inside the first class there that reaches over all of them
+                todo.extend(dealt(members, over[0]))
+                continue
+            below.setdefault((parent, slot), []).append(len(made))
+            made.append((parent, slot, [t for _, t in members]))
+            places.append([p for p, _ in members])
 
     for _, members in sorted(classes.items(), key=lambda x: (-x[0][0], -len(x[1]), x[0][1])):
         members.sort()
-        if not made:
-            put(members, -1, 0)
-            continue
-        parts: dict[int, list] = {}
-        for place, token in members:
-            parts.setdefault(bisect.bisect_left(places[0], place), []).append((place, token))
-        for k, part in sorted(parts.items()):
-            put(part, 0, k)
+        put(dealt(members, 0) if made else [(members, -1, 0)])
     return made
 
 
