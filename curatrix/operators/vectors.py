@@ -189,7 +189,7 @@ def hard_negative_weight(rank_share: Column, most: float = 5.0) -> Column:
 
 
 def fit_principal(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, first k principal directions as rows): the moment matrix is summed in the tasks (dim x dim numbers)."""
+    """(mean, first k principal directions as rows): moments (dim x dim numbers) are summed in the tasks, then in 16 of them, whose sums reach the driver."""
     dim = df.select(F.size(vector)).first()[0]
 
     def moments(batches):
@@ -199,7 +199,16 @@ def fit_principal(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.nd
             n, s, ss = n + len(x), s + x.sum(axis=0), ss + x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([ss.reshape(-1).tolist()])], ["n", "s", "ss"])
 
-    rows = df.select(A.doubles(F.col(vector))).mapInArrow(moments, "n long, s array<double>, ss array<double>").collect()
+    def added(batches):
+        n, s, ss = 0, np.zeros(dim), np.zeros(dim * dim)
+        for batch in batches:
+            one, two, three = (c if k == 0 else c.flatten() for k, c in enumerate(batch.columns))
+            n += sum(one.to_pylist())
+            s, ss = s + two.to_numpy().reshape(-1, dim).sum(axis=0), ss + three.to_numpy().reshape(-1, dim * dim).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([ss.tolist()])], ["n", "s", "ss"])
+
+    kinds = "n long, s array<double>, ss array<double>"
+    rows = df.select(A.doubles(F.col(vector))).mapInArrow(moments, kinds).repartition(16).mapInArrow(added, kinds).collect()
     n = sum(r["n"] for r in rows)
     mean = sum(np.array(r["s"]) for r in rows) / n
     cov = sum(np.array(r["ss"]) for r in rows).reshape(dim, dim) / n - np.outer(mean, mean)
