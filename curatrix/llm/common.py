@@ -30,7 +30,8 @@ def texts_udf(per_text: Callable[[str], tuple], ddl: str, fields: dict[str, pa.D
 
     per_text gets each text (null as the empty string) and returns the struct's values in order. The
     other columns of the row never leave the JVM, so inputs may carry any further columns. Marked
-    nondeterministic only so that the optimiser runs it once where several fields are read.
+    nondeterministic only because the optimiser would run it twice where a filter and a projection read its result; filters on
+    other columns stay above it for that, so put them before it.
     """
     names, kinds = list(fields), list(fields.values())
 
