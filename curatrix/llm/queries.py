@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curatrix.llm.decontaminate import ORACLE as DECONTAMINATION
 from curatrix.llm.embedding_dedup import ORACLE as EMBEDDING_DEDUP
+from curatrix.llm.spelling import ORACLE as SPELLING
 from curatrix.session import table
 
 
@@ -76,6 +77,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_pii": op2_pii,
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
-ORACLES: dict[str, str] = {"op3_embedding_dedup": EMBEDDING_DEDUP, "op5_decontaminate": DECONTAMINATION}
+ORACLES: dict[str, str] = {"op3_embedding_dedup": EMBEDDING_DEDUP, "op5_decontaminate": DECONTAMINATION, "op11_spelling_variants": SPELLING}
