@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curatrix.llm.decontaminate import ORACLE as DECONTAMINATION
 from curatrix.llm.embedding_dedup import ORACLE as EMBEDDING_DEDUP
+from curatrix.llm.resampling import ORACLE as RESAMPLING
 from curatrix.llm.spelling import ORACLE as SPELLING
+from curatrix.llm.warc import ORACLE as WARC
 from curatrix.session import table
 
 
@@ -83,6 +85,18 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.warc import shared_folder, write_and_read_archive
+
+    return write_and_read_archive(table(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from curatrix.llm.resampling import importance_resample
+
+    return importance_resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_pii": op2_pii,
@@ -95,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_warc": op12_warc,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLES: dict[str, str] = {"op3_embedding_dedup": EMBEDDING_DEDUP, "op5_decontaminate": DECONTAMINATION, "op11_spelling_variants": SPELLING}
+ORACLES: dict[str, str] = {"op3_embedding_dedup": EMBEDDING_DEDUP, "op5_decontaminate": DECONTAMINATION, "op11_spelling_variants": SPELLING, "op12_warc": WARC, "op13_importance_resampling": RESAMPLING}
