@@ -23,6 +23,7 @@ from __future__ import annotations
 import bisect
 import html
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -78,22 +79,45 @@ def _marked(name: str, attributes: str) -> tuple[bool, str, str]:
     return marked, vote, signature
 
 
-class Page:
-    """One pass over a page: its opening tags with their paths, and its blocks of text in order.
+def token_hash(token: str) -> int:
+    value = xxhash.xxh64_intdigest(token, 11)
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+#: The token of the page itself as a container.
+ROOT = token_hash("")
+
+
+def _within(parent: int, signature: str, name: str, top: tuple) -> tuple[int, int, int]:
+    """(token, outermost article's token or 0, outermost main's) of an element in an open container."""
+    token = token_hash(f"{parent}>{signature}")
+    return token, top[9] or (token if name == "article" else 0), top[10] or (token if name == "main" else 0)
 
-    tags: (token, place); blocks: (text, container token, in an article, in main, excluded, place); places count both, in page order;
-    votes: characters inside each signature whose names vote against it; hidden: characters of the articles
-    that only names exclude, by the voting signatures around them. refuted holds the signatures whose votes
-    don't count; without it (no template) ids inside an article don't count either.
+
+class Page:
+    """One pass over a page: its opening tags, its containers and its blocks of text in order.
+
+    A tag's token is a hash of its parent's token and its signature, so it stands for the whole path, however deep. tags: (token,
+    place, token of the outermost article or else main element around it or 0); containers (parent, token, that element's token), parents
+    first, 0 is the page; blocks: (text, container, in an article, in main, excluded, place); places count tags and blocks, in
+    page order. chains: (signature, chain around it or -1) of the elements around a place whose names vote against them;
+    votes: characters inside each such signature; hidden: characters of the articles that only names exclude, by
+    chain. refuted holds the signatures whose votes don't count; without it (no template) ids inside an article don't
+    count either.
     """
 
     def __init__(self, source: str, refuted: frozenset | set | None = None):
-        self.tags: list[tuple[str, int]] = []
-        self.blocks: list[tuple[str, str, bool, bool, bool, int]] = []
+        self.tags: list[tuple[int, int, int]] = []
+        self.containers: list[tuple[int, int, int]] = [(-1, ROOT, 0)]
+        self.blocks: list[tuple[str, int, bool, bool, bool, int]] = []
+        self.chains: list[tuple[str, int]] = []
         self.votes: dict[str, int] = {}
-        self.hidden: dict[tuple[str, ...], int] = {}
-        # An open container: name, path, article depth, main depth, excluded, whether only headings count, excluded by more than names, votes, votes around an article.
-        stack: list[tuple] = [("", "", False, False, False, False, False, (), ())]
+        self.hidden: dict[int, int] = {}
+        numbers: dict[tuple[str, int], int] = {}
+        inside_chain: list[int] = []
+        # An open container: name, container, article depth, main depth, excluded, whether only headings count, excluded by more than names, chain of votes, chain around an article,
+        # tokens of the outermost article and main element.
+        stack: list[tuple] = [("", 0, False, False, False, False, False, -1, -1, 0, 0)]
         parts: list[str] = []
         heading = False
         at, n = 0, len(source)
@@ -108,9 +132,8 @@ class Page:
                 if text:
                     top = stack[-1]
                     self.blocks.append((text, top[1], top[2], top[3], top[4] or (top[5] and not heading), len(self.tags) + len(self.blocks)))
-                    if top[7] and not top[6]:
-                        for vote in top[7]:
-                            self.votes[vote] += len(text)
+                    if top[7] >= 0 and not top[6]:
+                        inside_chain[top[7]] += len(text)
                         if top[8] == top[7]:
                             self.hidden[top[8]] = self.hidden.get(top[8], 0) + len(text)
 
@@ -151,8 +174,8 @@ class Page:
                 vote = ""
             if vote:
                 self.votes.setdefault(signature, 0)
-            path = f"{top[1]}>{signature}" if len(top[1]) < 2000 else top[1]  # nested beyond reason: the path stays
-            self.tags.append((path, len(self.tags) + len(self.blocks)))
+            token, article, main = _within(self.containers[top[1]][1], signature, name, top)
+            self.tags.append((token, len(self.tags) + len(self.blocks), article or main))
             if name in _RAW:
                 if lower is None:
                     lower = source.lower() if source.isascii() else "".join(c.lower() if c < "\x80" else c for c in source)
@@ -172,15 +195,26 @@ class Page:
                 if name in ("body", "main", "article") and stack[-1][0] == "head":
                     stack.pop()
                     top = stack[-1]
-                path = f"{top[1]}>{signature}" if len(top[1]) < 2000 else top[1]
+                token, article, main = _within(self.containers[top[1]][1], signature, name, top)  # top may be another one now
+                self.containers.append((top[1], token, article or main))
                 inside = top[2] or top[3]
                 header = name == "header" and not marked and not vote
                 hard = top[6] or (marked and name not in ("body", "main")) or name in _NEVER or (header and not inside)
-                votes = top[7] + (signature,) if vote and name != "main" and len(top[7]) < 50 else top[7]
-                excluded = hard or bool(votes)
+                votes = top[7]
+                if vote and name != "main":
+                    votes = numbers.setdefault((signature, top[7]), len(self.chains))
+                    if votes == len(self.chains):
+                        self.chains.append((signature, top[7]))
+                        inside_chain.append(0)
+                excluded = hard or votes >= 0
                 around = votes if name in ("article", "main") and not hard and not inside else top[8]
-                stack.append((name, path, top[2] or (name == "article" and not excluded), top[3] or (name == "main" and not excluded), excluded, top[5] or header, hard, votes, around))
+                stack.append((name, len(self.containers) - 1, top[2] or (name == "article" and not excluded), top[3] or (name == "main" and not excluded), excluded, top[5] or header, hard, votes, around, article, main))
         flush()
+        for k in range(len(self.chains) - 1, -1, -1):  # a chain's characters are those of the chains around it too
+            signature, outer = self.chains[k]
+            self.votes[signature] += inside_chain[k]
+            if outer >= 0:
+                inside_chain[outer] += inside_chain[k]
 
     @staticmethod
     def _unclosed(source: str, at: int, stack, known: dict[int, bool]) -> bool:
@@ -192,7 +226,13 @@ class Page:
             known[id(hiding)] = closed <= opened
         return known[id(hiding)]
 
-    def text(self, main: str | None, template) -> str:
+    def chain(self, k: int) -> Iterator[str]:
+        """The signatures of a chain, from the inside out."""
+        while k >= 0:
+            signature, k = self.chains[k]
+            yield signature
+
+    def text(self, main: int | None, template) -> str:
         """The article: blocks of the host's main container that are not the template's; on pages without it, of article elements, main, or all.
 
         Should the template's blocks be half of an article element or more, or all there is, the page is a copy of others,
@@ -200,7 +240,10 @@ class Page:
         """
         kept = [b for b in self.blocks if not b[4]]
         own = self._template(kept, template)
-        inside = [k for k, b in enumerate(kept) if main and (b[1] == main or b[1].startswith(main + ">"))]
+        within: list[bool] = []  # of each container, whether it is the main one or lies in it
+        for parent, token, _ in self.containers:
+            within.append(token == main or (parent >= 0 and within[parent]))
+        inside = [k for k, b in enumerate(kept) if within[b[1]]]
         if not any(kept[k][2] for k in inside) and any(b[2] for b in kept):
             inside = []  # the page's article lies elsewhere
         for places in (inside, [k for k, b in enumerate(kept) if b[2]], [k for k, b in enumerate(kept) if b[3]]):
@@ -217,10 +260,10 @@ class Page:
         if not template:
             return set()
         at: dict[int, list[int]] = {}
-        for path, place in self.tags:
-            at.setdefault(token_hash(path), []).append(place)
+        for token, place, _ in self.tags:
+            at.setdefault(token, []).append(place)
         for b in kept:
-            at.setdefault(text_token(b[1], b[0]), []).append(b[5])
+            at.setdefault(text_token(self.containers[b[1]][1], b[0]), []).append(b[5])
         own: set[int] = set()
         found: list[list[tuple[int, int]]] = []  # of each class: (number of the token, its first place) where it matches
         for parent, slot, tokens in template:
@@ -298,18 +341,13 @@ def read_page(source: str, refuted: frozenset | set | None = None) -> Page:
     if page.hidden:
         votes, size = max(page.hidden.items(), key=lambda x: x[1])
         if size > sum(len(b[0]) for b in page.blocks if not b[4]):
-            again = Page(source, (refuted or set()) | {token_hash(v) for v in votes})
+            again = Page(source, (refuted or set()) | {token_hash(v) for v in page.chain(votes)})
             return again
     return page
 
 
-def text_token(path: str, text: str) -> int:
-    return token_hash(f"{path}\n{text}")
-
-
-def token_hash(token: str) -> int:
-    value = xxhash.xxh64_intdigest(token, 11)
-    return value - (1 << 64) if value >= 1 << 63 else value
+def text_token(container: int, text: str) -> int:
+    return token_hash(f"{container}\n{text}")
 
 
 def host_of(url: Column) -> Column:
@@ -318,7 +356,8 @@ def host_of(url: Column) -> Column:
 
 
 #: kind: 0 the page, 1 a tag, 2 a text block, 3 a text block in an article or main element, 4 a signature whose names vote against it.
-_FACTS = "host string, token long, path string, sig decimal(20,0), pages long, kind long, most long, place double, chars long"
+#: container: a tag's own token, a block's container's; element: the article or main element around it; name: of kind 4 alone.
+_FACTS = "host string, token long, container long, element long, name string, sig decimal(20,0), pages long, kind long, most long, place double, chars long"
 
 
 def _facts(batches):
@@ -326,13 +365,13 @@ def _facts(batches):
     known: dict[tuple[str, int], list] = {}
 
     def rows():
-        keys = list(known)
-        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([known[k][0] for k in keys], pa.string())]
         from decimal import Decimal
 
-        columns.append(pa.array([Decimal(known[k][1]) for k in keys], pa.decimal128(20, 0)))
-        columns += [pa.array([known[k][i] for k in keys], pa.float64() if i == 5 else pa.int64()) for i in range(2, 7)]
-        out = pa.RecordBatch.from_arrays(columns, ["host", "token", "path", "sig", "pages", "kind", "most", "place", "chars"])
+        keys, values = list(known), list(known.values())
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.decimal128(20, 0), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())]
+        columns += [pa.array([Decimal(v[i]) if i == 3 else v[i] for v in values], kind) for i, kind in enumerate(kinds)]
+        out = pa.RecordBatch.from_arrays(columns, ["host", "token", "container", "element", "name", "sig", "pages", "kind", "most", "place", "chars"])
         known.clear()
         return out
 
@@ -340,34 +379,35 @@ def _facts(batches):
         for host, page, source in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             parsed = read_page(source or "", frozenset())
             counts: dict[int, list] = {}
-            for path, place in parsed.tags:
-                counts.setdefault(token_hash(path), [path, 0, place, 0, 1])[1] += 1
+            for token, place, element in parsed.tags:
+                counts.setdefault(token, [token, element, None, 0, place, 0, 1])[3] += 1
             total = max(1, len(parsed.tags) + len(parsed.blocks))
             whole = 0
-            for text, path, article, main, excluded, place in parsed.blocks:
+            for text, container, article, main, excluded, place in parsed.blocks:
                 whole += len(text)
                 if excluded:
                     continue
-                if (own := counts.get(token_hash(path))) is not None:
-                    own[3] += len(text)
-                own = counts.setdefault(text_token(path, text), [path, 0, place, 0, 3 if article or main else 2])
-                own[1] += 1
-                own[3] += len(text)
+                _, token, element = parsed.containers[container]
+                if (own := counts.get(token)) is not None:
+                    own[5] += len(text)
+                own = counts.setdefault(text_token(token, text), [token, element, None, 0, place, 0, 3 if article or main else 2])
+                own[3] += 1
+                own[5] += len(text)
             for signature, chars in parsed.votes.items():
-                counts[token_hash("vote " + signature)] = [signature, 1, 0, chars, 4]
+                counts[token_hash("vote " + signature)] = [0, 0, signature, 1, 0, chars, 4]
             # The page itself is a token too: it stands once on every page and so leads the root class.
-            counts[0] = ["", 1, -1, whole, 0]
-            for token, (path, n, place, chars, kind) in counts.items():
+            counts[0] = [0, 0, None, 1, -1, whole, 0]
+            for token, (container, element, name, n, place, chars, kind) in counts.items():
                 sign = xxhash.xxh64_intdigest(f"{page}/{n}", 12) >> 4
                 row = known.get((host, token))
                 if row is None:
-                    known[host, token] = [path, sign, 1, kind, n, place / total, chars]
+                    known[host, token] = [container, element, name, sign, 1, kind, n, place / total, chars]
                 else:
-                    row[1] = (row[1] + sign) % 10**18
-                    row[2] += 1
-                    row[4] = max(row[4], n)
-                    row[5] += place / total
-                    row[6] += chars
+                    row[3] = (row[3] + sign) % 10**18
+                    row[4] += 1
+                    row[6] = max(row[6], n)
+                    row[7] += place / total
+                    row[8] += chars
             if len(known) > 150_000:
                 yield rows()
     yield rows()
@@ -397,7 +437,7 @@ def deduce_templates(pages: DataFrame, page_id: str = "page_id", url: str = "url
     page = F.coalesce(F.col(page_id).cast("string"), F.lit(""))
     facts = pages.select(host_of(F.col(url)).alias("host"), page, F.col(source).cast("string")).mapInArrow(_facts, _FACTS)
     merged = facts.groupBy("host", "token").agg(
-        F.max("path").alias("path"), F.sum("sig").alias("sig"), F.sum("pages").alias("pages"), F.min("kind").alias("kind"),
+        F.max("container").alias("container"), F.max("element").alias("element"), F.max("name").alias("name"), F.sum("sig").alias("sig"), F.sum("pages").alias("pages"), F.min("kind").alias("kind"),
         F.max("most").alias("most"), (F.sum("place") / F.sum("pages")).alias("place"), F.sum("chars").alias("chars"),
     )
     merged = settled(merged.where("pages > 1 or kind in (0, 4) or (kind = 1 and chars > 0)"))
@@ -409,16 +449,14 @@ def deduce_templates(pages: DataFrame, page_id: str = "page_id", url: str = "url
     fixed = valid.where((F.col("pages") >= share * F.col("total")) & ((F.col("kind") == 2) | (F.col("most") == 1)))
     templates = fixed.select("host", F.col("sig").cast("string").alias("sig"), "pages", "token", "place").groupBy("host").applyInArrow(_nest, _TEMPLATE)
     fixed = fixed.where("kind > 1")
-    element = F.regexp_extract("path", r"^(.*?>article(?![a-zA-Z0-9-])[^>]*)", 1)
-    element = F.when(element != "", element).otherwise(F.regexp_extract("path", r"^(.*?>main(?![a-zA-Z0-9-])[^>]*)", 1))
-    constant = fixed.groupBy("host", "path").agg(F.sum("chars").alias("__fixed"))
-    held = tokens.where("kind = 1 and chars > 0").join(constant, ["host", "path"], "left").withColumn("chars", F.col("chars") - F.coalesce("__fixed", F.lit(0)))
-    held = held.withColumn("hint", element != "").withColumn("main", F.when(element != "", element).otherwise(F.col("path")))
+    constant = fixed.groupBy("host", "container").agg(F.sum("chars").alias("__fixed"))
+    held = tokens.where("kind = 1 and chars > 0").join(constant, ["host", "container"], "left").withColumn("chars", F.col("chars") - F.coalesce("__fixed", F.lit(0)))
+    held = held.withColumn("hint", F.col("element") != 0).withColumn("main", F.when(F.col("element") != 0, F.col("element")).otherwise(F.col("container")))
     held = held.groupBy("host", "main").agg(F.sum("chars").alias("chars"), F.max("pages").alias("pages"), F.max("hint").alias("hint")).join(large, "host").where(F.col("pages") >= support)
     heaviest = Window.partitionBy("host").orderBy(F.desc(F.col("hint") & (F.col("pages") >= share * F.col("total"))), F.desc("chars"), "main")
     main = held.withColumn("k", F.row_number().over(heaviest)).where("k = 1").select("host", "main")
     votes = merged.where("kind = 4").join(large, "host").where((F.col("pages") < support) | (2 * F.col("chars") >= F.col("whole")))
-    refuted = votes.groupBy("host").agg(F.collect_list("path").alias("refuted"))
+    refuted = votes.groupBy("host").agg(F.collect_list("name").alias("refuted"))
     made = sizes.select("host", F.when(F.col("total") >= support, F.array().cast("array<string>")).alias("none")).join(main, "host", "left").join(templates, "host", "left").join(refuted, "host", "left")
     return settled(made.select("host", "main", "template", F.coalesce("refuted", "none").alias("refuted")))
 
@@ -431,7 +469,7 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", s
     whole: nothing of the article's slots is dropped or cut.
     """
     templates = deduce_templates(pages, page_id, url, source, support)
-    bytes_of = F.lit(64) + F.coalesce(F.length("main"), F.lit(0)) + F.coalesce(F.aggregate("template", F.lit(0), lambda s, c: s + 16 + 8 * F.size(c["tokens"])), F.lit(0)) + F.coalesce(F.length(F.array_join("refuted", ",")), F.lit(0))
+    bytes_of = F.lit(72) + F.coalesce(F.aggregate("template", F.lit(0), lambda s, c: s + 16 + 8 * F.size(c["tokens"])), F.lit(0)) + F.coalesce(F.length(F.array_join("refuted", ",")), F.lit(0))
     size = templates.agg(F.sum(bytes_of).alias("b")).first()["b"] or 0
     own = templates.select(F.col("host").alias("__host"), F.struct("main", "template", "refuted").alias("__of_host"))
     joined = pages.withColumn("__at", host_of(F.col(url))).join(F.broadcast(own) if size * 4 <= BROADCAST_BYTES else own, F.col("__at") == F.col("__host"), "left")

@@ -29,16 +29,16 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-_AT = re.compile(r"[\[({<]\s?(?:at|AT|arroba)\s?[\])}>]\s?([A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT|punkt|point|punto)\s?[\])}>]\s?)[A-Za-z0-9-]{1,63}){1,5})")
-_AT_WORD = re.compile(r"(?<= )(?:at|AT) ([A-Za-z0-9-]{1,63}(?: (?:dot|DOT) [A-Za-z0-9-]{1,63}){1,4})(?![A-Za-z0-9])")
+_AT = re.compile(r"[\[({<]\s?(?:at|AT|arroba)\s?[\])}>]\s?([A-Za-z0-9-]++(?:(?:\.|\s?[\[({<]\s?(?:dot|DOT|punkt|point|punto)\s?[\])}>]\s?)[A-Za-z0-9-]++)+)")
+_AT_WORD = re.compile(r"(?<= )(?:at|AT) ([A-Za-z0-9-]++(?: (?:dot|DOT) [A-Za-z0-9-]++)+)")
 _NATIONAL = re.compile(r"(?<![0-9.+/-])\(?[0-9]{2,5}\)?[ ./-][0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,3}(?![0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _IP6 = re.compile(r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])")
-_ASSIGNED = re.compile(r"(?i:password|passwd|passwort|pwd|token|secret|api[_-]?key)\s?[=:]\s?[\"']?([^\s\"']{6,256})")
+_ASSIGNED = re.compile(r"(?i:password|passwd|passwort|pwd|token|secret|api[_-]?key)\s?[=:]\s?[\"']?([^\s\"']{6,})")
 _KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
 _TITLES = ("Mr", "Ms", "Dr", "Herr", "Frau", "Monsieur", "Madame", "Señor", "y name is", "ch heiße", "e m'appelle", "e llamo")
-_TITLED = re.compile(r"(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora|[Mm]y name is|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo)\.? ([A-ZÄÖÜÉÁÍÓÚÑ][a-zäöüßéèêáíóúñç]{1,24}(?: [A-ZÄÖÜÉÁÍÓÚÑ][a-zäöüßéèêáíóúñç]{1,24})?)")
+_TITLED = re.compile(r"(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Señor|Señora|[Mm]y name is|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo)\.? ([A-ZÄÖÜÉÁÍÓÚÑ][a-zäöüßéèêáíóúñç]+(?: [A-ZÄÖÜÉÁÍÓÚÑ][a-zäöüßéèêáíóúñç]+)*)")
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[ ./-][01]?[0-9][ ./-][0-3]?[0-9]|[0-3]?[0-9][ ./-][01]?[0-9][ ./-](?:19|20)[0-9]{2}")
 
 # Gazetteers (fixed values).
@@ -108,12 +108,14 @@ def further_spans(text: str) -> list[tuple[int, int, int]]:
     """Candidates beyond the base patterns: obfuscated addresses, national numbers, ids, secrets, names."""
     found = []
     for pattern in (_AT, *[_AT_WORD] * (" dot " in text or " DOT " in text)):
+        free = 0  # no text is read to the left of the match before
         for m in pattern.finditer(text):
             start = first = m.start() - (m.start() > 0 and text[m.start() - 1] == " ")
-            while start > max(0, first - 64) and text[start - 1] in _LOCAL:
+            while start > free and text[start - 1] in _LOCAL:
                 start -= 1
             if start < first:
                 found.append((start, m.end(), 0))
+            free = m.end()
     if _DIGIT.search(text):
         if text.count(":") >= 7:
             found += [(m.start(), m.end(), 1) for m in _IP6.finditer(text)]

@@ -35,9 +35,10 @@ def plain_template(rows, support=5, share=0.5):
     vectors, chars, kinds = defaultdict(Counter), Counter(), {}
     for page, _, source in rows:
         parsed = html_text.Page(source)
-        for path, _ in parsed.tags:
+        for path, *_ in parsed.tags:
             vectors["tag", path][page] += 1
-        for text, path, *_ in parsed.blocks:
+        for text, container, *_ in parsed.blocks:
+            path = parsed.containers[container][1]
             vectors["text", path, text][page] += 1
             chars[path] += len(text)
     vectors["page",] = Counter(r[0] for r in rows)
@@ -50,6 +51,13 @@ def plain_template(rows, support=5, share=0.5):
     return fixed, max(chars, key=lambda p: (chars[p], p))
 
 
+def around(parsed, container):
+    """Tokens of a container and of all those around it."""
+    while container >= 0:
+        container, token, _ = parsed.containers[container]
+        yield token
+
+
 def test_template_equals_one_of_plain_vectors(spark):
     rng = random.Random(6)
     rows, expected = [], {}
@@ -59,8 +67,8 @@ def test_template_equals_one_of_plain_vectors(spark):
         fixed, main = plain_template(own)
         assert {t[2] for t in fixed} == {f"Welcome to {host}", f"Say it to {host}", f"All rights of {host}", "Read our best pieces", "Every week anew"}
         for page, _, source in own:
-            blocks = html_text.Page(source).blocks
-            expected[page] = "\n".join(b[0] for b in blocks if (b[1] + ">").startswith(main + ">") and ("text", b[1], b[0]) not in fixed)
+            parsed = html_text.Page(source)
+            expected[page] = "\n".join(b[0] for b in parsed.blocks if main in around(parsed, b[1]) and ("text", parsed.containers[b[1]][1], b[0]) not in fixed)
             assert "story" in expected[page] and "Welcome" not in expected[page] and "Say it" not in expected[page]
     few = [(900 + k, "https://few.example.org/", f"<html><body><p>Top</p><p>text {k}</p></body></html>") for k in range(3)]
     pages = spark.createDataFrame(rows + few, SCHEMA)
@@ -79,3 +87,26 @@ def test_blocks_out_of_order_stay(spark):
     odd = '<html><body><div class="w"><h2>Top</h2><h3>Middle</h3><p>a story</p><h4>End</h4><p>Rule one</p></div></body></html>'
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame([*rows, (99, "http://h/", odd)], SCHEMA)).collect()}
     assert got[3] == "story 3 told at length" and got[99] == "a story\nRule one"
+
+
+def nested_hosts(levels, votes):
+    """Eight pages of a host whose teaser and article lie side by side below many wrappers, some with names that vote against them."""
+    wrapper = ["<div>"] * levels
+    for k in range(votes):
+        wrapper[k * levels // max(1, votes)] = f'<div class="sidebar{chr(97 + k % 26)}">'
+    shut = "</div>" * levels
+    page = "<html><body>{open}<div class='t'><p>Teaser of {k} with some words of its own</p></div><div class='a'><p>Story {k} " + "told at length " * 40 + "</p><p>End of {k}</p></div>{shut}</body></html>"
+    return [(k, "http://deep/", page.format(open="".join(wrapper), shut=shut, k=k)) for k in range(8)]
+
+
+def test_depth_of_nesting_changes_nothing(spark):
+    read = lambda rows: {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    shallow = read(nested_hosts(2, 0))
+    assert all("Teaser" not in t and "Story" in t and "End of" in t for t in shallow.values())
+    assert read(nested_hosts(150, 0)) == read(nested_hosts(20_000, 0)) == shallow
+
+
+def test_all_names_around_a_block_vote():
+    for depth in (5, 600):
+        parsed = html_text.Page("".join(f'<div class="sidebar x{chr(97 + k % 26) * (1 + k // 26)}">' for k in range(depth)) + "<p>1234567890</p>")
+        assert len(parsed.votes) == depth and set(parsed.votes.values()) == {10}
