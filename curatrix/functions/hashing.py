@@ -9,14 +9,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def id_fingerprint(df: DataFrame, id_col: str, order: str) -> DataFrame:
-    """(fingerprint, rows): SHA-256 over the ids, each followed by NUL, in the given order.
+def _ordered_digest(df: DataFrame, order: list[Column], piece: Column) -> DataFrame:
+    """(digest, rows): SHA-256 over the pieces in an order.
 
-    The ids of one table have to meet in one place for a digest over their sequence; use
-    table_fingerprint where the table is large.
+    A digest of a sequence is made one byte after another, so its last step is one task; but that reads rows which others sorted, part by
+    part, and holds a batch of them at a time. Parts must come in their order, or it fails.
     """
-    one = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(id_col).cast("string").alias("i")))), lambda x: F.concat(x["i"], F.lit("\0")))
-    return df.agg(F.sha2(F.array_join(one, ""), 256).alias("fingerprint"), F.count("*").alias("rows"))
+
+    def run(batches):
+        digest, rows, part = hashlib.sha256(), 0, -1
+        for batch in batches:
+            for number, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if number < part:
+                    raise ValueError("parts of the order were read out of turn")
+                part, rows = number, rows + 1
+                digest.update((value or "").encode())
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()]), pa.array([rows], pa.int64())], ["digest", "rows"])
+
+    keyed = df.select(*[c.alias(f"k{i}") for i, c in enumerate(order)], piece.alias("piece"))
+    keys = [f"k{i}" for i in range(len(order))]
+    ordered = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.spark_partition_id().alias("part"), "piece")
+    made = ordered.coalesce(1).mapInArrow(run, "digest string, rows long")
+    return made.agg(F.coalesce(F.max("digest"), F.lit(hashlib.sha256().hexdigest())).alias("digest"), F.coalesce(F.max("rows"), F.lit(0)).alias("rows"))
+
+
+def id_fingerprint(df: DataFrame, id_col: str, order: str) -> DataFrame:
+    """(fingerprint, rows): SHA-256 over the ids, each followed by NUL, in the given order; nulls add nothing. Use table_fingerprint where any order will do."""
+    own = F.col(id_col).cast("string")
+    return _ordered_digest(df, [F.col(order), own], F.concat(own, F.lit("\0"))).select(F.col("digest").alias("fingerprint"), "rows")
 
 
 def table_fingerprint(df: DataFrame, columns: list[str], salt: str = "") -> DataFrame:
@@ -33,9 +53,9 @@ def feature_fingerprint(cards: DataFrame, models: list[str]) -> DataFrame:
 
 
 def short_hash(df: DataFrame, id_col: str) -> DataFrame:
-    """First 16 hex digits of the SHA-256 of the ids joined in ascending order. By contract all ids meet in one place; for large tables use table_fingerprint."""
-    joined = F.array_join(F.array_sort(F.collect_list(F.col(id_col).cast("string"))), "")
-    return df.agg(F.substring(F.sha2(joined, 256), 1, 16).alias("short_hash"))
+    """First 16 hex digits of the SHA-256 of the ids joined in ascending order."""
+    own = F.col(id_col).cast("string")
+    return _ordered_digest(df.where(own.isNotNull()), [own], own).select(F.substring("digest", 1, 16).alias("short_hash"))
 
 
 def _slots(text: str, dim: int) -> list[tuple[int, float]]:

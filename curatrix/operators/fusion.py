@@ -9,6 +9,7 @@ from curatrix.functions import constants as K
 from curatrix.functions import maths as M
 from curatrix.functions import text as X
 from curatrix.operators.metrics import macro_threshold, positive_threshold
+from curatrix.operators.selection import order_statistics
 
 
 def blend_probability(strategy: Column, alpha: Column, vlm: Column, vlm_threshold: Column, lexical: Column, lexical_threshold: Column) -> Column:
@@ -98,9 +99,9 @@ def knn_grid(df: DataFrame, label: str, probability: str, margin: str, base_thre
     """(knn_alpha, margin_scale, center, threshold, f1) over a grid of weights, scales and margin quantiles."""
     from curatrix.operators.metrics import curve_threshold
 
-    centres = df.agg(F.explode(F.percentile(margin, F.array(*[F.lit(q) for q in quantiles]))).alias("center"))
+    centres = sorted({x for x in order_statistics(df, F.col(margin), list(quantiles))[1] if x is not None})
     combos = F.explode(F.array(*[F.struct(F.lit(a).alias("knn_alpha"), F.lit(s).alias("margin_scale")) for a in alphas for s in scales]))
-    spread = df.crossJoin(F.broadcast(centres)).withColumn("g", combos).select("*", "g.*")
+    spread = df.withColumn("center", F.explode(F.array(*[F.lit(x) for x in centres]).cast("array<double>"))).withColumn("g", combos).select("*", "g.*")
     p = M.sigmoid((1 - F.col("knn_alpha")) * (M.logit(F.col(probability)) - M.logit(F.lit(base_threshold))) + F.col("knn_alpha") * (F.col(margin) - F.col("center")) / F.col("margin_scale"))
     return curve_threshold(spread.withColumn("__s", F.round(p, 12)), label, "__s", ["knn_alpha", "margin_scale", "center"])
 

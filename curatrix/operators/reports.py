@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions import arrays as A
+from curatrix.operators.selection import exact_quantiles
 
 
 def audit_summary(df: DataFrame, row_id: str, text: Column, images: Column | None = None) -> DataFrame:
@@ -21,9 +22,8 @@ def audit_summary(df: DataFrame, row_id: str, text: Column, images: Column | Non
 
 
 def quantiles(df: DataFrame, value: Column, at=(0.0, 0.5, 0.9, 0.99, 1.0)) -> DataFrame:
-    """One row p0, p50, ...: exact quantiles with linear interpolation, off one counter of the distinct values, which is merged in one place."""
-    made = df.agg(F.percentile(value, F.array(*[F.lit(q) for q in at])).alias("q"))
-    return made.select(*[F.col("q")[k].alias(f"p{q * 100:g}") for k, q in enumerate(at)])
+    """One row p0, p50, ...: exact quantiles with linear interpolation, by refined histograms."""
+    return exact_quantiles(df, value, {f"p{q * 100:g}": q for q in at})
 
 
 def label_distribution(df: DataFrame, labels: str) -> DataFrame:
@@ -80,6 +80,14 @@ def ensemble_average(runs: list[DataFrame], key: str, score: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [r.select(key, score) for r in runs]).groupBy(key).agg(F.avg(score).alias(score))
 
 
-def rank_share(value: str, label: str) -> Column:
-    """Share of the rows of the same label whose value is at most the row's."""
-    return F.cume_dist().over(Window.partitionBy(label).orderBy(value))
+def rank_share(df: DataFrame, value: str, label: str, out: str = "rank_share") -> DataFrame:
+    """df with the share of the rows of the same label whose value is at most the row's.
+
+    Values are counted first, and their running sums are made in cells of their range, so a label with nearly all rows is
+    spread over tasks. Null values and labels are values of their own, the smallest.
+    """
+    from curatrix.operators.metrics import running_sums
+
+    counts = df.groupBy(F.struct(label).alias("__label"), F.col(value).alias("__value")).agg(F.count("*").alias("__n"))
+    shares = running_sums(counts, "__value", ["__n"], ["__label"], descending=False).select("__label", "__value", (F.col("run___n") / F.col("all___n")).alias(out))
+    return df.join(shares, F.struct(label).eqNullSafe(F.col("__label")) & F.col(value).eqNullSafe(F.col("__value"))).drop("__label", "__value")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from curatrix.operators.metrics import running_sums
 from curatrix.operators.relational import Violation
+from curatrix.operators.selection import numbered
+from curatrix.session import settled
+
+#: Cells of the hash's range in which a candidate split's cut is looked for.
+CELLS = 4096
 
 
 def hash_share(*parts: Column) -> Column:
@@ -36,18 +42,24 @@ def holdout_search(df: DataFrame, group: str, stratum: str, valid_size: float =
 
     Under each seed the groups stand in the order of a hash, and the first ceil(valid_size * groups) are
     held out. The objective is the mean error of the strata's rates (relative to the rate, at least 1e-4, if asked) plus
-    the error of the held-out share. Groups are reduced to their counts once; rows are never split again.
+    the error of the held-out share. Groups are reduced to their counts once; a group's place under each seed is only
+    ever counted, in the task that holds the group: what is shuffled is cells and strata of each seed.
     """
     counts = df.groupBy(group, stratum).agg(F.count("*").alias("n"))
-    totals = counts.groupBy(stratum).agg(F.sum("n").alias("all_n"))
-    groups = counts.groupBy(group).agg(F.sum("n").alias("size"), F.collect_list(F.struct(F.col(stratum).alias("s"), "n")).alias("parts"))
-    seeds = df.sparkSession.range(seed, seed + candidates).withColumnRenamed("id", "seed")
-    ranked = groups.crossJoin(F.broadcast(seeds)).withColumn("share", hash_share(F.col("seed"), F.col(group)))
-    rows = F.broadcast(groups.agg(F.sum("size").alias("rows")))
-    placed = running_sums(ranked.withColumn("one", F.lit(1)), "share", ["one"], ["seed"], descending=False, then=group)
-    held = placed.where(F.col("run_one") <= F.ceil(F.col("all_one") * F.lit(valid_size))).crossJoin(rows)
-    sizes = held.groupBy("seed").agg(F.sum("size").alias("valid_rows"), F.count("*").alias("valid_groups"), F.first("rows").alias("rows"))
-    per = held.select("seed", F.explode("parts").alias("p")).groupBy("seed", F.col("p.s").alias(stratum)).agg(F.sum("p.n").alias("n"))
+    totals = settled(counts.groupBy(stratum).agg(F.sum("n").alias("all_n")))
+    groups = settled(counts.groupBy(group).agg(F.collect_list(F.struct(F.col(stratum).alias("s"), "n")).alias("parts")))
+    rows = totals.agg(F.sum("all_n")).first()[0] or 0
+    held_groups = math.ceil(valid_size * groups.count())
+    placed = groups.withColumn("seed", F.explode(F.sequence(F.lit(seed).cast("long"), F.lit(seed + candidates - 1).cast("long")))).withColumn("share", hash_share(F.col("seed"), F.col(group)))
+    placed = placed.withColumn("cell", F.floor(F.col("share") * CELLS))
+    # The cell of the share in which each seed's cut lies, from counts that every task adds up; then the cut itself, among that cell's groups.
+    full = placed.groupBy("seed", "cell").agg(F.count("*").alias("n")).withColumn("run", F.sum("n").over(Window.partitionBy("seed").orderBy("cell")))
+    full = full.where((F.col("run") >= held_groups) & (F.col("run") - F.col("n") < held_groups)).select("seed", "cell", (held_groups - F.col("run") + F.col("n")).alias("place"))
+    inside = placed.join(F.broadcast(settled(full)), ["seed", "cell"]).withColumn("k", F.row_number().over(Window.partitionBy("seed").orderBy("share", group)))
+    cuts = settled(inside.where(F.col("k") == F.col("place")).select("seed", F.struct("share", group).alias("cut")))  # a row a seed
+    held = placed.join(F.broadcast(cuts), "seed").where(F.struct("share", group) <= F.col("cut"))
+    per = settled(held.select("seed", F.explode("parts").alias("p")).groupBy("seed", F.col("p.s").alias(stratum)).agg(F.sum("p.n").alias("n")))
+    sizes = per.groupBy("seed").agg(F.sum("n").alias("valid_rows")).withColumns({"valid_groups": F.lit(held_groups).cast("long"), "rows": F.lit(rows)})
     grid = sizes.crossJoin(F.broadcast(totals)).join(per, ["seed", stratum], "left")
     rate, valid_rate = F.col("all_n") / F.col("rows"), F.coalesce("n", F.lit(0)) / F.col("valid_rows")
     error = F.abs(valid_rate - rate) / (F.greatest(rate, F.lit(1e-4)) if relative else F.lit(1.0))
@@ -73,31 +85,64 @@ def holdout(df: DataFrame, group: str, stratum: str, valid_size: float = 0.2, se
 def greedy_folds(df: DataFrame, group: str, labels: list[Column], folds: int, seed: int = 42) -> DataFrame:
     """(group, fold): folds of nearly equal label counts, filled greedily by rare labels and large groups first.
 
-    Greedy filling is sequential over groups, so their counts (one short row each) go to the driver;
-    rows don't. The first groups open a fold each. For more groups than a driver holds use hash_fold.
+    Groups of equal size and label counts are one class, and only the classes with their multiplicities go to the driver, which fills the
+    folds in runs of equal groups; members of a class are dealt to its folds by their number in the order of a hash. The
+    first groups open a fold each.
     """
     require_groups(df, group, folds)
-    stats = df.groupBy(group).agg(F.count("*").alias("size"), *[F.sum(c.cast("double")).alias(f"y{k}") for k, c in enumerate(labels)])
-    rows = stats.withColumn("jitter", hash_share(F.lit(seed), F.col(group))).collect()
-    total = [sum(r[f"y{k}"] for r in rows) for k in range(len(labels))]
+    kinds = ["__size", *(f"__y{k}" for k in range(len(labels)))]
+    stats = df.groupBy(group).agg(F.count("*").alias("__size"), *[F.coalesce(F.sum(c.cast("double")), F.lit(0.0)).alias(f"__y{k}") for k, c in enumerate(labels)])
+    stats = settled(stats.withColumn("__jitter", hash_share(F.lit(seed), F.col(group))))
+    classes = [((r[0], *r[1:-1]), r[-1]) for r in stats.groupBy(*kinds).agg(F.count("*").alias("__times")).collect()]
+    shares = [(*kind, low, low + n, fold) for kind, dealt in fill_folds(classes, folds) for fold, low, n in dealt]
+    fields = ", ".join(["__size long", *(f"{k} double" for k in kinds[1:]), "__low long", "__high long", "fold int"])
+    shares = df.sparkSession.createDataFrame(shares, fields)
+    own = numbered(stats, kinds, "__jitter", group, out="__number")
+    met = own.join(shares, kinds).where((F.col("__number") > F.col("__low")) & (F.col("__number") <= F.col("__high")))
+    return met.select(group, "fold")
+
+
+def fill_folds(classes: list[tuple[tuple, int]], folds: int) -> list[tuple[tuple, list[tuple[int, int, int]]]]:
+    """For each class ((size, label counts...), times): how many of its groups go to which fold, as (fold, groups before, groups).
+
+    Groups go one after another to the fold of least cost, and a run of equal groups to one fold is made in one step: its cost is a
+    convex function of the run's length, so it stays the least up to a length that bisection finds.
+    """
+    width = len(classes[0][0]) - 1
+    total = [sum(kind[1 + k] * n for kind, n in classes) for k in range(width)]
     goal = [t / folds for t in total]
-    rows_goal = sum(r["size"] for r in rows) / folds
-    rows.sort(key=lambda r: (-sum(r[f"y{k}"] / max(t, 1) for k, t in enumerate(total)), -r["size"], r["jitter"]))
-    have, size, placed = [[0.0] * len(labels) for _ in range(folds)], [0.0] * folds, []
-    for n, r in enumerate(rows):
-        counts = [r[f"y{k}"] for k in range(len(labels))]
-
-        def cost(f: int, counts=counts, r=r) -> tuple:
-            errors = [((have[f][k] + c - goal[k]) / max(goal[k], 1)) ** 2 for k, c in enumerate(counts)]
-            return sum(errors) / max(1, len(errors)) + 0.25 * ((size[f] + r["size"] - rows_goal) / max(rows_goal, 1)) ** 2, f
-
-        fold = n if n < folds else min(range(folds), key=cost)
-        size[fold] += r["size"]
-        for k, c in enumerate(counts):
-            have[fold][k] += c
-        placed.append((r[group], fold))
-    kind = df.schema[group].dataType
-    return df.sparkSession.createDataFrame(placed, T.StructType([T.StructField(group, kind), T.StructField("fold", T.IntegerType())]))
+    rows_goal = sum(kind[0] * n for kind, n in classes) / folds
+    have, size = [[0.0] * width for _ in range(folds)], [0.0] * folds
+    order = sorted(classes, key=lambda c: (-sum(y / max(t, 1) for y, t in zip(c[0][1:], total, strict=True)), -c[0][0], c[0]))
+    opened, made = 0, []
+    for kind, times in order:
+        rows, counts = kind[0], kind[1:]
+
+        def cost(f: int, ahead: int = 0, rows=rows, counts=counts) -> tuple:
+            errors = [((have[f][k] + c * (ahead + 1) - goal[k]) / max(goal[k], 1)) ** 2 for k, c in enumerate(counts)]
+            return sum(errors) / max(1, len(errors)) + 0.25 * ((size[f] + rows * (ahead + 1) - rows_goal) / max(rows_goal, 1)) ** 2, f
+
+        dealt, left = [0] * folds, times
+        while left:
+            if opened < folds:
+                fold, run = opened, 1
+                opened += 1
+            else:
+                costs = sorted(cost(f) for f in range(folds))
+                fold, run = costs[0][1], left
+                if folds > 1 and cost(fold, left - 1) >= costs[1]:
+                    run, beyond = 1, left  # the fold wins `run` times in a row, but not `beyond` times
+                    while beyond - run > 1:
+                        middle = (run + beyond) // 2
+                        run, beyond = (middle, beyond) if cost(fold, middle - 1) < costs[1] else (run, middle)
+            size[fold] += rows * run
+            for k, c in enumerate(counts):
+                have[fold][k] += c * run
+            dealt[fold] += run
+            left -= run
+        starts = [sum(dealt[:f]) for f in range(folds)]
+        made.append((kind, [(f, starts[f], n) for f, n in enumerate(dealt) if n]))
+    return made
 
 
 def stratified_group_folds(df: DataFrame, group: str, stratum: str, folds: int, seed: int = 42) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import arrays as A
 from curatrix.operators.relational import Violation
+from curatrix.operators.selection import order_statistics
+from curatrix.session import settled
 
 BROADCAST_BYTES = 128 << 20
 
@@ -179,8 +181,9 @@ def hard_negatives(df: DataFrame, vector: str, label: str, quantile: float = 0.9
     """df with centroid_cosine and hard: negatives whose cosine to the positive centroid reaches the negatives' quantile."""
     middle = centroid(df.where(F.col(label) == 1), vector)
     scored = df.crossJoin(F.broadcast(middle)).withColumn("centroid_cosine", A.cosine(F.col(vector), F.col("centroid"))).drop("centroid")
-    cut = scored.where(F.col(label) == 0).agg(F.percentile("centroid_cosine", F.lit(quantile)).alias("__cut"))
-    return scored.crossJoin(F.broadcast(cut)).withColumn("hard", (F.col(label) == 0) & (F.col("centroid_cosine") >= F.col("__cut"))).drop("__cut")
+    negatives = settled(scored.where(F.col(label) == 0).select("centroid_cosine"))  # numbers alone, which the selection passes over several times
+    cut = order_statistics(negatives, F.col("centroid_cosine"), [quantile])[1][0]
+    return scored.withColumn("hard", (F.col(label) == 0) & (F.col("centroid_cosine") >= F.lit(cut)))
 
 
 def hard_negative_weight(rank_share: Column, most: float = 5.0) -> Column:

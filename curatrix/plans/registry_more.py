@@ -98,7 +98,7 @@ def seed_ensemble(spark, d):
 
 @query(f"WITH {LABELLED}, r AS (SELECT doc_id, y, cume_dist() OVER (PARTITION BY y ORDER BY score) AS share FROM labelled) SELECT doc_id, round(share, 6) AS share, round(1 + 4 * least(greatest(share, 0), 1), 6) AS weight FROM r")
 def hard_negative_weights(spark, d):
-    ranked = labelled(spark, d).withColumn("share", Re.rank_share("score", "y"))
+    ranked = Re.rank_share(labelled(spark, d), "score", "y", "share")
     return ranked.select("doc_id", r6("share").alias("share"), r6(V.hard_negative_weight(F.col("share"))).alias("weight"))
 
 

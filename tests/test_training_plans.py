@@ -127,21 +127,6 @@ def test_groups_and_logs_and_leaks(spark, tmp_path):
     assert [r["k"] for r in R.available_in_all("k", *[spark.createDataFrame([(x,) for x in v], "k int") for v in ((1, 2, 2, 3), (2, 3), (3, 2, 9))]).orderBy("k").collect()] == [2, 3]
 
 
-def test_picture_facts_of_plain_arrays():
-    rng = np.random.default_rng(5)
-
-    def reduced(mode, grid):
-        shape = (grid[1], grid[0]) if mode == "L" else (grid[1], grid[0], 3)
-        return np.arange(np.prod(shape), dtype=np.uint8).reshape(shape) if mode == "L" else rng.integers(100, 140, shape).astype(np.uint8)
-
-    made = Im.picture_facts(640, 480, reduced)
-    assert made["dhash"] == __import__("hashlib").sha256(bytes([1] * 64)).hexdigest() and made["signature"] != made["dhash"] and len(made["features"]) == 9
-    grey = np.array([[3, 1, 1, 2]])
-    assert Im.gradient_bits(grey) == bytes([0, 0, 1])
-    flat = np.full((4, 4, 3), 0.5)
-    assert Im.pixel_statistics(flat) == [0.5] * 3 + [0.0] * 3 + [0.5] * 3
-
-
 def test_encoders_and_ocr(spark):
     cards = spark.createDataFrame([("1", "a b", ["x", "y"]), ("2", "", [])], "id string, text string, images array<string>")
     decoded = spark.createDataFrame([("x", (100, 50, "d", "s", [3.0] + [0.0] * 7 + [4.0], False)), ("y", (None, None, None, None, None, True))], f"path string, picture struct<{Im.FIELDS}>")
@@ -162,7 +147,7 @@ def test_multimodal_training_end_to_end(spark):
         text = " ".join([rng.choice(["red", "blue", "green", "plain"]) for _ in range(5)] + (["danger"] if y and rng.random() < 0.8 else []))
         rows.append((str(i), category, text, y, (i // 2) % 2, [y + rng.uniform(-0.8, 0.8), rng.uniform(-1, 1)]))
     cards = spark.createDataFrame(rows, "id string, category string, text string, y int, fold int, embedding array<double>")
-    oof, decisions = Pl.train_multimodal(cards, "y", "fold", 2, iterations=30, limits={"word": 200, "char": 200})
+    oof, decisions = Pl.train_multimodal(cards, "y", "fold", 2, limits={"word": 200, "char": 200})
     made = {r["category"]: r for r in decisions.collect()}
     assert oof.count() == 96 and set(made) == set(K.CATEGORIES) and all(r["oof_f1"] > 0.7 and 0 <= r["blend_alpha_vlm"] <= 1 for r in made.values())
     models, frozen = Pl.refit_multimodal(cards, "y", decisions)
