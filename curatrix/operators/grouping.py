@@ -25,10 +25,11 @@ def entity_keys(title: Column, text: Column, signature: Column | None = None) ->
 def key_buckets(df: DataFrame, row_id: str, keys: dict[str, tuple[Column, int]]) -> DataFrame:
     """(row, kind, key, most) of keys of at least eight characters; the key is its digest, so long texts aren't shuffled.
 
-    The digests of all families are one projection, in which what the families share is computed once.
+    Keys are columns of their own before they are digested: what the families share is computed once, and each key once for its length and digest.
     """
-    digests = {kind: F.when(F.length(key) >= SHORTEST_KEY, F.unhex(F.sha2(key, 256))) for kind, (key, _) in keys.items()}
-    digested = df.select(F.col(row_id).alias("row"), *[digest.alias(f"__{kind}") for kind, digest in digests.items()])
+    keyed = df.select(F.col(row_id).alias("row"), *[key.alias(f"__{kind}") for kind, (key, _) in keys.items()])
+    digest = lambda k: F.when(F.length(k) >= SHORTEST_KEY, F.unhex(F.sha2(k, 256)))
+    digested = keyed.select("row", *[digest(F.col(f"__{kind}")).alias(f"__{kind}") for kind in keys])
     each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"__{kind}").alias("key"), F.lit(most).alias("most")) for kind, (_, most) in keys.items()])
     return digested.select("row", F.explode(each).alias("k")).select("row", "k.*").where("key is not null")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curatrix.operators.relational import Violation
 from curatrix.session import settled
 
 
@@ -57,28 +58,62 @@ def fit_vocabulary(df: DataFrame, counts: DataFrame, min_df: int = 1, most: int
     return per.select("term", "df").crossJoin(F.broadcast(df.agg(F.count("*").alias("n"))))
 
 
-def prefixes(vectors: DataFrame, threshold: float) -> DataFrame:
-    """The terms of each row, rarest first, up to where the rest alone can't reach the threshold.
+def _documents(vectors: DataFrame, part: list[str], threshold: float) -> DataFrame:
+    """(id, part, terms, weights, suffixes, digest): a row for each row with terms, its terms with the rarest first.
 
-    Two rows at or above the threshold share their rarest common term, and it lies in both prefixes: were
-    it past one row's prefix, all common terms were, and their product would fall short.
+    suffixes are the lengths of a term and all terms behind it, as far as they reach the threshold: they mark the row's prefix. Two rows
+    at or above the threshold share their rarest common term, and it lies in both prefixes: were it past one row's prefix, all common
+    terms were, and their product would fall short. For the same reason the product of the two suffixes at that term reaches the threshold.
     """
-    down = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    rest = vectors.withColumn("suffix", F.sqrt(F.sum(F.col("w") * F.col("w")).over(down)))  # this term and all more frequent ones
-    return rest.where(F.col("suffix") >= threshold - 1e-9).drop("suffix")
 
+    def suffixes(weights: pa.Array) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(weights.value_lengths().to_numpy(zero_copy_only=False))])
+        squares = weights.flatten().to_numpy(zero_copy_only=False) ** 2
+        made = []
+        for k in range(len(weights)):
+            rest = np.sqrt(np.cumsum(squares[ends[k] : ends[k + 1]][::-1])[::-1])
+            made.append(rest[rest >= threshold - 1e-9])
+        return pa.array(made, pa.list_(pa.float64()))
 
-def _maps(vectors: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """(name, m): the vectors of the given ids as maps, made only for rows that some candidate needs."""
-    wanted = vectors.join(ids.select(F.col(name).alias("id")).distinct(), "id", "left_semi")
-    return wanted.groupBy(F.col("id").alias(name)).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias(f"m{name}"))
+    suffixes.__annotations__ = {"weights": pa.Array, "return": pa.Array}
+    own = vectors.groupBy("id", *part).agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("t"))
+    digest = F.sha2(F.array_join(F.transform("t", lambda x: F.concat_ws(" ", x["term"], x["w"].cast("string"))), ","), 256)
+    split = own.select("id", *part, F.transform("t", lambda x: x["term"]).alias("terms"), F.transform("t", lambda x: x["w"]).alias("weights"), digest.alias("digest"))
+    return settled(split.withColumn("suffixes", F.arrow_udf(suffixes, "array<double>")("weights")))
+
+
+def _classes(documents: DataFrame, part: list[str]) -> DataFrame:
+    """(id, class): the smallest id of the rows with the same vector (and part)."""
+    same = documents.select("id", "digest", *part)
+    return settled(same.join(same.groupBy("digest", *part).agg(F.min("id").alias("class")), ["digest", *part]).select("id", "class"))
+
+
+def _meeting(a: DataFrame, b: DataFrame, threshold: float, part: list[str], apart: Column) -> DataFrame:
+    """(a, b) of the rows of two tables that share a prefix term where their suffixes allow the threshold."""
+
+    def side(d: DataFrame, x: str) -> DataFrame:
+        prefix = F.arrays_zip(F.slice("terms", F.lit(1), F.size("suffixes")).alias("term"), F.col("suffixes").alias("suffix"))
+        return d.select(F.col("id").alias(x), *part, F.explode(prefix).alias("p")).select(x, *part, F.col("p.term").alias("term"), F.col("p.suffix").alias(f"s{x}"))
+
+    met = side(a, "a").join(side(b, "b"), ["term", *part])
+    return met.where(apart & (F.col("sa") * F.col("sb") >= threshold - 1e-9)).select("a", "b").distinct()
 
 
 def _verified(candidates: DataFrame, a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    candidates = settled(candidates)
-    both = candidates.join(_maps(a, candidates, "a"), "a").join(_maps(b, candidates, "b"), "b")
-    dot = F.aggregate(F.map_entries("ma"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.col("mb")[e["key"]], F.lit(0.0)))
-    return both.select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    """(a, b, similarity) of the candidates that reach the threshold, by merging their terms."""
+
+    def dots(terms_a: pa.Array, weights_a: pa.Array, terms_b: pa.Array, weights_b: pa.Array) -> pa.Array:
+        out = []
+        for ta, wa, tb, wb in zip(terms_a, weights_a, terms_b, weights_b, strict=True):  # a pair at a time leaves the buffers
+            own = dict(zip(ta.as_py(), wa.as_py(), strict=True))
+            out.append(sum(own[t] * w for t, w in zip(tb.as_py(), wb.as_py(), strict=True) if t in own))
+        return pa.array(out, pa.float64())
+
+    dots.__annotations__ = {**dict.fromkeys(("terms_a", "weights_a", "terms_b", "weights_b"), pa.Array), "return": pa.Array}
+    side = lambda d, x: d.select(F.col("id").alias(x), F.col("terms").alias(f"t{x}"), F.col("weights").alias(f"w{x}"))
+    both = settled(candidates).join(side(a, "a"), "a").join(side(b, "b"), "b")
+    made = both.select("a", "b", F.arrow_udf(dots, "double").asNondeterministic()("ta", "wa", "tb", "wb").alias("similarity"))
+    return made.where(F.col("similarity") >= threshold - 1e-12)
 
 
 def near_text_links(vectors: DataFrame, threshold: float = 0.97, by: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -88,17 +123,11 @@ def near_text_links(vectors: DataFrame, threshold: float = 0.97, by: DataFrame |
     vectors is tfidf(). by (id, part) restricts classes and links to rows of the same part. Copies never meet each other:
     a class meets once, and only on prefix terms, so frequent words never do.
     """
-    if by is not None:
-        vectors = vectors.join(by, "id")
-    vectors = settled(vectors)
-    part = ["part"] if by is not None else []
-    sorted_terms = F.array_sort(F.collect_list(F.concat_ws(" ", "term", F.hex(F.col("w").cast("string")))))
-    same = settled(vectors.groupBy("id", *part).agg(F.sha2(F.array_join(sorted_terms, ","), 256).alias("digest")))
-    members = settled(same.join(same.groupBy("digest", *part).agg(F.min("id").alias("class")), ["digest", *part]).select("id", "class"))
-    own = vectors.join(members.where("id = class").select("id"), "id", "left_semi")
-    p = prefixes(own, threshold).select("id", "term", *part)
-    met = p.withColumnRenamed("id", "a").join(p.withColumnRenamed("id", "b"), ["term", *part]).where("a < b").select("a", "b").distinct()
-    return members, _verified(met, own, own, threshold)
+    part = [] if by is None else ["part"]
+    documents = _documents(vectors if by is None else vectors.join(by, "id"), part, threshold)
+    members = _classes(documents, part)
+    own = documents.join(members.where("id = class").select("id"), "id", "left_semi")
+    return members, _verified(_meeting(own, own, threshold, part, F.col("a") < F.col("b")), own, own, threshold)
 
 
 def near_text_pairs(vectors: DataFrame, threshold: float = 0.97, by: DataFrame | None = None) -> DataFrame:
@@ -128,31 +157,61 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str
     """(doc_id, item_id) wherever an item's text is part of a document's, letter by letter. Both texts separate words by single spaces.
 
     A word inside an item (neither its first nor its last) stands whole in every document that holds the item, so documents
-    first meet an item on its longest inner word, and only those are searched. Inner words are broadcast if their size
-    allows. Items of one or two words have none and meet every document; they must fit into a broadcast.
+    first meet an item on its longest inner word, and only those are searched. Items of two words have none, but every document that holds one
+    has a word that ends with the first and one after it that begins with the second; those of one word lie within a document's word.
+    So these meet on the pair (last characters of a word, first characters of the next) or on any stretch of the item's
+    length within a word, at as few lengths as the items have. Anchors are broadcast if their size allows.
     """
     own = items.select(F.col(item_id).alias("__item"), F.col(item_text).alias("__t")).where("__t is not null and __t <> ''")
     words = F.split("__t", " ")
     inner = F.when(F.size(words) > 2, F.slice(words, 2, F.size(words) - 2))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    own = settled(own.withColumn("__word", longest))
-    bytes_of = lambda d: d.agg(F.sum(F.octet_length("__t") + 64)).first()[0] or 0
-    anchored, short = own.where("__word is not null"), own.where("__word is null")
-    anchors = anchored.select("__item", "__word")
-    met = docs.select(F.col(doc_id).alias("__doc"), F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("__word"))
-    met = met.join(F.broadcast(anchors) if bytes_of(anchored) <= most_bytes else anchors, "__word").select("__doc", "__item").distinct()
+    own = settled(own.withColumn("__word", longest).withColumn("__words", F.size(words)))
     texts = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__x"))
+    bytes_of = lambda d: d.agg(F.sum(F.octet_length("__t") + 64)).first()[0] or 0
+    small = lambda d: F.broadcast(d) if bytes_of(d) <= most_bytes else d
+    anchored = own.where("__words > 2")
+    met = texts.select("__doc", F.explode(F.array_distinct(F.split("__x", " "))).alias("__word"))
+    met = met.join(small(anchored).select("__item", "__word"), "__word").select("__doc", "__item").distinct()
     found = texts.join(met, "__doc").join(anchored.select("__item", "__t"), "__item").where(F.col("__x").contains(F.col("__t"))).select("__doc", "__item")
-    size = bytes_of(short)
-    if size > most_bytes:
-        raise Violation("too many items of one or two words")
-    if size:
-        found = found.unionByName(texts.join(F.broadcast(short.select("__item", "__t")), F.col("__x").contains(F.col("__t"))).select("__doc", "__item"))
+    for n in (1, 2):
+        short = own.where(F.col("__words") == n)
+        lengths = [tuple(r) for r in short.select(*[F.length(words[k]).alias(f"l{k}") for k in range(n)]).distinct().collect()]  # of words, not of items
+        if not lengths:
+            continue
+        # Every stretch that could be a short item, by the lengths of the items' words: (1) within words, (2) around the blank between two words.
+        split = F.split("__x", " ")
+        if n == 1:
+            within = lambda w, k: F.when(F.length(w) >= k, F.transform(F.sequence(F.lit(1), F.length(w) - (k - 1)), lambda i: F.substring(w, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+            stretches = F.flatten(F.transform(split, lambda w: F.flatten(F.array(*[within(w, k) for (k,) in lengths]))))
+        else:
+            after = F.slice(split, F.lit(2), F.greatest(F.size(split) - 1, F.lit(0)))
+            pairs = F.zip_with(F.slice(split, F.lit(1), F.greatest(F.size(split) - 1, F.lit(0))), after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+            pieces = lambda p: F.array_compact(F.array(*[F.when((F.length(p["a"]) >= j) & (F.length(p["b"]) >= k), F.concat(F.right(p["a"], F.lit(j)), F.lit(" "), F.left(p["b"], F.lit(k)))) for j, k in lengths]))
+            stretches = F.flatten(F.transform(pairs, pieces))
+        seen = texts.select("__doc", F.explode(F.array_distinct(stretches)).alias("__t")).join(small(short).select("__item", "__t"), "__t")
+        found = found.unionByName(seen.select("__doc", "__item"))
     return found.select(F.col("__doc").alias(doc_id), F.col("__item").alias(item_id))
 
 
+def _links_across(left: DataFrame, right: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members of the left, of the right, links (a, b, similarity) of their classes): copies of a side meet the other side once."""
+    members, own = [], []
+    for side in (left, right):
+        documents = _documents(side, [], threshold)
+        members.append(_classes(documents, []))
+        own.append(documents.join(members[-1].where("id = class").select("id"), "id", "left_semi"))
+    return *members, _verified(_meeting(*own, threshold, [], F.lit(True)), *own, threshold)
+
+
 def near_text_across(left: DataFrame, right: DataFrame, threshold: float = 0.97) -> DataFrame:
-    """(a, b, similarity) of rows of two sides, vectorised with one vocabulary."""
-    left, right = settled(left), settled(right)
-    met = prefixes(left, threshold).select(F.col("id").alias("a"), "term").join(prefixes(right, threshold).select(F.col("id").alias("b"), "term"), "term").select("a", "b").distinct()
-    return _verified(met, left, right, threshold)
+    """(a, b, similarity) of rows of two sides, vectorised with one vocabulary. All pairs of copies are written out; near_text_matches doesn't."""
+    one, two, links = _links_across(left, right, threshold)
+    met = links.join(one.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(two.select(F.col("class").alias("b"), F.col("id").alias("y")), "b")
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b"), "similarity")
+
+
+def near_text_matches(left: DataFrame, right: DataFrame, threshold: float = 0.97) -> DataFrame:
+    """(id, similarity): the right's rows with a row of the left within the threshold, and the highest similarity."""
+    _, two, links = _links_across(left, right, threshold)
+    return two.join(links.groupBy(F.col("b").alias("class")).agg(F.max("similarity").alias("similarity")), "class").select("id", "similarity")

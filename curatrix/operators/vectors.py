@@ -21,13 +21,18 @@ def require_both_labels(bank: DataFrame, label: str = "label") -> None:
         raise Violation("the reference bank needs both labels")
 
 
+#: References that knn_margin_sql may have, and bytes of them.
+LITERAL_ROWS = 10_000
+
+
 def knn_margin_sql(queries: DataFrame, bank: DataFrame, query_id: str = "id", ref_id: str = "id", vector: str = "embedding", label: str = "label", exclude: Column | None = None) -> DataFrame:
     """(id, margin, nearest, nearest_label): best cosine to a positive minus best to a negative, and the nearest reference.
 
-    The readable form for literal banks of at most 10,000 references, which are broadcast: every query meets every one. Larger
+    The readable form for literal banks of at most 10,000 references and BROADCAST_BYTES, which are broadcast: every query meets every one. Larger
     banks fail; they are knn_margin's. exclude is a condition on columns q and r. Ties of the nearest go to the smaller reference id.
     """
-    if bank.limit(10_001).count() > 10_000:
+    known = bank.limit(LITERAL_ROWS + 1).agg(F.count("*").alias("n"), F.sum(F.size(vector)).alias("components")).first()
+    if known["n"] > LITERAL_ROWS or (known["components"] or 0) * 8 > BROADCAST_BYTES:
         raise Violation("the bank is too large to broadcast: use knn_margin")
     q = queries.select(F.col(query_id).alias("id"), A.l2_normalise(F.col(vector)).alias("v"), F.struct(*queries.columns).alias("q"))
     r = bank.select(F.col(ref_id).alias("rid"), A.l2_normalise(F.col(vector)).alias("w"), F.col(label).alias("y"), F.struct(*bank.columns).alias("r"))
@@ -38,7 +43,7 @@ def knn_margin_sql(queries: DataFrame, bank: DataFrame, query_id: str = "id", re
 
 
 def knn_margin(queries: DataFrame, bank: DataFrame, query_id: str = "id", ref_id: str = "id", vector: str = "embedding", label: str = "label", query_fold: str | None = None, ref_fold: str | None = None, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The same by blocked matrix products, in double precision.
+    """The same by blocked matrix products; what decides is in double precision.
 
     The bank is broadcast as one matrix if its size allows. A larger one never passes through the driver: both sides are
     dealt into blocks of bounded size, every block of queries meets every block of references in a task of its own, and the
@@ -47,7 +52,7 @@ def knn_margin(queries: DataFrame, bank: DataFrame, query_id: str = "id", ref_id
     """
     require_both_labels(bank, label)
     rows, dim = bank.count(), bank.select(F.size(vector)).first()[0]
-    size = rows * (dim + 3) * 8
+    size = rows * (dim * 12 + 40)
     fold = F.col(ref_fold) if ref_fold else F.lit(-1)
     own = bank.select(F.col(ref_id).cast("long").alias("rid"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("int").alias("y"), fold.cast("long").alias("f"))
     fold = F.col(query_fold).cast("long") if query_fold else F.lit(-1).cast("long")
@@ -79,27 +84,69 @@ def knn_margin(queries: DataFrame, bank: DataFrame, query_id: str = "id", ref_id
 
 
 class _Bank:
-    """References as one matrix of unit rows, in order of their ids."""
+    """References as matrices of unit rows: positive ones first, each label's in order of their ids, copies of one label and fold once.
+
+    Products are made in single precision; what may be the best by their error's bound is made again in double precision, and
+    that decides. So the answer is the double one, at half of the cost of the products and with few passes over them.
+    """
 
     def __init__(self, table: pa.Table, dim: int):
         table = table.combine_chunks()
-        order = np.argsort(table["rid"].to_numpy(), kind="stable")
-        self.dim, self.rid, self.y, self.fold = dim, table["rid"].to_numpy()[order], table["y"].to_numpy()[order], table["f"].to_numpy()[order]
+        rid, y, fold = (table[c].to_numpy() for c in ("rid", "y", "f"))
         flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0)
-        self.reference = _unit(flat.reshape(-1, dim)[order])
+        whole = _unit(flat.reshape(-1, dim))
+        order = np.lexsort((rid, -y))
+        keys = np.ascontiguousarray(np.column_stack([whole, y.astype(float), fold.astype(float)])[order]).view(f"V{8 * (dim + 2)}").ravel()
+        kept = order[np.sort(np.unique(keys, return_index=True)[1])]  # the first of equals has the smallest id
+        self.dim, self.rid, self.y, self.fold, self.reference = dim, rid[kept], y[kept], fold[kept], whole[kept]
+        self.single = np.ascontiguousarray(self.reference.T.astype(np.float32))
+        self.positive = int((self.y == 1).sum())
+        self.by_fold = np.argsort(self.fold, kind="stable")
+        self.folds = self.fold[self.by_fold]
+        self.slack = 2 * (dim + 4) * 2.0**-23  # twice what a product in single precision can be off
 
     def margins(self, batch: pa.RecordBatch, folds: bool):
         """Record batches (id, p, n, nearest, nearest_label, rid) of queries (id, v, f)."""
         ids, fold = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
         q = _unit(np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, self.dim))
-        for at in range(0, len(q), 512):
-            s = q[at : at + 512] @ self.reference.T
+        step = max(1, min(512, (1 << 25) // max(1, len(self.rid))))
+        for at in range(0, len(q), step):
+            own = q[at : at + step]
+            s = own.astype(np.float32) @ self.single
             if folds:
-                s[fold[at : at + 512, None] == self.fold[None, :]] = -np.inf
-            best = [np.where(np.isfinite(m), m, np.nan) for m in (s[:, self.y == k].max(axis=1, initial=-np.inf) for k in (1, 0))]
-            top = np.round(s, 12).argmax(axis=1)  # the bank is in order of id: the first of equals is the smallest
-            columns = [ids.slice(at, len(s)), pa.array(best[0], from_pandas=True), pa.array(best[1], from_pandas=True), pa.array(s[np.arange(len(s)), top]), pa.array(self.y[top], pa.int32()), pa.array(self.rid[top], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "p", "n", "nearest", "nearest_label", "rid"])
+                self._leave_out(s, fold[at : at + step])
+            found = [self._best(own, s, low, high) for low, high in ((0, self.positive), (self.positive, len(self.rid)))]
+            (p, p_at), (n, n_at) = found
+            rid = lambda k: np.where(k >= 0, self.rid[k] if len(self.rid) else 0, np.iinfo(np.int64).max)
+            first = np.lexsort((np.array([rid(p_at), rid(n_at)]).T.ravel(), -np.round(np.array([p, n]).T.ravel(), 12), np.repeat(np.arange(len(own)), 2)))[::2] % 2
+            nearest, place = np.where(first == 0, p, n), np.where(first == 0, p_at, n_at)
+            none = place < 0
+            value = lambda x: pa.array(np.where(np.isfinite(x), x, np.nan), from_pandas=True)
+            label = pa.array(np.where(first == 0, 1, 0).astype(np.int32), pa.int32(), mask=none)
+            yield pa.RecordBatch.from_arrays([ids.slice(at, len(own)), value(p), value(n), value(nearest), label, pa.array(np.where(none, 0, rid(place)), pa.int64(), mask=none)], ["id", "p", "n", "nearest", "nearest_label", "rid"])
+
+    def _leave_out(self, s: np.ndarray, fold: np.ndarray) -> None:
+        low, high = np.searchsorted(self.folds, fold, "left"), np.searchsorted(self.folds, fold, "right")
+        for k in range(len(s)):
+            s[k, self.by_fold[low[k] : high[k]]] = -np.inf
+
+    def _best(self, own: np.ndarray, s: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(best product, its place) of each query among the references from low to high; equal to 12 digits, the smallest id's; -inf and -1 if none."""
+        best, place = np.full(len(own), -np.inf), np.full(len(own), -1)
+        if low == high:
+            return best, place
+        part = s[:, low:high]
+        top = part.max(axis=1)
+        rows, columns = np.nonzero(part >= np.where(np.isfinite(top), top - self.slack, np.inf)[:, None])
+        for k in range(0, len(rows), 1 << 16):
+            r, c = rows[k : k + (1 << 16)], columns[k : k + (1 << 16)] + low
+            exact = np.einsum("ij,ij->i", own[r], self.reference[c])
+            order = np.lexsort((self.rid[c], -np.round(exact, 12), r))
+            firsts = order[np.concatenate([[True], np.diff(r[order]) > 0])]
+            for row, value, col in zip(r[firsts], exact[firsts], c[firsts], strict=True):
+                if place[row] < 0 or (round(value, 12), -self.rid[col]) > (round(best[row], 12), -self.rid[place[row]]):
+                    best[row], place[row] = value, col
+        return best, place
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -481,7 +481,15 @@ def near_text_classes(spark, d):
     return N.near_text_classes(_vectors(spark, d), 0.97, by)
 
 
-@query()
+@query(r"""WITH d AS (SELECT 'a/' || doc_id AS id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM documents), i AS (SELECT 'b/' || item_id AS id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM benchmark),
+same AS (SELECT t FROM d INTERSECT SELECT t FROM i), r AS (SELECT * FROM d UNION ALL SELECT * FROM i), b AS (SELECT id, t FROM r WHERE length(t) >= 20 AND t NOT IN (SELECT t FROM same WHERE t IS NOT NULL)),
+w AS (SELECT id, ' ' || w || ' ' AS w, count(*) AS m FROM (SELECT id, unnest(string_split_regex(t, '\s+')) AS w FROM b) WHERE w <> '' GROUP BY id, w),
+g AS (SELECT id, m, unnest(list_transform(range(1, length(w) - k + 2), lambda j: substr(w, j::INT, k::INT))) AS term FROM w, range(3, 6) r(k) WHERE length(w) >= k),
+tf AS (SELECT id, term, 1 + ln(sum(m)) AS tf FROM g GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM b))::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)), size AS (SELECT id, sqrt(sum(w * w)) AS size FROM raw GROUP BY id),
+v AS (SELECT id, term, w / size AS w FROM raw JOIN size USING (id)),
+p AS (SELECT y.id FROM (SELECT * FROM v WHERE id LIKE 'b/%') y JOIN (SELECT * FROM v WHERE id LIKE 'a/%') x USING (term) GROUP BY y.id, x.id HAVING sum(x.w * y.w) >= 0.97 - 1e-12)
+SELECT count(DISTINCT id) AS overlap FROM p""")
 def near_text_overlap(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")

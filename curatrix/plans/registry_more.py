@@ -20,6 +20,7 @@ from curatrix.operators import reports as Re
 from curatrix.operators import splits as Sp
 from curatrix.operators import vectors as V
 from curatrix.plans import artifacts as Ar
+from curatrix.plans import candidates as Ca
 from curatrix.plans import training as Tr
 from curatrix.plans.registry import COUNTS, HOLDOUT, LABELLED, MACRO, MACRO_CAND, ORACLES, SCORED, _bank, _f, _lo, _scored, labelled, query, r6
 from curatrix.session import table
@@ -160,7 +161,22 @@ def outer_threshold_audit(spark, d):
     return out.select("fold", r6("threshold").alias("threshold"), "tp", "fp", "fn")
 
 
-@query()
+BLEND = f"round(CASE WHEN strategy = 'raw_probability' THEN alpha * vlm + (1 - alpha) * lex ELSE 1 / (1 + exp(-(alpha * ({_lo('vlm')} - {_lo('vt')}) + (1 - alpha) * ({_lo('lex')} - {_lo('lt')})))) END, 12)"
+
+
+@query(f"""WITH {SCORED}, d AS (SELECT * FROM sc WHERE fold IS NOT NULL), f AS (SELECT unnest(range(5)) AS k), u AS (SELECT fold, y, 'v' AS which, vlm AS score FROM d UNION ALL SELECT fold, y, 'l', lex FROM d),
+cand AS (SELECT DISTINCT k, which, score AS t FROM f JOIN u ON fold <> k UNION SELECT k, which, 0.01::DOUBLE + 0.98::DOUBLE * j / 196 FROM f, (SELECT unnest(['v', 'l']) AS which), range(197) r(j)),
+sw AS (SELECT cand.k, cand.which, t, sum((y = 1 AND score >= t)::INT) AS tp, sum((y = 0 AND score >= t)::INT) AS fp, sum((y = 1 AND score < t)::INT) AS fn FROM cand JOIN u ON u.which = cand.which AND fold <> cand.k GROUP BY cand.k, cand.which, t),
+cut AS (SELECT k, which, t, row_number() OVER (PARTITION BY k, which ORDER BY round({_f()}, 12) DESC, round(abs(t - 0.5), 12), t) AS r FROM sw),
+cuts AS (SELECT k, max(CASE WHEN which = 'v' THEN t END) AS vt, max(CASE WHEN which = 'l' THEN t END) AS lt FROM cut WHERE r = 1 GROUP BY k),
+g AS (SELECT j / 20.0::DOUBLE AS alpha, strategy FROM range(21) r(j), (SELECT unnest(['raw_probability', 'logit_margin']) AS strategy)),
+b AS (SELECT k, alpha, strategy, fold, y, {BLEND} AS p FROM cuts, g, d),
+st AS (SELECT k, alpha, strategy, p, sum(y) AS p1, count(*) AS n1 FROM b WHERE fold <> k GROUP BY k, alpha, strategy, p),
+ru AS (SELECT k, alpha, strategy, p AS t, sum(p1) OVER w AS tp, sum(n1) OVER w - sum(p1) OVER w AS fp, sum(p1) OVER (PARTITION BY k, alpha, strategy) - sum(p1) OVER w AS fn FROM st WINDOW w AS (PARTITION BY k, alpha, strategy ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),
+ra AS (SELECT k, alpha, strategy, t, {_f()} AS f1, row_number() OVER (PARTITION BY k, alpha, strategy ORDER BY round({_f()}, 12) DESC, round(abs(t - 0.5), 12), t) AS r FROM ru),
+be AS (SELECT k, alpha, strategy, t, row_number() OVER (PARTITION BY k ORDER BY round(f1, 12) DESC, round(abs(alpha - 0.5), 12), strategy, alpha) AS r FROM ra WHERE r = 1),
+j AS (SELECT be.k, be.alpha, be.strategy, be.t, sum((y = 1 AND p >= t)::INT)::BIGINT AS tp, sum((y = 0 AND p >= t)::INT)::BIGINT AS fp, sum((y = 1 AND p < t)::INT)::BIGINT AS fn FROM be JOIN b ON be.k = b.k AND b.fold = b.k AND be.alpha = b.alpha AND be.strategy = b.strategy WHERE be.r = 1 GROUP BY be.k, be.alpha, be.strategy, be.t)
+SELECT k::INT AS fold, round(alpha, 6) AS alpha, strategy, round(t, 6) AS threshold, tp, fp, fn, round({_f()}, 6) AS f1 FROM j""")
 def outer_reselection(spark, d):
     rows = _scored(spark, d).where("fold is not null")
     made = Ar.outer_reselection(rows, "y", "fold", 5, "vlm_probability", "lexical_probability")
@@ -221,7 +237,7 @@ def reference_and_tuning_prompts(spark, d):
     return rows.select("doc_id", P.reference_text(F.col("lang"), F.col("source"), F.col("text")).alias("reference"), P.training_prompt(F.lit(K.FLAMMABLE), F.col("source"), F.col("text"), F.coalesce("quality", F.lit(0))).alias("tuning"))
 
 
-PICTURES = "SELECT event_id AS id, (event_id * 37 % 900 + 40)::INT AS w, (event_id * 53 % 700 + 30)::INT AS h, event_id % 7 = 0 AS broken FROM events"
+PICTURES = "SELECT doc_id AS id, (length(text) + 40)::INT AS w, (strlen(text) - length(text) + 30)::INT AS h FROM documents WHERE text IS NOT NULL"
 
 
 @query(f"""WITH p AS ({PICTURES}), s AS (SELECT *, sqrt(200000.0::DOUBLE / (w * h)) AS k FROM p), c AS (SELECT id, CASE WHEN w * h <= 200000 THEN w ELSE greatest(28, floor(floor(w * k) / 28) * 28)::INT END AS width,
@@ -229,39 +245,99 @@ CASE WHEN w * h <= 200000 THEN h ELSE greatest(28, floor(floor(h * k) / 28) * 28
 t AS (SELECT id, columns, rows, row_number() OVER (PARTITION BY id ORDER BY round(abs(w::DOUBLE / h - columns::DOUBLE / rows), 9), columns * rows, columns, rows) AS r FROM p, g)
 SELECT c.id, width, height, columns::INT AS columns, rows::INT AS rows, (columns * rows + (columns * rows > 1)::INT)::INT AS tiles FROM c JOIN t ON c.id = t.id AND r = 1""")
 def picture_sizes_and_tiles(spark, d):
-    rows = _pictures(spark, d)
-    made = rows.select("id", Im.capped_size(F.col("w"), F.col("h"), 200_000).alias("s"), Im.tiling(F.col("w"), F.col("h")).alias("t"))
+    """Sizes that texts give: as wide as they have characters, as high as they have further bytes."""
+    rows = table(spark, d, "documents").where("text is not null")
+    w, h = (F.length("text") + 40).cast("int"), (F.octet_length("text") - F.length("text") + 30).cast("int")
+    made = rows.select(F.col("doc_id").alias("id"), Im.capped_size(w, h, 200_000).alias("s"), Im.tiling(w, h).alias("t"))
     return made.select("id", "s.width", "s.height", "t.columns", "t.rows", "t.tiles")
 
 
-def _pictures(spark, d):
-    e = table(spark, d, "events")
-    return e.select(F.col("event_id").alias("id"), (F.col("event_id") * 37 % 900 + 40).cast("int").alias("w"), (F.col("event_id") * 53 % 700 + 30).cast("int").alias("h"), (F.col("event_id") % 7 == 0).alias("broken"))
+SHADES = "list_transform(embedding, lambda x: floor(least(greatest((x::DOUBLE + 1) * 127.5::DOUBLE, 0), 255))::INT)"
+
+
+def _vector_pictures(spark, d, width: int, height: int, spread):
+    """(path, content): each vector as a grey picture file, a shade for each component, dealt to the pixels by `spread`; files of label 3 lack their last byte."""
+    shades = F.transform("embedding", lambda x: F.floor(F.least(F.greatest((x.cast("double") + 1) * 127.5, F.lit(0.0)), F.lit(255.0))).cast("int"))
+    body = F.unhex(F.array_join(F.transform(spread(shades), lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    whole = F.concat(F.lit(f"P5\n{width} {height}\n255\n").cast("binary"), body)
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("path"), "label", whole.alias("whole"))
+    return rows.select("path", F.when(F.col("label") == 3, F.expr("substring(whole, 1, length(whole) - 1)")).otherwise(F.col("whole")).alias("content"))
+
 
+def _small_pictures(spark, d):
+    """Nine pixels by eight: the components, and the first eight again."""
+    return Im.decode(_vector_pictures(spark, d, 9, 8, lambda v: F.concat(v, F.slice(v, 1, 8))))
 
-def _decoded(spark, d):
-    """Events as decoded pictures: what a decoder would report, by arithmetic on the id."""
-    p, i = _pictures(spark, d), F.col("id")
-    fine = lambda c: F.when(~F.col("broken"), c)
-    facts = F.struct(fine(F.col("w")).alias("width"), fine(F.col("h")).alias("height"), fine((i % 50).cast("string")).alias("dhash"), fine((i % 80).cast("string")).alias("signature"), fine(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: (i * k % 11).cast("double"))).alias("features"), F.col("broken"))
-    return p.select(i.cast("string").alias("path"), facts.alias("picture"))
 
+GRADIENTS = f"p AS (SELECT vec_id, label = 3 AS broken, list_concat({SHADES}, {SHADES}[1:8]) AS v FROM embeddings), b AS (SELECT vec_id, broken, list_transform(range(64), lambda k: CASE WHEN v[(k // 8 * 9 + k % 8 + 2)::INT] > v[(k // 8 * 9 + k % 8 + 1)::INT] THEN '01' ELSE '00' END) AS bits FROM p)"
 
-@query(f"""WITH p AS ({PICTURES}) SELECT count(*) AS sampled, sum(broken::INT)::BIGINT AS broken, sum((NOT broken AND least(w, h) < 224)::INT)::BIGINT AS low_resolution, sum((NOT broken)::INT)::BIGINT - count(DISTINCT CASE WHEN NOT broken THEN id % 50 END) AS duplicate_hashes,
-quantile_cont(CASE WHEN NOT broken THEN w END, 0.5)::DOUBLE AS median_width, quantile_cont(CASE WHEN NOT broken THEN h END, 0.5)::DOUBLE AS median_height FROM p""")
+
+@query(f"""WITH {GRADIENTS} SELECT count(*) AS sampled, sum(broken::INT)::BIGINT AS broken, sum((NOT broken)::INT)::BIGINT AS low_resolution, sum((NOT broken)::INT)::BIGINT - count(DISTINCT CASE WHEN NOT broken THEN array_to_string(bits, '') END) AS duplicate_hashes,
+9.0::DOUBLE AS median_width, 8.0::DOUBLE AS median_height FROM b""")
 def picture_audit(spark, d):
-    return Im.picture_audit(_decoded(spark, d))
+    return Im.picture_audit(_small_pictures(spark, d))
+
+
+@query(f"WITH {GRADIENTS} SELECT vec_id::VARCHAR AS path, CASE WHEN NOT broken THEN sha256(unhex(array_to_string(bits, ''))) END AS dhash FROM b")
+def picture_hashes(spark, d):
+    return _small_pictures(spark, d).select("path", "picture.dhash")
 
 
-@query(f"""WITH p AS ({PICTURES}), c AS (SELECT event_id // 3 AS card, id, w, h, broken FROM p JOIN events ON event_id = id)
-SELECT card::VARCHAR AS id, max((NOT broken)::INT) = 1 AS present, sum(broken::INT)::BIGINT AS broken, round(coalesce(avg(CASE WHEN NOT broken THEN id % 11 END), 0), 6) AS first_feature, round(coalesce(avg(CASE WHEN NOT broken THEN id * 9 % 11 END), 0), 6) AS last_feature,
-round(coalesce(avg(CASE WHEN NOT broken THEN ln(1 + w) END), 0), 6) AS log_width, round(coalesce(avg(CASE WHEN NOT broken THEN w::DOUBLE / h END), 0), 6) AS aspect, round(coalesce(avg(CASE WHEN NOT broken THEN (least(w, h) < 224)::INT END), 0), 6) AS small FROM c GROUP BY card""")
+@query(f"""WITH x AS (SELECT vec_id // 3 AS card, vec_id, label = 3 AS broken, unnest({SHADES}) / 255.0::DOUBLE AS v FROM embeddings), q AS (SELECT card, vec_id, broken, v FROM x, range(12)),
+p AS (SELECT card, vec_id, broken, avg(v) AS mean, quantile_cont(v, 0.9) AS high FROM q GROUP BY card, vec_id, broken)
+SELECT card::VARCHAR AS id, max((NOT broken)::INT) = 1 AS present, sum(broken::INT)::BIGINT AS broken, round(coalesce(avg(CASE WHEN NOT broken THEN mean END), 0), 6) AS first_feature, round(coalesce(avg(CASE WHEN NOT broken THEN high END), 0), 6) AS last_feature,
+CASE WHEN max((NOT broken)::INT) = 1 THEN round(ln(17), 6) ELSE 0 END AS log_width, CASE WHEN max((NOT broken)::INT) = 1 THEN 1.0::DOUBLE ELSE 0 END AS aspect, CASE WHEN max((NOT broken)::INT) = 1 THEN 1.0::DOUBLE ELSE 0 END AS small FROM p GROUP BY card""")
 def card_pictures(spark, d):
-    cards = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 3).cast("long").cast("string").alias("id")).agg(F.array_sort(F.collect_list(F.col("event_id").cast("string"))).alias("images"))
-    made = Im.card_pictures(cards, _decoded(spark, d))
+    """Three vectors a card, each as a picture of 16 by 16 pixels with every component four times."""
+    decoded = Im.decode(_vector_pictures(spark, d, 16, 16, lambda v: F.flatten(F.transform(v, lambda x: F.array_repeat(x, 4)))))
+    cards = table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 3).cast("long").cast("string").alias("id")).agg(F.array_sort(F.collect_list(F.col("vec_id").cast("string"))).alias("images"))
+    made = Im.card_pictures(cards, decoded)
     return made.select("id", "present", "broken", r6(F.col("features")[0]).alias("first_feature"), r6(F.col("features")[8]).alias("last_feature"), *[r6(F.col("stats")[k]).alias(n) for k, n in ((0, "log_width"), (2, "aspect"), (3, "small"))])
 
 
+# --- candidate signals ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SCORED}, w AS (SELECT unnest({list(Ca.WEIGHTS)})::DOUBLE AS weight), c AS (SELECT unnest(['vlm_probability', 'short']) AS candidate),
+g AS (SELECT category, y, candidate, weight, lex, CASE WHEN candidate = 'short' THEN CASE WHEN n_chars >= 100 THEN 50.0::DOUBLE / n_chars END ELSE vlm END AS p FROM sc, c, w UNION ALL SELECT category, y, '', 0, lex, lex FROM sc),
+b AS (SELECT category, y, candidate, weight, round(1 / (1 + exp(-((1 - weight) * {_lo('lex')} + weight * {_lo('coalesce(p, lex)')}))), 12) AS p FROM g),
+st AS (SELECT category, candidate, weight, p, sum(y) AS p1, count(*) AS n1 FROM b GROUP BY ALL),
+ru AS (SELECT category, candidate, weight, p AS t, sum(p1) OVER v AS tp, sum(n1) OVER v - sum(p1) OVER v AS fp, sum(p1) OVER (PARTITION BY category, candidate, weight) - sum(p1) OVER v AS fn FROM st WINDOW v AS (PARTITION BY category, candidate, weight ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),
+ra AS (SELECT *, round({_f()}, 12) AS f1, row_number() OVER (PARTITION BY category, candidate ORDER BY round({_f()}, 12) DESC, weight, t) AS k FROM ru), be AS (SELECT * FROM ra WHERE k = 1)
+SELECT be.category, be.candidate, be.weight, round(be.t, 6) AS threshold, round(be.f1, 6) AS f1, round(be.f1 - a.f1, 6) AS gain FROM be JOIN be a ON a.category = be.category AND a.candidate = '' WHERE be.candidate <> ''""")
+def candidate_blends(spark, d):
+    """Two candidate signals against the base score of each category; one of them is missing for short documents."""
+    short = table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") >= 100, 50.0 / F.col("n_chars")).alias("short"))
+    rows = _scored(spark, d).join(short, "doc_id")
+    made = Ca.candidate_report(Ca.candidate_grid(rows, "y", "lexical_probability", ["vlm_probability", "short"], ["category"]), ["category"])
+    return made.select("category", "candidate", "weight", r6("threshold").alias("threshold"), r6("f1").alias("f1"), r6("gain").alias("gain"))
+
+
+# --- functions on the texts that the tables hold -------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations), w AS (SELECT *, regexp_extract(text, '(?:^|[^0-9])([01])(?:[^0-9]|$)', 1) AS lone, lower(trim(text)) AS low FROM t)
+SELECT conv_id, turn, CASE WHEN lone = '' THEN -1 ELSE lone::INT END AS verdict, CASE WHEN starts_with(low, 'yes') THEN 0.9 WHEN starts_with(low, 'no') THEN 0.1 WHEN contains(left(low, 20), 'yes') THEN 0.8 WHEN contains(left(low, 20), 'no') THEN 0.2 ELSE 0.5 END::DOUBLE AS yes_probability FROM w""")
+def verdicts_in_turns(spark, d):
+    """Every turn of every conversation read as an answer."""
+    return table(spark, d, "conversations").select("conv_id", "turn", X.parse_verdict(F.col("text")).alias("verdict"), X.yes_probability(F.col("text")).alias("yes_probability"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, [trim(x) for x in string_split(trim(coalesce(text, '')), chr(10)) if trim(x) <> ''] AS items FROM documents) SELECT doc_id, len(items)::INT AS n, sha256(array_to_string(items, '|')) AS digest FROM t""")
+def lines_as_lists(spark, d):
+    """Every document as a cell of a list whose separator is the end of a line."""
+    items = X.parse_list(F.col("text"), "\n")
+    return table(spark, d, "documents").select("doc_id", items.alias("i")).select("doc_id", F.size("i").alias("n"), F.sha2(F.array_join("i", "|"), 256).alias("digest"))
+
+
+@query("SELECT doc_id, lang IN ('en', 'fr') AND n_chars <= 2000 AND text IS NOT NULL AS accepted FROM documents")
+def decisions_with_texts(spark, d):
+    """A decision in JSON of every document: its language as the label, its length as the confidence, its text as evidence and reason."""
+    raw = F.to_json(F.struct(F.array("lang").alias("predicted_labels"), F.create_map("lang", F.col("n_chars") / F.lit(2000.0)).alias("confidence"), F.array("text").alias("evidence_text"), F.array().cast("array<string>").alias("evidence_image"), F.col("text").alias("reason_short")))
+    parsed, reason = P.decision_json(F.col("raw"), ["en", "fr"])
+    return table(spark, d, "documents").select("doc_id", raw.alias("raw")).select("doc_id", reason.isNull().alias("accepted"))
+
+
 # --- vectors ------------------------------------------------------------------------------------------------------------------
 
 

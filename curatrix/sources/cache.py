@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,22 +55,55 @@ def combine_caches(first: DataFrame, *others: DataFrame) -> DataFrame:
     return out.withColumn("embedding", F.coalesce("embedding", F.raise_error(F.lit("the caches hold different ids"))))
 
 
+#: One row of a resumable run's state: an attempt at a batch that is written whole.
+STATE = "batch int, attempt string, rows long"
+
+
 def run_resumable(rows: DataFrame, infer: Callable[[DataFrame], DataFrame], path: str, key: str = "id", batches: int = 8) -> DataFrame:
-    """infer over rows in batches, each appended to path as it ends; a rerun takes up what is missing.
+    """infer over rows in batches; a rerun takes up what is missing. One row for each key.
 
-    The batch of a row follows from its key, finished rows are found by an anti join, and the answer
-    holds one row for each key.
+    A batch, which follows from the key, is written to a folder of its own attempt, and only then does a line of the state name that
+    attempt: the one file that the line is appears at once. Reading goes by the state alone, so what a dead run left half-written
+    or whole but unnamed is neither lost (the batch is done again) nor doubled (its old attempt is never read). Rows that are
+    new since a batch was done become a further attempt at it. Rows that repeat a key, or have none, count once.
     """
     spark = rows.sparkSession
     bucket = F.pmod(F.xxhash64(key), F.lit(batches)).cast("int")
     for b in range(batches):
-        part = rows.where(bucket == b)
-        done = existing(spark, path)
+        part = rows.where(bucket == b).dropDuplicates([key])
+        done = finished(spark, path, b)
         if done is not None:
-            part = part.join(done.where(F.col("batch") == b).select(key).distinct(), key, "left_anti")
-        made = infer(part).withColumn("batch", F.lit(b))
-        made.write.mode("append").parquet(path)
-    return spark.read.parquet(path).dropDuplicates([key]).drop("batch")
+            known = done.select(F.col(key).alias("__known"))
+            part = part.join(known, F.col(key).eqNullSafe(F.col("__known")), "left_anti")
+            if not part.limit(1).count():
+                continue
+        attempt = uuid.uuid4().hex
+        infer(part).write.parquet(f"{path}/attempts/{attempt}")
+        commit_attempt(spark, path, b, attempt)
+    return finished(spark, path)
+
+
+def commit_attempt(spark: SparkSession, path: str, batch: int, attempt: str) -> None:
+    """Name an attempt in the state, with the number of its rows as they are read back."""
+    n = spark.read.parquet(f"{path}/attempts/{attempt}").count()
+    spark.createDataFrame([(batch, attempt, n)], STATE).coalesce(1).write.mode("append").json(f"{path}/state")
+
+
+def run_state(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, attempt, rows) of what is done so far; empty before the first batch."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(STATE).json(f"{path}/state")
+    except AnalysisException:
+        return spark.createDataFrame([], STATE)
+
+
+def finished(spark: SparkSession, path: str, batch: int | None = None) -> DataFrame | None:
+    """The rows of the attempts that the state names, of one batch or all; None if there are none."""
+    state = run_state(spark, path)
+    named = [r["attempt"] for r in (state if batch is None else state.where(F.col("batch") == batch)).collect()]
+    return spark.read.parquet(*[f"{path}/attempts/{a}" for a in sorted(named)]) if named else None
 
 
 def cached_features(cards: DataFrame, compute: Callable[[DataFrame], DataFrame], root: str, models: list[str]) -> DataFrame:
