@@ -793,7 +793,7 @@ def lexical_baseline(spark, d):
     return Pl.train_text_baseline(docs, "quality", "fold", 5)[1].select("category", F.round("threshold", 2).alias("threshold"), F.round("f1", 3).alias("f1"))
 
 
-@query()
+@query(r"SELECT doc_id::VARCHAR AS id, 5 * 16 + 1 + 5 + 4 + 2 * 64 AS dimensions, CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' OR text IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS text_norm FROM documents")
 def fusion_feature_blocks(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").alias("category"), F.col("source").alias("brand"), F.array().cast("array<string>").alias("images"))
     v = H.token_hash_vector(F.col("text"), 16)
