@@ -7,8 +7,9 @@ them is at home. Cosines of those that meet are verified in double precision.
 
 Equal vectors are one class, with a weight. A cell over the block size is compared block by block; a
 task returns a count and one edge for each vector of a block, never its pairs. A pair that meets in
-several cells counts in the first only. Settings are for cosine 0.9 and hold the chance that a pair
-meets at 0.98 or more there, and higher above it; which of them applies follows from the number of vectors.
+several cells counts in the first only. The setting is for cosine 0.9 and holds the chance that a pair
+meets at 0.99 or more there, and higher above it. It is the same for tables of every size, so whether two vectors
+link depends on them alone.
 """
 
 from __future__ import annotations
@@ -86,13 +87,9 @@ class Lattice:
         return out
 
 
-def settings(n: int, dim: int) -> dict:
-    """Cells get finer as the vectors get more, so that the chance partners of a vector stay few; more tables and probes keep the recall."""
-    if n * dim * 4 <= BROADCAST_BYTES:
-        return {"blocks": 2, "scale": 3.5, "probes": 4, "tables": 9}
-    if n <= 1 << 22:
-        return {"blocks": 2, "scale": 4.5, "probes": 8, "tables": 13}
-    return {"blocks": 3, "scale": 3.5, "probes": 12, "tables": 16}
+def settings(*_: int) -> dict:
+    """The one setting, whatever the size: fine enough that chance partners stay few, with as few cells a vector as the recall allows."""
+    return {"blocks": 2, "scale": 3.75, "probes": 4, "tables": 11}
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
@@ -223,7 +220,7 @@ def _links_within(vectors: DataFrame, vec_id: str, e, sound, key, dim: int, thre
     grouped = vectors.where(sound & (F.size(e) == dim)).groupBy(key.alias("key")).agg(F.min(vec_id).alias("least"), F.count("*").alias("weight"), F.first(value).alias("v"))
     classes = settled(grouped.withColumn("cid", F.monotonically_increasing_id()))
     n = classes.count()
-    lattice = Lattice(dim, **settings(n, dim))
+    lattice = Lattice(dim, **settings())
 
     def hashed(batches):
         for batch in batches:

@@ -167,3 +167,17 @@ def test_recall_of_every_setting(spark, monkeypatch, n):
     share = got.where("n_links > 0").count() / len(x)
     print(chosen, share)
     assert share >= 0.96
+
+
+def test_links_do_not_depend_on_the_number_of_vectors():
+    """One setting for every size, and nearly all pairs at the threshold meet under it."""
+    chosen = [D.settings(n, 64) for n in (1, 1 << 18, 1 << 19, 1 << 22, 1 << 23, 1 << 30)]
+    assert all(x == chosen[0] for x in chosen)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2, 2000, 64))
+    one = x[0] / np.linalg.norm(x[0], axis=1, keepdims=True)
+    other = x[1] - (x[1] * one).sum(axis=1, keepdims=True) * one
+    two = 0.9 * one + np.sqrt(1 - 0.81) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    lattice = D.Lattice(64, **chosen[0])
+    a, b = lattice.cells(one), lattice.cells(two)
+    assert ((a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)).any(axis=1).mean() >= 0.98
