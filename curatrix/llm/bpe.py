@@ -1,7 +1,7 @@
 """BPE encoding and decoding (operator 8): a minimal acyclic transducer as the lexicon.
 
-The words that the vocabulary holds whole and the frequent words of a bounded sample are compiled, in sorted order,
-into an automaton whose equal suffixes are shared; each transition carries a count of the words below it, so a walk
+The words that the vocabulary holds whole are compiled, in sorted order, into an automaton whose equal
+suffixes are shared; each transition carries a count of the words below it, so a walk
 yields the word's rank and with it the word's ids (a minimal perfect hash with outputs). Its arrays are laid out in
 one block that every worker maps into memory. A batch of texts is cut into words on its bytes, all distinct words
 walk the automaton side by side, and those that it lacks are merged by the rules of the vocabulary, side by side too.
@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.llm.common import WHITE_SPACE, batch_udf, sampled_units, sha256_hex, worker_state
+from curatrix.llm.common import WHITE_SPACE, batch_udf, sha256_hex, short_batches, worker_state
 from curatrix.llm.cutting import buffers, parts_of, pretokens
 from curatrix.llm.merging import PairMerger, byte_letters
 
@@ -245,18 +245,21 @@ def word_path(path: str | None) -> str:
     return path or public_tokenizers.path("word_bpe_49k.json")
 
 
-def build_lexicon(df: DataFrame, text: str, path: str, frequent: int = 65536) -> bytes:
-    """The automaton of the vocabulary's whole words and of at most `frequent` words of a sample (under 8 MB)."""
+def build_lexicon(path: str, frequent: int = 65536) -> bytes:
+    """The automaton of the vocabulary's whole words: at most `frequent`, those of the lowest ids, which its training met most often.
+
+    It comes from the vocabulary alone and reads no texts. Words that it lacks are merged by the rules, with the same ids.
+    """
     own = rules(path)
     byte = {letter: b for b, letter in enumerate(own.letters)}
-    words = set()
-    for token in own.vocab:
-        if token.endswith(own.suffix):
-            try:
-                words.add(bytes(byte[x] for x in token[: len(token) - len(own.suffix)]).decode())
-            except (KeyError, UnicodeDecodeError):
-                continue  # part of a character
-    words.update(sampled_units(df, text, lambda texts: pretokens(_folded(texts, own), False)[0], frequent))
+    words: set[str] = set()
+    for token in sorted((t for t in own.vocab if t.endswith(own.suffix)), key=own.vocab.get):
+        if len(words) >= frequent:
+            break
+        try:
+            words.add(bytes(byte[x] for x in token[: len(token) - len(own.suffix)]).decode())
+        except (KeyError, UnicodeDecodeError):
+            continue  # part of a character
     ordered = pa.array(sorted(w for w in words if w), pa.string())
     raw, offsets = buffers(ordered)
     ids, counts = own.pairs.merge(raw, offsets[:-1], np.diff(offsets))
@@ -349,7 +352,8 @@ def encode_texts(df: DataFrame, text: str = "text", path: str | None = None, dig
     texts are encoded whole.
     """
     path = word_path(path)
-    shared = df.sparkSession.sparkContext.broadcast(build_lexicon(df, text, path, frequent))
+    short_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(build_lexicon(path, frequent))
     kinds = [pa.int64(), pa.string() if digests else pa.list_(pa.int32()), pa.string()]
 
     def encode(texts: pa.Array) -> pa.StructArray:

@@ -313,3 +313,12 @@ def test_spans_are_cut_with_large_benchmarks_too(spark):
     bench = spark.createDataFrame([(7, item), (8, "mid one two")], "item_id long, text string")
     one, two = ({r["doc_id"]: r.asDict() for r in decontaminate(docs, bench, remove="spans", most_bytes=size).collect()} for size in (64 << 20, 1))
     assert one == two and two[1]["text"].startswith("Été before, ") and "SEVEN" not in two[1]["text"] and two[3]["text"] is None
+
+
+def test_bpe_lexicon_comes_from_the_vocabulary_alone(spark):
+    """Nothing is read before the texts are encoded, and the ids are the same with any number of words in the automaton."""
+    unread = spark.range(3).select(F.raise_error(F.lit("read")).cast("string").alias("text"))
+    assert "n_tokens" in bpe.encode_texts(unread).columns
+    texts = spark.createDataFrame([(k, f"The {w} runs, {w}{k} zzqx{k}! naïve привет") for k, w in enumerate(("house", "zorgle", "übung", "", "internationalisation"))] + [(9, None)], "k int, text string")
+    whole, few, none = (sorted((r["k"], r["n_tokens"], tuple(r["ids"]), r["decoded"]) for r in bpe.encode_texts(texts, frequent=n).collect()) for n in (65536, 3, 0))
+    assert whole == few == none and whole[0][1] > 3
