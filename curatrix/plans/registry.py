@@ -8,6 +8,7 @@ pages HTML descriptions, conversations chat turns, part short titles, events.pro
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,8 +255,9 @@ def adapt_compose_text(spark, d):
 
 @query()
 def canonical_schema_infer(spark, d):
-    rows = [(t, role, column) for t in ("documents", "part", "labels", "embeddings") for role, column in S.infer_columns(table(spark, d, t).columns)[0].items()]
-    return spark.createDataFrame(rows, "source string, role string, column string")
+    """The roles of four tables' columns, out of profiles of all their columns and rows."""
+    profiles = [S.column_profile(table(spark, d, t)).select(F.lit(t).alias("source"), "role", "column") for t in ("documents", "part", "labels", "embeddings")]
+    return reduce(DataFrame.unionByName, profiles).where("role is not null")
 
 
 @query("""WITH v(k, cell) AS (VALUES (0, '["a.jpg", "b.jpg"]'), (1, 'a.jpg|b.jpg'), (2, NULL), (3, ''), (4, ' x | | y '), (5, '[broken')),

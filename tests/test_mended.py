@@ -118,3 +118,12 @@ def test_documents_reports_and_feature_caches(spark, tmp_path):
     assert C.read_cache(spark, str(tmp_path / "c"), model="m", mode="joint", image_index=2).count() == 1
     with pytest.raises(C.CacheMismatch, match="image_index"):
         C.read_cache(spark, str(tmp_path / "c"), image_index=0)
+
+
+def test_column_profile_reads_every_row(spark):
+    from curatrix.operators import schema as S
+
+    rows = spark.createDataFrame([(1, "x", None), (2, None, None), (3, "", None)], "id long, Title string, `odd.name` int")
+    got = {r["column"]: (r["role"], r["rows"], r["filled"]) for r in S.column_profile(rows).collect()}
+    assert got == {"id": ("id", 3, 3), "Title": ("title", 3, 2), "odd.name": (None, 3, 0)}
+    assert {(r["column"], r["rows"], r["filled"]) for r in S.column_profile(rows.limit(0)).collect()} == {(c, 0, 0) for c in rows.columns}
