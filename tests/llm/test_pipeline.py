@@ -58,3 +58,10 @@ def test_odd_rows_pass_through_all_stages(spark):
     assert "email" in got[9004][0][1] and "example" not in got[9004][0][1]
     # Null and empty texts have the same fingerprint, zero: one of their rows stays.
     assert [x for k in (None, 9001, 9002) for x in got.get(k, [])] == [(0, "")]
+
+
+def test_token_stage_learns_nothing_from_the_texts(spark):
+    """The last stage's table of words comes from the vocabulary: preparing it reads no document."""
+    unread = spark.range(2).select(F.col("id").alias("doc_id"), F.raise_error(F.lit("read")).cast("string").alias("text"))
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert name == "bpe" and stage(spark, unread, SMALL).columns == ["doc_id", "n_tokens", "ids", "decoded"]
