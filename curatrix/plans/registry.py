@@ -479,8 +479,8 @@ def near_text_pairs(spark, d):
 z AS (SELECT id, string_agg(term || ':' || round(w, 9), ' ' ORDER BY term) AS z FROM v GROUP BY id), c AS (SELECT id, min(id) OVER (PARTITION BY z, part) AS class FROM z JOIN p USING (id))
 SELECT id, class, count(*) - 1 AS n_links FROM c JOIN s ON s.a = c.id GROUP BY id, class""")
 def near_text_classes(spark, d):
-    by = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("part"))
-    return N.near_text_classes(_vectors(spark, d), 0.97, by)
+    rows = N.TermRows(table(spark, d, "documents"), "doc_id", N.word_terms(F.col("text")), "lang")
+    return N.near_text_classes(rows, 0.97)
 
 
 @query(r"""WITH d AS (SELECT 'a/' || doc_id AS id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM documents), i AS (SELECT 'b/' || item_id AS id, regexp_replace(lower(text), '\s+', ' ', 'g') AS t FROM benchmark),
