@@ -471,8 +471,8 @@ def tfidf_vectors(spark, d):
 @query(f"""WITH {WORDS}, p AS (SELECT DISTINCT id, part FROM words) SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w), 6) AS similarity FROM v a JOIN v b ON a.term = b.term AND a.id < b.id
 JOIN p x ON x.id = a.id JOIN p y ON y.id = b.id AND x.part = y.part GROUP BY a.id, b.id HAVING sum(a.w * b.w) >= 0.97 - 1e-12""")
 def near_text_pairs(spark, d):
-    by = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("part"))
-    return N.near_text_pairs(_vectors(spark, d), 0.97, by).select("a", "b", r6("similarity").alias("similarity"))
+    rows = N.TermRows(table(spark, d, "documents"), "doc_id", N.word_terms(F.col("text")), "lang")
+    return N.near_text_pairs(rows, 0.97).select("a", "b", r6("similarity").alias("similarity"))
 
 
 @query(f"""WITH {WORDS}, p AS (SELECT DISTINCT id, part FROM words), s AS (SELECT a.id AS a, b.id AS b, sum(a.w * b.w) AS s FROM v a JOIN v b ON a.term = b.term JOIN p x ON x.id = a.id JOIN p y ON y.id = b.id AND x.part = y.part GROUP BY a.id, b.id HAVING sum(a.w * b.w) >= 0.97 - 1e-12),
