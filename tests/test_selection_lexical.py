@@ -193,3 +193,17 @@ def test_gradients_add_up_whatever_the_tasks(spark, monkeypatch):
     monkeypatch.setattr(L, "_BLOCK", 50)
     L.lexical_out_of_fold(cards, "y", "fold", 3, F.col("text"), limits=limits).count()
     assert seen == [True, True]
+
+
+def test_models_settle_in_few_passes(spark, monkeypatch):
+    """Ill-conditioned models (long texts over common words): Newton's directions need far fewer passes over the rows than their gradients did."""
+    rng, seen = random.Random(5), []
+    rows = []
+    for k in range(240):
+        y = int(rng.random() < 0.8)
+        rows.append((k, "a", " ".join(rng.choices([f"w{j}" for j in range(60)], weights=[1 + (j % 7 == 3) * y * 0.3 for j in range(60)], k=120)), y, k % 3))
+    plain = L.minimise
+    monkeypatch.setattr(L, "minimise", lambda *args: seen.append(plain(*args)) or seen[-1])
+    made = L.lexical_out_of_fold(spark.createDataFrame(rows, "id int, category string, text string, y int, fold int"), "y", "fold", 3, F.col("text"), limits={"word": 500, "char": 500})
+    (_, sizes, passes), = seen
+    assert made.count() == 240 and (sizes <= 1e-3).all() and passes <= 60
