@@ -207,3 +207,51 @@ def test_models_settle_in_few_passes(spark, monkeypatch):
     made = L.lexical_out_of_fold(spark.createDataFrame(rows, "id int, category string, text string, y int, fold int"), "y", "fold", 3, F.col("text"), limits={"word": 500, "char": 500})
     (_, sizes, passes), = seen
     assert made.count() == 240 and (sizes <= 1e-3).all() and passes <= 60
+
+
+def test_blocks_multiply_as_plain_matrices():
+    """Dense and other slots of a block, and texts without terms, against the matrix of all folds."""
+    rng, folds = np.random.default_rng(2), 3
+    rows, plain = [], np.zeros((60, 900, folds))
+    for i in range(60):
+        own = [np.sort(rng.choice(np.arange(low, high), size, replace=False)) for low, high, size in ((0, 300, 0 if i == 7 else 4), (300, 899, 30), (899, 900, 1))]
+        own[1] = np.union1d(own[1], np.arange(300, 310)) if i % 9 else own[1]
+        counts, lengths = [rng.integers(1, 5, len(x)).astype(float) for x in own], rng.random((3, folds))
+        for slots, times, length in zip(own, counts, lengths, strict=True):
+            plain[i, slots] = times[:, None] * length
+        rows.append((0, i % 2, i % folds, (own, counts, lengths)))
+    block = L.Block([memoryview(x) for x in L._packed(rows)], folds)
+    assert min(len(block.places), sum(len(slots) for slots, _ in block.dense)) > 5
+    weights, residuals = rng.normal(size=(2, 900, folds)), rng.normal(size=(60, folds))
+    for got, w in zip(block.margins(*[(w, w.T.copy()) for w in weights]), weights, strict=True):
+        assert np.allclose(got, np.einsum("isf,sf->if", plain, w))
+    total = np.zeros((900, folds)), np.zeros((folds, 900))
+    block.back(residuals, total)
+    assert np.allclose(total[0] + total[1].T, np.einsum("isf,if->sf", plain, residuals))
+
+
+def test_terms_counted_together_equal_counts_text_by_text(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["Tea", "leaf,", "café", "a", "x" * 9, "Ω-3", " "], k=rng.randint(0, 20))) for _ in range(50)]
+    monkeypatch.setattr(L, "_SPREAD", 100)
+    held = L._Counted(2)
+    for k, text in enumerate(texts):
+        held.add(k % 2, text)
+    for kind, made in (("word", held.word_terms()), ("char", held.char_terms())):
+        got = {term: (tuple(rows), tuple(times)) for terms, r, t in made for term, rows, times in zip(terms.to_pylist(), r.tolist(), t.tolist(), strict=True)}
+        want: dict = {}
+        for k, text in enumerate(texts):
+            for term, n in E.lexical_terms(text, kind).items():
+                own = want.setdefault(term, ([0, 0], [0, 0]))
+                own[0][k % 2] += 1
+                own[1][k % 2] += n
+        assert got == {term: (tuple(rows), tuple(times)) for term, (rows, times) in want.items()}
+
+
+def test_scores_come_with_the_rows_that_the_blocks_carry(spark):
+    cards, limits = lexical_cards(spark), {"word": 30, "char": 60}
+    made = L.lexical_out_of_fold(cards, "y", "fold", 3, F.col("text"), limits=limits, keep=["id", "category"])
+    whole = L.lexical_out_of_fold(cards, "y", "fold", 3, F.col("text"), limits=limits)
+    assert made.columns == ["id", "category", "score"] and whole.columns == cards.columns
+    assert {r["id"]: r["score"] for r in made.collect()} == pytest.approx({r["id"]: r["score"] for r in whole.collect()}, abs=1e-3)
+    assert {(r["id"], r["text"]) for r in whole.collect()} == {(r["id"], r["text"]) for r in cards.collect()}
